@@ -160,56 +160,53 @@ def smooth(df: DataFrame, keys: Sequence[str], seq: str, value: str, weights: Se
 
 # --- profiles held as short arrays -----------------------------------------------------------
 
-def dense_counts(band: Column, n_bands: int, weight: Column | None = None) -> Column:
+def dense_counts(band: str, n_bands: int, weight: str = "1") -> Column:
     """Aggregate to an array with one total per band; the last band takes everything beyond."""
-    b = F.least(F.lit(n_bands - 1), band)
-    w = weight if weight is not None else F.lit(1)
-    return F.array(*[F.coalesce(F.sum(F.when(b == i, w)), F.lit(0)).cast("bigint")
-                     for i in range(n_bands)])
+    last = n_bands - 1
+    totals = [f"sum(CASE WHEN {band} {'=' if i < last else '>='} {i} THEN {weight} ELSE 0 END)"
+              for i in range(n_bands)]
+    return F.expr(f"cast(array({', '.join(totals)}) AS array<bigint>)")
 
 
-def array_median(a: Column) -> Column:
-    s, n = F.array_sort(a), F.size(a)
-    # element_at is 1-based
-    lo = F.element_at(s, F.floor((n + 1) / 2).cast("int"))
-    hi = F.element_at(s, F.floor((n + 2) / 2).cast("int"))
-    return F.when(n > 0, (lo + hi) / 2.0)
+def array_median(a: str) -> str:
+    """SQL for the median of a short array, NULL when it is empty."""
+    return (f"(get(array_sort({a}), cast((size({a}) - 1) div 2 AS int))"
+            f" + get(array_sort({a}), cast(size({a}) div 2 AS int))) / 2.0D")
 
 
-def leak_report(frontier: Column, cross_section: Column, visited: Column | None = None,
-                mask_voxels: Column | None = None, *, n_bands: int = 30, band: float = 0.5,
+def leak_report(frontier: str, cross_section: str, visited: str | None = None,
+                mask_voxels: str | None = None, *, n_bands: int = 30, band: float = 0.5,
                 sleeve: float = 2.0, explosion: float = 8.0, section_share: float = 0.5,
                 strong: float = 2.0, weak: float = 1.25, early: tuple[float, float] = (3.0, 6.0),
                 late: float = 3.0, visited_ratio: float = 40.0) -> Column:
     """Struct ``leak, reason, band_index, growth, early_frontier, late_frontier, floor``.
 
     Explosion outranks growth, which outranks the visited guard. ``growth`` is NULL when the profile
-    is too short for both windows and infinite when nothing was reached early.
+    is too short for both windows and infinite when nothing was reached early. All arguments are SQL
+    expressions over the row; the profile is an array of ``n_bands`` counts.
     """
     first = -int(-sleeve // band)
-    floor = cross_section * section_share
-    limit = lambda b: F.greatest(
-        array_median(F.slice(frontier, F.lit(first + 1), b - first)) * explosion, floor)
-    bursts = F.filter(F.sequence(F.lit(first + 2), F.lit(n_bands - 1)),
-                      lambda b: F.get(frontier, b) > limit(b))
-    burst = F.get(bursts, F.lit(0)) if n_bands > first + 2 else F.lit(None).cast("int")
+    floor = f"({cross_section}) * {section_share}D"
+    burst = "cast(NULL AS int)"
+    if n_bands > first + 2:
+        before = array_median(f"slice({frontier}, {first + 1}, b - {first})")
+        burst = (f"get(filter(sequence({first + 2}, {n_bands - 1}), b -> get({frontier}, b) > "
+                 f"greatest(({before}) * {explosion}D, {floor})), 0)")
     e0, e1, l0 = round(early[0] / band), round(early[1] / band), n_bands - round(late / band)
+    e_med = l_med = growth = "cast(NULL AS double)"
+    grows = "false"
     if e0 >= first and l0 >= e1 > e0:
-        e_med = array_median(F.slice(frontier, e0 + 1, e1 - e0))
-        l_med = array_median(F.slice(frontier, l0 + 1, n_bands - l0))
-        growth = (F.when(e_med > 0, l_med / e_med)
-                  .when(l_med > 0, F.lit(float("inf"))).otherwise(F.lit(0.0)))
-        grows = (growth >= strong) | ((growth >= weak) & (l_med > floor))
-    else:
-        e_med = l_med = growth = F.lit(None).cast("double")
-        grows = F.lit(False)
-    over = F.lit(False)
+        e_med = array_median(f"slice({frontier}, {e0 + 1}, {e1 - e0})")
+        l_med = array_median(f"slice({frontier}, {l0 + 1}, {n_bands - l0})")
+        growth = (f"CASE WHEN {e_med} > 0 THEN ({l_med}) / ({e_med}) "
+                  f"WHEN {l_med} > 0 THEN double('infinity') ELSE 0.0D END")
+        grows = f"(({growth}) >= {strong}D OR (({growth}) >= {weak}D AND ({l_med}) > {floor}))"
+    over = "false"
     if visited is not None and mask_voxels is not None:
-        over = (mask_voxels > 0) & (visited > mask_voxels * visited_ratio)
-    reason = (F.when(burst.isNotNull(), F.lit("explosion")).when(grows, F.lit("growth"))
-              .when(over, F.lit("visited")))
-    where = F.when(burst.isNotNull(), burst).when(grows, F.lit(l0))
-    return F.struct(reason.isNotNull().alias("leak"), reason.alias("reason"),
-                    where.cast("int").alias("band_index"), growth.alias("growth"),
-                    e_med.alias("early_frontier"), l_med.alias("late_frontier"),
-                    floor.alias("floor"))
+        over = f"({mask_voxels} > 0 AND {visited} > {mask_voxels} * {visited_ratio}D)"
+    fired = f"({burst}) IS NOT NULL"
+    return F.expr(f"""named_struct(
+        'leak', {fired} OR {grows} OR {over},
+        'reason', CASE WHEN {fired} THEN 'explosion' WHEN {grows} THEN 'growth' WHEN {over} THEN 'visited' END,
+        'band_index', cast(CASE WHEN {fired} THEN {burst} WHEN {grows} THEN {l0} END AS int),
+        'growth', {growth}, 'early_frontier', {e_med}, 'late_frontier', {l_med}, 'floor', {floor})""")

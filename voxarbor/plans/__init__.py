@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("statistics",)
+FAMILIES = ("statistics", "ordered")
 
 
 def load():

@@ -82,7 +82,7 @@ FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN range(30) g(band)
 LEFT JOIN h ON h.user_id = u.user_id AND h.band = g.band""")
 def histogram_bands_dense(spark, sf):
     h = table(spark, sf, "events").groupBy("user_id").agg(
-        dense_counts(F.floor(F.col("value") / 20).cast("int"), 30).alias("h"))
+        dense_counts("cast(floor(value / 20) AS int)", 30).alias("h"))
     return h.select("user_id", F.posexplode("h").alias("band", "n"))
 
 
