@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("statistics", "ordered")
+FAMILIES = ("statistics", "ordered", "volumes")
 
 
 def load():
