@@ -12,20 +12,23 @@ def first_per_case(df: DataFrame, order: str, limit: int = 40) -> DataFrame:
             .where(f"_k <= {limit}").drop("_k"))
 
 
-def fold(df: DataFrame, conflicts: DataFrame, rank: str) -> DataFrame:
+def fold(df: DataFrame, rank: str, conflict: str, accept: str = "true") -> DataFrame:
     """Walk each case from the best rank down and fold a row into the first kept row it conflicts with.
 
-    ``df`` is limited per case (``first_per_case``) and holds ``case_id, id``; ``conflicts`` holds ``case_id,
-    a, b`` both ways. Adds ``folded_into``, NULL for kept rows. The walk is one SQL fold over the short
-    per-case array.
+    ``df`` is limited per case (``first_per_case``) and holds ``case_id, id``. ``conflict`` is SQL over
+    ``k.row`` (a kept row) and ``x.row`` (the row at hand). Adds ``folded_into``, NULL for kept rows. Rows that
+    fail ``accept`` never leave the map side. The walk is one SQL fold over the short per-case array.
     """
-    partners = conflicts.groupBy("case_id", F.col("a").alias("id")).agg(F.expr("collect_set(b) AS partners"))
-    kind = dict(df.dtypes)["id"]
-    line = (df.select("case_id", "id", F.expr(rank).alias("k")).join(partners, ["case_id", "id"], "left")
-            .groupBy("case_id").agg(F.expr("array_sort(collect_list(struct(k, id, partners))) AS line")))
-    walked = line.selectExpr("case_id", f"""inline(aggregate(line,
-        cast(array() AS array<struct<id:{kind},folded_into:{kind}>>),
-        (acc, x) -> concat(acc, array(named_struct('id', x.id, 'folded_into',
-            get(filter(acc, k -> k.folded_into IS NULL
-                       AND array_contains(coalesce(x.partners, cast(array() AS array<{kind}>)), k.id)), 0).id)))))""")
-    return df.join(walked, ["case_id", "id"])
+    kinds = dict(df.dtypes)
+    row = "struct<" + ",".join(f"{c}:{t}" for c, t in df.dtypes) + ">"
+    line = df.groupBy("case_id").agg(F.expr(
+        f"array_sort(collect_list(struct({rank} AS k, struct({', '.join(df.columns)}) AS row)) FILTER (WHERE {accept})) AS line"))
+    return line.selectExpr(f"""inline(aggregate(line,
+        cast(array() AS array<struct<row:{row},folded_into:{kinds['id']}>>),
+        (acc, x) -> concat(acc, array(named_struct('row', x.row, 'folded_into',
+            get(filter(acc, k -> k.folded_into IS NULL AND ({conflict})), 0).row.id)))))""").select(
+        "row.*", "folded_into")
+
+
+def distance(a: str = "k.row", b: str = "x.row") -> str:
+    return "sqrt(" + " + ".join(f"({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})" for c in "xyz") + ")"

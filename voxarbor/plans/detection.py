@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from voxarbor import schema
 from voxarbor.functions.rules import Limits, explain, rejection_reason
 from voxarbor.operators import dedupe
-from voxarbor.operators.nearest import within_distance
 from voxarbor.plans.registry import query
 from voxarbor.sources.tables import table
 
@@ -60,9 +59,9 @@ def findings(spark, sf) -> DataFrame:
     sums = lines.groupBy("id").agg(*[F.expr(f"cast({e} AS double) AS {n}") for n, e in {
         "n": "count(1)", "sq": "sum(q)", "sqq": "sum(q * q)", "sc": "sum(c)", "sd": "sum(d)", "st": "sum(t)",
         "qmin": "min(q)", "qmax": "max(q)"}.items()])
-    own = orders.join(sums, "id")
-    case = own.groupBy("case_id").agg(F.expr("sum(sc) AS cc"), F.expr("sum(n) AS cn"))
-    return own.join(case, "case_id").selectExpr(
+    own = orders.join(sums, "id").selectExpr(  # at most 40 rows per window partition
+        "*", "sum(sc) OVER (PARTITION BY case_id) AS cc", "sum(n) OVER (PARTITION BY case_id) AS cn")
+    return own.selectExpr(
         "case_id", "id", "n", "sq", "o_orderstatus", "cast(prio AS int) AS component_label",
         *[f"{_double(e)} AS {c}" for c, e in PLACE.items()],
         *[f"cast({_double(e)} AS double) AS {c}" for c, e in FEATURES.items()])
@@ -129,19 +128,17 @@ def scored(spark, sf, lim: Limits = LIM, with_terms: bool = False) -> DataFrame:
     return explain(findings(spark, sf), lim, with_terms=with_terms)
 
 
-def conflicts(rows: DataFrame) -> DataFrame:
-    """Pairs of different components whose ostia and patches are close: ``case_id, a, b`` both ways."""
-    near = within_distance(rows, rows, ["case_id"], MERGE_MM).where("id <> other").drop("dist")
-    side = rows.selectExpr("id", "component_label AS c1", "y AS y1")
-    far = rows.selectExpr("id AS other", "component_label AS c2", "y AS y2")
-    return (near.join(side, "id").join(far, "other")
-            .where(f"c1 <> c2 AND abs(y1 - y2) <= {GAP_MM}D").selectExpr("case_id", "id AS a", "other AS b"))
+NEAR = (f"k.row.component_label <> x.row.component_label AND {dedupe.distance()} <= {{merge}} "
+        f"AND abs(k.row.y - x.row.y) <= {GAP_MM}D")
+RANK = "struct(-round(confidence, 9) AS c, id AS i)"
 
 
-def merged(rows: DataFrame, threshold: float = LIM.threshold) -> DataFrame:
-    """Accepted findings with ``folded_into``; at most 40 per case by then."""
-    accepted = rows.where(f"round(confidence, 9) >= {threshold}D")
-    return dedupe.fold(accepted, conflicts(accepted), "struct(-round(confidence, 9) AS c, id AS i)")
+def merged(rows: DataFrame, threshold: float | str = LIM.threshold, merge: float | str = MERGE_MM) -> DataFrame:
+    """Accepted findings with ``folded_into``; at most 40 per case by then.
+
+    Findings of different components whose ostia and patches are close count once.
+    """
+    return dedupe.fold(rows, RANK, NEAR.format(merge=merge), f"round(confidence, 9) >= {threshold}")
 
 
 def numbered(rows: DataFrame) -> DataFrame:
