@@ -134,7 +134,7 @@ def case_density_flags(spark, sf):
 
 @query("structural_claims", f"""
 WITH {SIDES},
-pr AS (SELECT *, CASE id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'some' ELSE 'one' END AS kind FROM r),
+pr AS (SELECT * REPLACE (CASE id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'some' ELSE 'one' END AS kind) FROM r),
 h AS (SELECT pr.case_id, pr.id, any_value(pr.kind) AS kind,
   count(*) FILTER (WHERE sqrt((p.x - pr.x)*(p.x - pr.x) + (p.y - pr.y)*(p.y - pr.y) + (p.z - pr.z)*(p.z - pr.z)) <= 6) AS n
   FROM pr LEFT JOIN p ON p.case_id = pr.case_id GROUP BY ALL)
