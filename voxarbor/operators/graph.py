@@ -147,14 +147,15 @@ def contract(nodes: DataFrame, links: DataFrame, merges: str) -> DataFrame:
     all such links are decided at once; the others wait for the next round.
     """
     rounds = Rounds(nodes.sparkSession, "contract")
-    where = nodes.selectExpr("id", "id AS root")
-    where, _ = rounds.save(where)
     tops, _ = rounds.save(nodes.selectExpr("id", "peak"))
     ordered = links.selectExpr("least(a, b) AS a", "greatest(a, b) AS b", "rank", "at").where("a <> b")
     live, state = rounds.save(ordered, n=F.expr("count(1)"))
+    moves = None
     for _ in range(MAX_ROUNDS):
         if state["n"] == 0:
-            return where
+            if moves is None:
+                return tops.selectExpr("id", "id AS root")
+            return roots(tops.select("id").join(moves.selectExpr("old AS id", "new AS parent"), "id", "left"))
         # one link per pair and its peaks; ends with equal peaks: the smaller id is the higher one
         pair = (live.groupBy("a", "b").agg(F.expr("min(struct(rank, at)) AS k"))
                 .join(tops.selectExpr("id AS a", "peak AS pa"), "a")
@@ -163,23 +164,20 @@ def contract(nodes: DataFrame, links: DataFrame, merges: str) -> DataFrame:
                             "CASE WHEN pa >= pb THEN a ELSE b END AS hi", "CASE WHEN pa >= pb THEN b ELSE a END AS lo",
                             "greatest(pa, pb) AS hi_peak", "least(pa, pb) AS lo_peak"))
         # at equal rank the higher partner comes first
-        key = "struct(rank, -hi_peak AS p, hi, lo)"
-        first = (pair.selectExpr("inline(array(struct(hi AS id, " + key + " AS k), struct(lo AS id, " + key + " AS k)))")
-                 .groupBy("id").agg(F.expr("min(k) AS k")))
-        chosen = (first.groupBy("k").agg(F.expr("count(1) AS ends")).where("ends = 2")
-                  .selectExpr("k.hi AS hi", "k.lo AS lo"))
-        done, _ = rounds.save(pair.join(chosen, ["hi", "lo"]).selectExpr("hi", "lo", f"({merges}) AS yes"))
-        moves = done.where("yes").selectExpr("lo AS old", "hi AS new")
-        old_where, old_live = where, live
-        where, _ = rounds.save(where.join(moves, where.root == moves.old, "left")
-                               .selectExpr("id", "coalesce(new, root) AS root"))
+        first = (pair.selectExpr("struct(rank, -hi_peak AS p, hi, lo) AS k", f"({merges}) AS yes", "hi", "lo")
+                 .selectExpr("explode(array(hi, lo)) AS id", "k", "yes")
+                 .groupBy("id").agg(F.expr("min(struct(k, yes)) AS m")))
+        done, _ = rounds.save(first.groupBy("m.k", "m.yes").agg(F.expr("count(1) AS ends")).where("ends = 2")
+                              .selectExpr("k.hi AS hi", "k.lo AS lo", "yes"))
+        step = done.where("yes").selectExpr("lo AS old", "hi AS new")
+        moves = step if moves is None else moves.unionByName(step)
         refused = done.where("NOT yes").selectExpr("least(hi, lo) AS a", "greatest(hi, lo) AS b")
-        rest = live.join(refused, ["a", "b"], "left_anti")
-        rest = (rest.join(moves.selectExpr("old AS a", "new AS na"), "a", "left")
-                .join(moves.selectExpr("old AS b", "new AS nb"), "b", "left")
+        rest = (live.join(refused, ["a", "b"], "left_anti")
+                .join(step.selectExpr("old AS a", "new AS na"), "a", "left")
+                .join(step.selectExpr("old AS b", "new AS nb"), "b", "left")
                 .selectExpr("coalesce(na, a) AS a", "coalesce(nb, b) AS b", "rank", "at").where("a <> b")
                 .selectExpr("least(a, b) AS a", "greatest(a, b) AS b", "rank", "at"))
+        old = live
         live, state = rounds.save(rest, n=F.expr("count(1)"))
-        rounds.retire(old_where)
-        rounds.retire(old_live)
+        rounds.retire(old)
     raise RuntimeError("contraction did not settle")
