@@ -2,57 +2,75 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_PREDICTIONS = 40  # a case holds at most this many reported points
 
 
-def assign(cost):
+def assign(cost: list[list[float]]) -> list[int]:
     """Column of each row in a cheapest one-to-one assignment; rows must not outnumber columns.
 
-    Shortest augmenting paths on potentials, one row at a time.
+    Rows enter one at a time along a shortest augmenting path under row and column potentials. Plain
+    lists: a case is a handful of points, where array calls cost more than the arithmetic.
     """
-    import numpy as np
-
-    n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    owner = np.zeros(m + 1, dtype=int)  # row + 1 that holds a column, column 0 is the start
-    for row in range(1, n + 1):
-        owner[0], col = row, 0
-        short, used, back = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=bool), np.zeros(m + 1, dtype=int)
-        while owner[col]:
-            used[col] = True
-            free = np.flatnonzero(~used)
-            slack = cost[owner[col] - 1, free - 1] - u[owner[col]] - v[free]
-            better = slack < short[free]
-            short[free[better]], back[free[better]] = slack[better], col
-            nxt = free[np.argmin(short[free])]
-            delta = short[nxt]
-            u[owner[used]] += delta
-            v[used] -= delta
-            short[free] -= delta
-            col = nxt
-        while col:
-            owner[col], col = owner[back[col]], back[col]
-    out = np.empty(n, dtype=int)
-    out[owner[1:][owner[1:] > 0] - 1] = np.flatnonzero(owner[1:] > 0)
+    n, m = len(cost), len(cost[0])
+    u, v, owner = [0.0] * n, [0.0] * m, [-1] * m
+    for row in range(n):
+        short, back, used = [float("inf")] * m, [-1] * m, [False] * m
+        at, col = row, -1
+        while True:
+            line, pu = cost[at], u[at]
+            best, nxt = float("inf"), -1
+            for j in range(m):
+                if not used[j]:
+                    d = line[j] - pu - v[j]
+                    if d < short[j]:
+                        short[j], back[j] = d, col
+                    if short[j] < best:
+                        best, nxt = short[j], j
+            u[row] += best
+            for j in range(m):
+                if used[j]:
+                    u[owner[j]] += best
+                    v[j] -= best
+                else:
+                    short[j] -= best
+            used[nxt], col = True, nxt
+            if owner[nxt] < 0:
+                break
+            at = owner[nxt]
+        while col >= 0:
+            owner[col], col = (owner[back[col]] if back[col] >= 0 else row), back[col]
+    out = [-1] * n
+    for j, i in enumerate(owner):
+        if i >= 0:
+            out[i] = j
     return out
 
 
-def _match_case(pdf):
-    import numpy as np
-    import pandas as pd
+FAR = 1e12  # stands for a pair that cannot be part of the chosen optimum
 
-    preds, rows = np.unique(pdf["pred_id"].to_numpy(), return_inverse=True)
-    refs, cols = np.unique(pdf["ref_id"].to_numpy(), return_inverse=True)
-    dist = np.full((preds.size, refs.size), 1e12)
-    dist[rows, cols] = pdf["distance"].to_numpy()
-    flip = preds.size > refs.size
-    pick = assign(dist.T if flip else dist)
-    r, c = (pick, np.arange(refs.size)) if flip else (np.arange(preds.size), pick)
-    return pd.DataFrame({"case_id": pdf["case_id"].iloc[0], "pred_id": preds[r], "ref_id": refs[c],
-                         "distance": dist[r, c]})
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _cheapest(preds: pd.Series, refs: pd.Series, dist: pd.Series) -> pd.Series:
+    """Positions of the chosen pairs in the candidate arrays of each case."""
+
+    out = []
+    for p, r, d in zip(preds, refs, dist):
+        rows = {k: i for i, k in enumerate(dict.fromkeys(p))}
+        cols = {k: i for i, k in enumerate(dict.fromkeys(r))}
+        if len(rows) > len(cols):
+            p, r, rows, cols = r, p, cols, rows
+        cost = [[FAR] * len(cols) for _ in rows]
+        where = {}
+        for at, (a, b, c) in enumerate(zip(p, r, d)):
+            cost[rows[a]][cols[b]] = c
+            where[rows[a], cols[b]] = at
+        out.append([where[i, j] for i, j in enumerate(assign(cost))])
+    return pd.Series(out)
 
 
 def match(preds: DataFrame, refs: DataFrame, threshold: float, bound: int = MAX_PREDICTIONS) -> DataFrame:
@@ -72,9 +90,9 @@ def match(preds: DataFrame, refs: DataFrame, threshold: float, bound: int = MAX_
     near = pairs.selectExpr(
         "*", "row_number() OVER (PARTITION BY case_id, pred_id ORDER BY distance, ref_id) AS k",
     ).where(f"k <= {bound} AND k <= n").select("case_id", "pred_id", "ref_id", "distance")
-    kinds = dict(near.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in near.columns)
-    return near.groupBy("case_id").applyInPandas(_match_case, schema).where(f"distance <= {threshold}")
+    case = near.groupBy("case_id").agg(F.expr("collect_list(struct(pred_id, ref_id, distance)) AS c"))
+    pick = case.select("case_id", "c", _cheapest("c.pred_id", "c.ref_id", "c.distance").alias("best"))
+    return pick.selectExpr("case_id", "inline(transform(best, i -> c[i]))").where(f"distance <= {threshold}")
 
 
 def outcome(preds: DataFrame, refs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxarbor.operators import graph, nearest
 from voxarbor.session import Rounds
@@ -20,11 +22,10 @@ SMOOTHING, FIT_LENGTH, REFINE_FROM, MAX_SHIFT = 2.5, 8.0, 2.5, 2.0
 BLOB_SHARE, BLOB_CELLS, PERSIST = 0.25, 4, 2
 
 
-@F.pandas_udf("array<double>")
-def main_axis(cov: "pd.Series") -> "pd.Series":  # noqa: F821
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def main_axis(cov: pd.Series) -> pd.Series:
     """Unit eigenvector of the largest eigenvalue of symmetric matrices xx, yy, zz, xy, xz, yz."""
     import numpy as np
-    import pandas as pd
 
     m = np.stack(cov.to_numpy()).astype(float) if len(cov) else np.zeros((0, 6))
     full = m[:, [0, 3, 4, 3, 1, 5, 4, 5, 2]].reshape(-1, 3, 3)
