@@ -69,17 +69,18 @@ def exits(flooded: DataFrame) -> DataFrame:
     return graph.roots(chain).selectExpr("id AS gid", "root AS exit")
 
 
-def instances(flooded: DataFrame, patches: DataFrame, min_length: float, min_peak: float = MIN_PEAK) -> DataFrame:
+def instances(flooded: DataFrame, patches: DataFrame, min_length: float,
+              min_peak: float = MIN_PEAK) -> tuple[DataFrame, DataFrame]:
     """Instances of a flood: territories of the origins on the contact patch, narrow ones absorbed.
 
     ``flooded``: ``case_id, z, y, x, gid, dist, parent``; ``patches``: patch cells ``gid, origin, peak``. Returns
-    ``case_id, instance_id, n_cells, max_distance, n_absorbed, vessel_join_mm`` (map of the instances it touches).
-    An instance must still reach ``min_length`` after the split.
+    ``case_id, instance_id, n_cells, max_distance, n_absorbed, vessel_join_mm`` (map of the instances it touches),
+    and the flooded cells with ``instance_id, exit``. An instance must still reach ``min_length`` after the split.
     """
     spark = flooded.sparkSession
     rounds = Rounds(spark, "instances")
     way = exits(flooded).join(patches.selectExpr("gid AS exit", "origin"), "exit")
-    cells, _ = rounds.save(flooded.join(way.select("gid", "origin"), "gid"))
+    cells, _ = rounds.save(flooded.join(way.select("gid", "origin", "exit"), "gid"))
     joins, _ = rounds.save(graph.territory_joins(cells, "origin"))
     tops = patches.groupBy(F.expr("origin AS id")).agg(F.expr("max(peak) AS peak"))
     folded, _ = rounds.save(absorb(tops, joins, min_peak))
@@ -94,6 +95,7 @@ def instances(flooded: DataFrame, patches: DataFrame, min_length: float, min_pea
               .join(alive.withColumnRenamed("instance_id", "other"), "other", "left_semi")
               .groupBy("instance_id", "other").agg(F.expr("min(join_mm) AS mm"))
               .groupBy("instance_id").agg(F.expr("map_from_entries(collect_list(struct(other, mm))) AS vessel_join_mm")))
-    return size.join(shared, "instance_id", "left").selectExpr(
+    table = size.join(shared, "instance_id", "left").selectExpr(
         "case_id", "instance_id", "n_cells", "max_distance", "n_absorbed",
         "coalesce(vessel_join_mm, map()) AS vessel_join_mm")
+    return table, final.join(alive, "instance_id", "left_semi").drop("origin")

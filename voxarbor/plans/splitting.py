@@ -24,5 +24,5 @@ def split_instances(spark, sf):
     fl = trunk_flood(spark, sf, 1.1, 60)
     patch = fl.where("dist BETWEEN 1 AND 17").join(voxels(spark, sf).selectExpr("gid", "hu"), "gid").selectExpr(
         "gid", "case_id * 100 + (y div 2) * 10 + x div 2 AS origin", "hu / 5000000D AS peak")
-    return split.instances(fl, patch, 24).selectExpr(
+    return split.instances(fl, patch, 24)[0].selectExpr(
         "case_id", "instance_id", "n_cells", "max_distance", "n_absorbed", "cast(size(vessel_join_mm) AS int) AS n_shared")
