@@ -102,3 +102,19 @@ def test_phantom_suite_and_truth(spark):
     assert vox.count() == 32 * 32 * 40
     row = vox.where("z = 20 AND y = 16 AND x IN (2, 18, 26)").orderBy("x").collect()
     assert [(r.hu, r.in_mask) for r in row] == [(40.0, False), (400.0, True), (400.0, False)]
+
+
+def test_watch_predictions_once_each(spark, tmp_path):
+    from voxarbor.streaming.incremental import watch_predictions
+
+    src = tmp_path / "in"
+    src.mkdir()
+    doc = lambda case, d: json.dumps({"case_id": case, "parent": {"instance_id": "aorta"}, "daughters": [d]})
+    (src / "a.json").write_text(doc("a", daughter()))
+    (src / "b.json").write_text(doc("b", daughter(radius_mm=-1.0)))
+    args = (spark, str(src), str(tmp_path / "out"), str(tmp_path / "state"))
+    watch_predictions(*args).awaitTermination()
+    (src / "c.json").write_text(doc("c", daughter()))
+    watch_predictions(*args).awaitTermination()
+    cases = lambda part: sorted(r.case_id for r in spark.read.json(str(tmp_path / "out" / part)).collect())
+    assert cases("valid") == ["a", "c"] and cases("rejected") == ["b"]

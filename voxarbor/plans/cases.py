@@ -295,6 +295,8 @@ def measure(vox, s, rounds, stats, fl, chosen, opened, trunk, line, wall, caps,
     to_cap = nearest.nearest(ost.join(inst.selectExpr("instance_id AS trace_id", "case_id"), "trace_id").selectExpr(
         "case_id", "trace_id AS id", "x", "y", "z"), ends_mm, ["case_id"], 8.0, default=999.0)
 
+    touching = patch_partners(spots.selectExpr("case_id", "instance_id", "gid AS id", "px AS x", "py AS y", "pz AS z"), s.gap)
+
     wide = (table.join(inst.select("instance_id", "label"), "instance_id")
             .join(lim, "instance_id").join(mid.select("instance_id", "patch_area"), "instance_id")
             .join(ost.withColumnRenamed("trace_id", "instance_id"), "instance_id")
@@ -308,11 +310,12 @@ def measure(vox, s, rounds, stats, fl, chosen, opened, trunk, line, wall, caps,
             .join(near.selectExpr("id AS instance_id", "tx", "ty", "tz", "position"), "instance_id", "left")
             .join(to_cap.selectExpr("id AS instance_id", "dist AS distance_to_cap_mm"), "instance_id", "left")
             .join(capped.selectExpr("instance_id", "share AS cap_face_fraction", "ratio AS cap_radius_ratio"), "instance_id", "left")
-            .join(chosen, "case_id").withColumn("z_slice", F.expr(f"cast(round(z / {s.spacing[2]}D) AS int)"))
+            .join(touching, "instance_id", "left").join(chosen, "case_id").withColumn("z_slice", F.expr(f"cast(round(z / {s.spacing[2]}D) AS int)"))
             .join(slices.withColumnRenamed("z", "z_slice"), ["case_id", "z_slice"], "left"))
     radius = "CASE WHEN area > 0 THEN sqrt(area / pi()) ELSE front_radius END"
     return wide.selectExpr(
         "case_id", "instance_id AS id", "label AS component_label", "x", "y", "z", "sx", "sy", "sz", "ax", "ay", "az", "vessel_join_mm", "truncated_by",
+        "coalesce(partners, cast(array() AS array<bigint>)) AS partners",
         "CASE WHEN truncated_by = 'bifurcation' THEN least(fine_length, trace_length) ELSE fine_length END AS traced_length_mm",
         "cast(truncated_by = 'bifurcation' AS double) AS truncated_by_bifurcation", "cast(truncated_by = 'vessel_end' AS double) AS truncated_by_vessel_end",
         "cast(reached AS double) AS reached_seed_distance", "hu_mean - ref AS mean_hu_relative_to_lumen", "hu_max - ref AS peak_hu_relative_to_lumen",
@@ -330,17 +333,23 @@ def measure(vox, s, rounds, stats, fl, chosen, opened, trunk, line, wall, caps,
         "cast(n_absorbed AS double) AS n_absorbed_narrow_pieces")
 
 
-def report(features: DataFrame, cases: DataFrame, s: Settings = Settings(), gaps: DataFrame | None = None) -> DataFrame:
+def patch_partners(spots: DataFrame, gap: float) -> DataFrame:
+    """Instances of a case whose contact patches come within ``gap``: ``instance_id, partners`` (at most 39)."""
+    near = nearest.within_distance(spots, spots, ["case_id"], gap).select("id", "other").where("id <> other")
+    own = spots.select("id", "instance_id")
+    pairs = near.join(own, "id").join(own.selectExpr("id AS other", "instance_id AS partner"), "other").where(
+        "instance_id <> partner").select("instance_id", "partner").distinct()
+    return pairs.groupBy("instance_id").agg(F.expr("collect_set(partner) AS partners"))
+
+
+def report(features: DataFrame, cases: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Nested predictions: score, accept, fold, number and assemble. ``cases``: ``case_id``.
 
-    ``gaps`` (``id, partners``) names the instances whose contact patches lie within the patch tolerance; without it the
-    ostium distance decides alone.
+    Two findings of different components count once when their ostia are close and their contact patches touch.
     """
     rows = explain(features.drop("vessel_join_mm"), s.limits, with_terms=False)  # maps cannot be ordered
-    close = f"k.row.component_label <> x.row.component_label AND {dedupe.distance()} <= {s.merge}"
-    if gaps is not None:
-        rows = rows.join(gaps, "id", "left")
-        close += " AND array_contains(coalesce(x.row.partners, cast(array() AS array<bigint>)), k.row.id)"
+    close = (f"k.row.component_label <> x.row.component_label AND {dedupe.distance()} <= {s.merge} "
+             "AND array_contains(x.row.partners, k.row.id)")
     kept = dedupe.fold(rows, "struct(-confidence AS c, id AS i)", close, f"confidence >= {s.limits.threshold}").where("folded_into IS NULL")
     ranked = kept.selectExpr("*", "row_number() OVER (PARTITION BY case_id ORDER BY confidence DESC, id) AS position")
     rows = ranked.selectExpr(
