@@ -257,3 +257,16 @@ def band_membership(spark, sf):
     vox = with_reference(voxels(spark, sf))
     like = trapezoid(F.col("hu") / F.col("ref"), (0.35, 0.60, 1.35, 2.00))
     return vox.select("gid", F.round(like, 6).alias("likeness"))
+
+
+@query("coordinate_identity_join", f"""
+WITH {SIDES},
+k AS (SELECT case_id, id, round(x, 3) AS x, round(y, 3) AS y, z FROM p)
+SELECT k.id, pt.id AS other FROM k JOIN pt ON pt.case_id = k.case_id AND pt.kind = 'F'
+WHERE sqrt((k.x - pt.x)*(k.x - pt.x) + (k.y - pt.y)*(k.y - pt.y) + (k.z - pt.z)*(k.z - pt.z)) <= 0.001""")
+def coordinate_identity_join(spark, sf):
+    """Find the full record of a reported point again by its rounded coordinates."""
+    preds, _ = order_sides(spark, sf)
+    reported = preds.selectExpr("case_id", "id", "round(x, 3) AS x", "round(y, 3) AS y", "z")
+    full = order_points(spark, sf).where("kind = 'F'")
+    return nearest.within_distance(reported, full, ["case_id"], 0.001).select("id", "other")

@@ -378,3 +378,16 @@ def territory_join_min(spark, sf):
     fl = trunk_flood(spark, sf, 1.1, 60).where("dist > 0").selectExpr(
         "*", "cast((y div 2) * 10 + x div 2 AS int) AS label")
     return graph.territory_joins(fl)
+
+
+@query("boundary_faces", f"""
+WITH {bright_sql(1.2)}
+SELECT a.gid, CAST(o.dz AS INT) AS nz, CAST(o.dy AS INT) AS ny, CAST(o.dx AS INT) AS nx
+FROM br a JOIN off o ON o.s = 1 WHERE NOT EXISTS (SELECT 1 FROM br b WHERE b.case_id = a.case_id
+  AND b.z = a.z + o.dz AND b.y = a.y + o.dy AND b.x = a.x + o.dx)""")
+def boundary_faces(spark, sf):
+    """Exposed faces of bright cells with their outward normal, the relational part of a surface mesh."""
+    from voxarbor.sources.scene import exposed_faces
+
+    gid = f"cast(case_id * {NZ * NY * NX} + (z * {NY} + y) * {NX} + x AS bigint) AS gid"
+    return exposed_faces(bright(spark, sf, 1.2)).selectExpr(gid, "nz", "ny", "nx")
