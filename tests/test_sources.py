@@ -92,7 +92,7 @@ def test_round_trip_drops_extra_fields_and_reads_bare_lists(spark, tmp_path):
     assert predictions.file_manifest(spark, str(tmp_path / "s9")).count() == 2
 
 
-def test_phantom_suite_and_truth(spark):
+def test_generated_cases_and_truth(spark):
     suite = phantom.suite()
     assert len(suite) == 32 and len({p.case_id for p in suite}) == 32
     checked = schema.validate(phantom.truth(spark, suite))

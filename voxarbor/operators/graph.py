@@ -6,8 +6,6 @@ budget / shortest edge hops, two per job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from voxarbor.functions.rules import Limits, explain
 from voxarbor.functions.scalar import case_id_from_path
-from voxarbor.operators import dedupe, nearest, studies
+from voxarbor.operators import nearest, studies
 from voxarbor.plans import detection as det
 from voxarbor.plans.points import SIDES, order_sides
 from voxarbor.plans.registry import query
-from voxarbor.sources.tables import NX, NY, NZ, VOXELS_SQL, table, voxels
+from voxarbor.sources.tables import NZ, VOXELS_SQL, table, voxels
 
 GRID = ", ".join(f"{t}" for t in studies.THRESHOLDS)
 
