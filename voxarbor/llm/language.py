@@ -12,7 +12,7 @@ UNKNOWN = "und"
 
 
 def learn_dictionaries(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-                       docs_per_language: int = 400, piece: int = 600, size: int = 110_000) -> dict[str, bytes]:
+                       docs_per_language: int = 400, piece: int = 300, size: int = 60_000) -> dict[str, bytes]:
     """Raw-content dictionary of each language from a bounded sample of labelled rows.
 
     Of about ``docs_per_language`` rows, chosen by a hash of the key, a piece of
@@ -31,8 +31,8 @@ def learn_dictionaries(labelled: DataFrame, key: str = "doc_id", text: str = "te
     return learned
 
 
-def identify(docs: DataFrame, learned: dict[str, bytes], key: str = "doc_id", text: str = "text", block: int = 4096,
-             level: int = 3, narrow: float = 0.004, rows: int = 1000) -> DataFrame:
+def identify(docs: DataFrame, learned: dict[str, bytes], key: str = "doc_id", text: str = "text", block: int = 1024,
+             level: int = 9, narrow: float = 0.002, rows: int = 1000) -> DataFrame:
     """Language of every text: the dictionary with which it compresses to the fewest bytes.
 
     The whole text is compressed in blocks, so the dictionary keeps its say in

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxarbor.llm import language, tokens
+from voxarbor.llm import bpe, language, simhash, tokens
 from voxarbor.llm.common import fold, table, vocabulary
 
 QUERIES, ORACLES = {}, {}
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def query(fn):
@@ -26,3 +27,18 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = language.learn_dictionaries(docs.where(fold(folds=4) != 2))
     return language.identify(docs, learned).withColumn("held_out", F.coalesce(fold(folds=4) == 2, F.lit(False)))
+
+
+@query
+def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.ranks(vocabulary(RANKS))
+    coded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(coded, ranks).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
