@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxarbor.llm import bpe, language, simhash, tokens
+from voxarbor.llm import bpe, language, mainpart, simhash, tokens, toxicity
 from voxarbor.llm.common import fold, table, vocabulary
 
 QUERIES, ORACLES = {}, {}
@@ -42,3 +42,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
     return bpe.decode(coded, ranks).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainpart.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.learn(docs, table(spark, sf_dir, "labels").where(fold() != 0))
+    return toxicity.tag(docs, chain).withColumn("held_out", F.coalesce(fold() == 0, F.lit(False)))
