@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxarbor.llm import bpe, language, mainpart, simhash, tokens, toxicity
+from voxarbor.llm import bpe, decontaminate, language, mainpart, rules, simhash, tokens, toxicity
 from voxarbor.llm.common import fold, table, vocabulary
 
 QUERIES, ORACLES = {}, {}
@@ -54,3 +54,19 @@ def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.learn(docs, table(spark, sf_dir, "labels").where(fold() != 0))
     return toxicity.tag(docs, chain).withColumn("held_out", F.coalesce(fold() == 0, F.lit(False)))
+
+
+@query
+def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated")
+
+
+ORACLES["op9_line_frequency"] = rules.SQL
+ORACLES["op10_winnowing"] = decontaminate.SQL
