@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxarbor.llm import bpe, decontaminate, language, mainpart, rules, simhash, tokens, toxicity
+from voxarbor.llm import bpe, decontaminate, language, mainpart, privacy, rules, simhash, tokens, toxicity
 from voxarbor.llm.common import fold, table, vocabulary
 
 QUERIES, ORACLES = {}, {}
@@ -70,3 +70,14 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op9_line_frequency"] = rules.SQL
 ORACLES["op10_winnowing"] = decontaminate.SQL
+
+
+@query
+def op3_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = privacy.find(docs, privacy.learn(docs))
+    counts = [F.size(F.filter("base", privacy.ranked(r))).cast("long").alias(f"n_{k}")
+              for r, k in enumerate(privacy.KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(privacy.listed(F.col("base")), 256).alias("base_sha256"),
+        privacy.listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
