@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxarbor.llm import bpe, decontaminate, language, mainpart, privacy, rules, simhash, tokens, toxicity
+from voxarbor.llm import bpe, decontaminate, grading, language, mainpart, privacy, rules, simhash, tokens, toxicity
 from voxarbor.llm.common import fold, table, vocabulary
 
 QUERIES, ORACLES = {}, {}
@@ -17,6 +17,16 @@ def query(fn):
     return fn
 
 
+@query
+def op1_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded ratings from the labels: 0 poor, 1 sound but toxic, 2 sound and clean; selected if probably 1 or more."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rating = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    rated = labels.select("doc_id", rating.alias("rating")).where(fold() != 0)
+    return grading.grade(docs, grading.learn(docs, rated), select=1).withColumn(
+        "held_out", F.coalesce(fold() == 0, F.lit(False)))
+
+
 @query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
