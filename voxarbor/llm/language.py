@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
-from voxarbor.llm.common import bounded_sample, slices
+from voxarbor.llm.common import bounded_sample
 
 UNKNOWN = "und"
 
@@ -31,21 +32,9 @@ def learn_dictionaries(labelled: DataFrame, key: str = "doc_id", text: str = "te
     return learned
 
 
-def identify(docs: DataFrame, learned: dict[str, bytes], key: str = "doc_id", text: str = "text", block: int = 1024,
-             level: int = 9, narrow: float = 0.002, rows: int = 1000) -> DataFrame:
-    """Language of every text: the dictionary with which it compresses to the fewest bytes.
-
-    The whole text is compressed in blocks, so the dictionary keeps its say in
-    long texts. ``score`` is 1 - 2^-d for a lead of d bytes over the second
-    language, and ``rejected`` marks a lead below ``narrow`` of the best size;
-    an exact tie takes the first language by name and is rejected. Null texts
-    and texts without letters are ``und``, score 0, rejected, as is every text
-    if no language was learned; with one language its score is 1. Repeated
-    rows are judged row by row and other columns are ignored.
-    """
+def judged(learned: dict[str, bytes], text: Column, block: int = 1024, level: int = 9, narrow: float = 0.002) -> Column:
+    """Struct ``lang_pred, score, rejected`` of a text column; see ``identify``."""
     names = sorted(learned)
-    schema = pa.schema([("key", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()),
-                        ("rejected", pa.bool_())])
 
     def judge(parts):
         import re
@@ -71,12 +60,29 @@ def identify(docs: DataFrame, learned: dict[str, bytes], key: str = "doc_id", te
             lead = sizes[1][0] - sizes[0][0]
             return sizes[0][1], 1.0 - 2.0 ** -min(lead, 60), lead <= narrow * sizes[0][0]
 
-        for whole in parts:
-            for part in slices(whole, rows):
-                found = [decide(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_pydict({
-                    "key": part.column(0), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found],
-                    "rejected": [f[2] for f in found]}, schema=schema)
+        for part in parts:
+            yield pd.DataFrame([decide(t) for t in part], columns=["lang_pred", "score", "rejected"])
+
+    udf = F.pandas_udf(judge, "lang_pred string, score double, rejected boolean", PandasUDFType.SCALAR_ITER)
+    return udf(text)
+
+
+def identify(docs: DataFrame, learned: dict[str, bytes], key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """``key, lang_pred, score, rejected``: the dictionary with which a text compresses to the fewest bytes.
+
+    The whole text is compressed in blocks, so the dictionary keeps its say in
+    long texts. ``score`` is 1 - 2^-d for a lead of d bytes over the second
+    language, and ``rejected`` marks a lead of at most ``narrow`` of the best
+    size; an exact tie takes the first language by name and is rejected. Null
+    texts and texts without letters are ``und``, score 0, rejected, as is every
+    text if no language was learned; with one language its score is 1. Repeated
+    rows are judged row by row and other columns are dropped.
+    """
+    return docs.select(F.col(key).alias("key"), judged(learned, F.col(text), **settings).alias("j")).select(
+        F.col("key").alias(key), "j.*")
+
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(
-        judge, "key long, lang_pred string, score double, rejected boolean").withColumnRenamed("key", key)
+def recognised(docs: DataFrame, learned: dict[str, bytes], text: str = "text", **settings) -> DataFrame:
+    """The rows whose language is not rejected, with all their columns."""
+    found = docs.select(F.struct("*").alias("row"), judged(learned, F.col(text), **settings).alias("j"))
+    return found.where(~F.col("j.rejected")).select("row.*")

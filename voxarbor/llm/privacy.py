@@ -248,6 +248,15 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", precision: f
     return model
 
 
+def redact(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
+    """All rows and columns, with the spans of ``find`` replaced in the text; null texts stay null."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    found = find(rows, model, "row", "text")
+    plain = redacted(F.col("text"), F.array_sort(F.concat("base", "added")))
+    return found.select(F.col("row").withField(text, F.when(F.col(f"row.{text}").isNotNull(), plain)).alias("row")).select(
+        "row.*")
+
+
 def find(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, text, base, added``: spans of every whole text as arrays of ``start, rank, end`` (code points, end
     exclusive; rank in ``KINDS``), each in order.
