@@ -73,11 +73,12 @@ def marginals(emissions: list[np.ndarray], start: float, moves: np.ndarray) -> l
 
 
 def summary(p: np.ndarray) -> tuple[float, float]:
-    """What a document's marginals say together: log-odds of its worst word and of any toxic word at all."""
+    """What a document's marginals say together: log-odds of its worst word, and of any toxic word among those
+    that are at least one in five, so that length alone adds up to nothing."""
     if not len(p):
         return -12.0, -12.0
     top = min(float(p.max()), 1 - 1e-6)
-    none = float(np.log1p(-np.minimum(p, 1 - 1e-9)).sum())
+    none = float(np.log1p(-np.minimum(p[p >= 0.2], 1 - 1e-9)).sum())
     some = min(max(-np.expm1(none), 1e-6), 1 - 1e-6)
     return max(np.log(top / (1 - top)), -12.0), max(np.log(some / (1 - some)), -12.0)
 
