@@ -5,30 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxarbor.session import Rounds
 
-def first_per_case(df: DataFrame, order: str, limit: int = 40) -> DataFrame:
-    """The first ``limit`` findings of each case in list order."""
+KEY = ["case_id", "id"]
+
+
+def first_per_case(df: DataFrame, order: str, limit: int) -> DataFrame:
+    """The first ``limit`` findings of each case in list order, where a report asks for that."""
     return (df.selectExpr("*", f"row_number() OVER (PARTITION BY case_id ORDER BY {order}) AS _k")
             .where(f"_k <= {limit}").drop("_k"))
 
 
-def fold(df: DataFrame, rank: str, conflict: str, accept: str = "true") -> DataFrame:
+def conflicts(rows: DataFrame, conflict: str, reach: float) -> DataFrame:
+    """``case_id, id, k_id, k_rank``: every row with the better-ranked rows it conflicts with.
+
+    Only rows in neighbouring cells of ``reach`` meet, whatever the case holds.
+    """
+    cells = [F.expr(f"cast(floor({c} / {reach!r}D) AS bigint)").alias(f"_{c}") for c in "xyz"]
+    own = rows.select("*", *cells)
+    other = own
+    for c in "xyz":
+        other = other.withColumn(f"_{c}", F.explode(F.expr(f"array(_{c} - 1, _{c}, _{c} + 1)")))
+    on = [F.col(f"k.{c}") == F.col(f"x.{c}") for c in ("case_id", "_x", "_y", "_z")]
+    return own.alias("x").join(other.alias("k"), on).where(f"k._rank < x._rank AND ({conflict})").selectExpr(
+        "x.case_id", "x.id", "k.id AS k_id", "k._rank AS k_rank")
+
+
+def fold(df: DataFrame, rank: str, conflict: str, reach: float, accept: str = "true") -> DataFrame:
     """Walk each case from the best rank down and fold a row into the first kept row it conflicts with.
 
-    ``df`` is limited per case (``first_per_case``) and holds ``case_id, id``. ``conflict`` is SQL over
-    ``k.row`` (a kept row) and ``x.row`` (the row at hand). Adds ``folded_into``, NULL for kept rows. Rows that
-    fail ``accept`` never leave the map side. The walk is one SQL fold over the short per-case array.
+    ``df`` holds ``case_id, id, x, y, z``; ``conflict`` is SQL over ``k`` (a kept row) and ``x`` (the row at hand)
+    and holds only within ``reach`` along each axis; ``rank`` is unique in a case. Adds ``folded_into``, NULL for
+    kept rows; rows that fail ``accept`` are left out. The result is that of the walk, but rows decide at once: a
+    row is kept when all better rows it conflicts with are folded, and folded when one of them is kept.
     """
-    kinds = dict(df.dtypes)
-    row = "struct<" + ",".join(f"{c}:{t}" for c, t in df.dtypes) + ">"
-    line = df.groupBy("case_id").agg(F.expr(
-        f"array_sort(collect_list(struct({rank} AS k, struct({', '.join(df.columns)}) AS row)) FILTER (WHERE {accept})) AS line"))
-    return line.selectExpr(f"""inline(aggregate(line,
-        cast(array() AS array<struct<row:{row},folded_into:{kinds['id']}>>),
-        (acc, x) -> concat(acc, array(named_struct('row', x.row, 'folded_into',
-            get(filter(acc, k -> k.folded_into IS NULL AND ({conflict})), 0).row.id)))))""").select(
-        "row.*", "folded_into")
-
-
-def distance(a: str = "k.row", b: str = "x.row") -> str:
+    rounds = Rounds(df.sparkSession, "fold")
+    rows, _ = rounds.save(df.where(accept).withColumn("_rank", F.expr(rank)))
+    pairs, state = rounds.save(conflicts(rows, conflict, reach), n=F.expr("count(1)"))
+    if not state["n"]:
+        return rows.drop("_rank").withColumn("folded_into", F.lit(None).cast(dict(df.dtypes)["id"]))
+    below = pairs.select(*KEY).distinct().withColumn("kept", F.lit(None).cast("boolean"))
+    top = pairs.selectExpr("case_id", "k_id AS id").distinct().join(below, KEY, "left_anti").selectExpr(*KEY, "true AS kept")
+    now, state = rounds.save(below.unionByName(top), left=F.expr("count_if(kept IS NULL)"))
+    while state["left"]:
+        told = now.selectExpr("case_id", "id AS k_id", "kept AS k_kept")
+        open_ = now.where("kept IS NULL").select(*KEY)
+        news = pairs.join(open_, KEY, "left_semi").join(told, ["case_id", "k_id"]).groupBy(*KEY).agg(F.expr(
+            "CASE WHEN bool_or(k_kept) THEN false WHEN count(k_kept) = count(1) THEN true END AS kept"))
+        old = now
+        now, state = rounds.save(now.where("kept IS NOT NULL").unionByName(news), left=F.expr("count_if(kept IS NULL)"))
+        rounds.retire(old)
+    kept = now.where("kept").selectExpr("case_id", "id AS k_id")
+    into = (pairs.join(now.where("NOT kept").select(*KEY), KEY, "left_semi").join(kept, ["case_id", "k_id"], "left_semi")
+            .groupBy(*KEY).agg(F.expr("min_by(k_id, k_rank) AS folded_into")))
+    return rows.drop("_rank").join(into, KEY, "left").select(*df.columns, "folded_into")
+
+
+def distance(a: str = "k", b: str = "x") -> str:
     return "sqrt(" + " + ".join(f"({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})" for c in "xyz") + ")"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_PREDICTIONS = 40  # a case holds at most this many reported points
+from voxarbor.session import Rounds
+
+SMALL = 40  # rows up to which plain lists are faster than array calls
 
 
 def assign(cost: list[list[float]]) -> list[int]:
@@ -17,6 +20,8 @@ def assign(cost: list[list[float]]) -> list[int]:
     lists: a case is a handful of points, where array calls cost more than the arithmetic.
     """
     n, m = len(cost), len(cost[0])
+    if n > SMALL:
+        return _assign_arrays(np.array(cost))
     u, v, owner = [0.0] * n, [0.0] * m, [-1] * m
     for row in range(n):
         short, back, used = [float("inf")] * m, [-1] * m, [False] * m
@@ -51,6 +56,36 @@ def assign(cost: list[list[float]]) -> list[int]:
     return out
 
 
+def _assign_arrays(cost: np.ndarray) -> list[int]:
+    """``assign`` with one array call per step, for large cases."""
+    n, m = cost.shape
+    u, v, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
+    for row in range(n):
+        short, back, used = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        at, col = row, -1
+        while True:
+            d = cost[at] - u[at] - v
+            better = ~used & (d < short)
+            short[better], back[better] = d[better], col
+            nxt = int(np.argmin(np.where(used, np.inf, short)))
+            best = short[nxt]
+            u[row] += best
+            u[owner[used]] += best
+            v[used] -= best
+            short[~used] -= best
+            used[nxt], col = True, nxt
+            if owner[nxt] < 0:
+                break
+            at = owner[nxt]
+        while col >= 0:
+            owner[col], col = (owner[back[col]] if back[col] >= 0 else row), back[col]
+    out = [-1] * n
+    for j, i in enumerate(owner.tolist()):
+        if i >= 0:
+            out[i] = j
+    return out
+
+
 FAR = 1e12  # stands for a pair that cannot be part of the chosen optimum
 
 
@@ -73,26 +108,26 @@ def _cheapest(preds: pd.Series, refs: pd.Series, dist: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def match(preds: DataFrame, refs: DataFrame, threshold: float, bound: int = MAX_PREDICTIONS) -> DataFrame:
+def match(preds: DataFrame, refs: DataFrame, threshold: float) -> DataFrame:
     """Pairs of the cheapest total assignment per case, those beyond ``threshold`` dropped afterwards.
 
     Both sides hold ``case_id, id, x, y, z``. The gate must not come first: a far pair can displace a
-    near one. A case has at most ``bound`` predictions (checked), and some optimum gives each of
-    them one of its ``bound`` nearest references, so a case sends at most ``bound`` squared candidate
-    pairs to its task however many references it has.
+    near one. Some optimum gives each prediction one of its nearest references, as many as the case has
+    predictions, so a case sends at most the square of its smaller side to its task. The pairs are written
+    once, so scores that use them several times do not assign again.
     """
-    n = preds.groupBy("case_id").agg(F.expr("count(1) AS n")).selectExpr(
-        "case_id", f"CASE WHEN n > {bound} THEN raise_error('more than {bound} predictions in a case') ELSE n END AS n")
+    n = preds.groupBy("case_id").agg(F.expr("count(1) AS n"))
     pairs = (preds.join(n, "case_id").selectExpr("case_id", "n", "id AS pred_id", "x", "y", "z")
              .join(refs.selectExpr("case_id", "id AS ref_id", "x AS rx", "y AS ry", "z AS rz"), "case_id")
              .selectExpr("case_id", "n", "pred_id", "ref_id",
                          "sqrt((x-rx)*(x-rx) + (y-ry)*(y-ry) + (z-rz)*(z-rz)) AS distance"))
     near = pairs.selectExpr(
         "*", "row_number() OVER (PARTITION BY case_id, pred_id ORDER BY distance, ref_id) AS k",
-    ).where(f"k <= {bound} AND k <= n").select("case_id", "pred_id", "ref_id", "distance")
+    ).where("k <= n").select("case_id", "pred_id", "ref_id", "distance")
     case = near.groupBy("case_id").agg(F.expr("collect_list(struct(pred_id, ref_id, distance)) AS c"))
     pick = case.select("case_id", "c", _cheapest("c.pred_id", "c.ref_id", "c.distance").alias("best"))
-    return pick.selectExpr("case_id", "inline(transform(best, i -> c[i]))").where(f"distance <= {threshold}")
+    chosen = pick.selectExpr("case_id", "inline(transform(best, i -> c[i]))").where(f"distance <= {threshold}")
+    return Rounds(preds.sparkSession, "match").save(chosen)[0]
 
 
 def outcome(preds: DataFrame, refs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str] = (), size: f
         todo = tried.where("NOT final").select(*keys, *XYZ)
         size *= GROWTH
     if found is None:
-        return left.selectExpr("*", "cast(NULL AS bigint) AS nn", f"cast({default or 'NULL'} AS double) AS dist")
+        return left.selectExpr("*", "cast(NULL AS bigint) AS nn", f"cast({'NULL' if default is None else default} AS double) AS dist")
     dist = "sqrt(d2)" if default is None else f"coalesce(sqrt(d2), {default}D)"
     return left.join(found, [*keys, *XYZ], "left").selectExpr(*left.columns, "nn", f"{dist} AS dist")
 
@@ -100,15 +100,3 @@ def within_distance(left: DataFrame, right: DataFrame, keys: Sequence[str], reac
     square = " + ".join(f"({c} - r{c}) * ({c} - r{c})" for c in XYZ)
     near = _around(_cells(left.select(*keys, "id", *XYZ), reach)).join(there, [*keys, "cx", "cy", "cz"])
     return near.selectExpr(*keys, "id", "other", f"sqrt({square}) AS dist").where(f"dist <= {reach!r}D")
-
-
-def within_case(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Nearest ``right`` row of the same case when the right side is short per case (at most 40 rows).
-
-    One equi-join and a map-side-combined ``min``; every left row stays, NULL without a partner.
-    """
-    there = right.selectExpr("case_id", "id AS nn", *[f"{c} AS r{c}" for c in XYZ])
-    square = " + ".join(f"({c} - r{c}) * ({c} - r{c})" for c in XYZ)
-    return left.join(there, "case_id", "left").groupBy("case_id", "id").agg(
-        F.expr(f"min(CASE WHEN nn IS NOT NULL THEN struct(sqrt({square}) AS dist, nn) END) AS m")).selectExpr(
-        "case_id", "id", "m.nn AS nn", "m.dist AS dist")

@@ -37,16 +37,13 @@ def resampled_shape(shape: tuple[int, int, int], spacing: tuple[float, float, fl
 
 
 def resample(vox: DataFrame, value: str, spacing: tuple[float, float, float], target: float,
-             shape: tuple[int, int, int], linear: bool = True, fill: float = 0.0,
-             max_cells: int = 20_000_000) -> DataFrame:
+             shape: tuple[int, int, int], linear: bool = True, fill: float = 0.0) -> DataFrame:
     """Values of dense volumes on an isotropic grid of ``target`` mm.
 
     Every source cell emits the target points between it and the next cell, so the new grid is made
     where the data is. Up to half a cell past the last centre the border value holds, then ``fill``.
     """
     size = resampled_shape(shape, spacing, target)
-    if size[0] * size[1] * size[2] > max_cells:
-        raise ValueError(f"the resampled grid {size} exceeds {max_cells} cells")
     axes = [(a, target / s, n, m) for a, s, n, m in zip("zyx", reversed(spacing), shape, size)]
     out = vox.select("case_id", "z", "y", "x")
     for a, step, n, m in axes:

@@ -85,18 +85,19 @@ def resample(df: DataFrame, keys: Sequence[str], order: Sequence[str], seq: str,
              lo: int = 0, hi: int | None = None) -> DataFrame:
     """Linear interpolation at every multiple of ``step`` in ``[lo, hi]``, clamped at the ends.
 
-    ``seq`` holds whole numbers. Each segment between two rows emits the grid points it contains, so
+    Without ``hi`` the grid of each key ends at the first point at or after its last row; offsets are then
+    no longer than a step. ``seq`` holds whole numbers. Each segment between two rows emits the grid points it contains, so
     no range join is needed. Output: keys, ``at``, ``offset``, interpolated ``cols``.
     """
-    if hi is None:
-        raise ValueError("resample needs the end of the grid")
     near = neighbours(df, keys, order, [seq, *cols], block)
     s = F.col(seq).cast("bigint")
     off = near.withColumn("offset", F.explode(F.array(*[F.lit(int(o)) for o in offsets])))
     begin = F.when(F.col(f"prev_{seq}").isNull(), F.lit(lo)).otherwise(
         F.greatest(F.lit(lo), F.ceil((s - F.col("offset")) / F.lit(step)) * step))
-    end = F.when(F.col(f"next_{seq}").isNull(), F.lit(hi)).otherwise(
-        F.least(F.lit(hi), F.ceil((F.col(f"next_{seq}") - F.col("offset")) / F.lit(step)) * step - step))
+    last = F.lit(hi) if hi is not None else F.ceil(s / F.lit(step)) * step
+    inner = F.ceil((F.col(f"next_{seq}") - F.col("offset")) / F.lit(step)) * step - step
+    end = F.when(F.col(f"next_{seq}").isNull(), last).otherwise(
+        inner if hi is None else F.least(F.lit(hi), inner))
     grid = (off.withColumn("_a", begin.cast("bigint")).withColumn("_b", end.cast("bigint"))
             .where(F.col("_a") <= F.col("_b"))
             .withColumn("at", F.explode(F.sequence("_a", "_b", F.lit(step).cast("bigint")))))

@@ -49,12 +49,12 @@ def principal_axis(points: DataFrame, keys: Sequence[str], outward: Sequence[str
         f"CASE WHEN {side} < 0 THEN -axis[{i}] ELSE axis[{i}] END AS a{c}" for i, c in enumerate("xyz")])
 
 
-def bifurcations(cells: DataFrame, neck: float, longest_edge: float, id_space: int) -> DataFrame:
+def bifurcations(cells: DataFrame, neck: float, longest_edge: float) -> DataFrame:
     """First distance at which the front through an instance divides: ``instance_id, distance, blobs``.
 
     ``cells``: ``case_id, z, y, x, gid, instance_id, dist``. Every slab of every instance is labelled in one go:
-    a cell is copied into the few slabs that cover it, and slabs do not touch each other. ``id_space`` is
-    larger than any ``gid``.
+    a cell is copied into the few slabs that cover it, slabs do not touch each other, and every copy has an id
+    of its own.
     """
     slab = max(BAND, longest_edge)
     start = neck + slab
@@ -65,7 +65,8 @@ def bifurcations(cells: DataFrame, neck: float, longest_edge: float, id_space: i
         f"cast(greatest(0, ceil((dist - {start}D) / {BAND}D)) AS int))) AS k").where(
         f"{at} < top AND dist >= {at} AND dist < {at} + {slab}D")
     # a slab is a volume of its own
-    solo = copies.selectExpr("struct(instance_id, k) AS case_id", "z", "y", "x", f"k * {id_space} + gid AS gid", "instance_id", "k")
+    solo, _ = Rounds(cells.sparkSession, "slabs").save(copies.selectExpr(
+        "struct(instance_id, k) AS case_id", "z", "y", "x", "monotonically_increasing_id() AS gid", "instance_id", "k"))
     blobs = graph.label_cells(solo).groupBy("instance_id", "k", "label").agg(F.expr("count(1) AS n"))
     big = blobs.selectExpr("*", "max(n) OVER (PARTITION BY instance_id, k) AS most").where(
         f"n >= {BLOB_CELLS} AND n >= {BLOB_SHARE}D * most")

@@ -31,7 +31,7 @@ class Settings:
     contrast: float = 80.0
     merge: float = 3.0
     gap: float = 1.5
-    per_case: int = 40
+    per_case: int | None = 40  # findings a case reports at most, largest parts first; None: all
     hops: int = 3
     limits: Limits = Limits()
 
@@ -210,7 +210,11 @@ def analyse(vox: DataFrame, s: Settings = Settings()) -> DataFrame:
     table, cells = split.instances(kept.select(*CELL, "gid", "dist", "parent").unionByName(
         fl.where("dist = 0").select(*CELL, "gid", "dist", "parent")), patch.join(fit, "label", "left_semi"), s.limits.min_length,
         split.MIN_PEAK + 0.5 * sum(s.spacing) / 3)
-    table, _ = rounds.save(dedupe.first_per_case(table, "max_distance DESC, instance_id", s.per_case))
+    part = members.groupBy("label").agg(F.expr("count(1) AS part_cells"))
+    table = table.join(cells.select("instance_id", "label").distinct(), "instance_id").join(part, "label")
+    if s.per_case is not None:
+        table = dedupe.first_per_case(table, "part_cells DESC, label, instance_id", s.per_case)
+    table, _ = rounds.save(table.drop("label", "part_cells"))
     cells, _ = rounds.save(cells.join(table.select("instance_id"), "instance_id", "left_semi").selectExpr(
         "*", *s.mm()).join(vox.select("gid", "hu"), "gid").join(members.select("gid", "label"), "gid"))
     return measure(vox, s, rounds, stats, fl, chosen, opened, trunk, line, wall, caps, grown, table, cells)
@@ -219,7 +223,7 @@ def analyse(vox: DataFrame, s: Settings = Settings()) -> DataFrame:
 def measure(vox, s, rounds, stats, fl, chosen, opened, trunk, line, wall, caps, grown, table, cells) -> DataFrame:
     """Trace the instances and put their features side by side."""
     inst = cells.select("instance_id", "case_id", "label").distinct()
-    forks = trace.bifurcations(cells.select(*CELL, "gid", "instance_id", "dist"), s.neck, s.edge, 1 << 40)
+    forks = trace.bifurcations(cells.select(*CELL, "gid", "instance_id", "dist"), s.neck, s.edge)
     lim, _ = rounds.save(trace.limits(cells, forks))
     solo = cells.selectExpr("instance_id AS case_id", "z", "y", "x")
     ring = lattice.rim(solo).selectExpr("case_id AS instance_id", "xxhash64(z, y, x) AS id",
@@ -256,7 +260,7 @@ def measure(vox, s, rounds, stats, fl, chosen, opened, trunk, line, wall, caps,
     level = inst.join(chosen, "case_id").selectExpr("instance_id AS trace_id", "case_id", "f * ref AS threshold", "ref AS ceiling")
     tan = trace.tangents(lines, "transform(sequence(0, cast(floor((total + 1e-9D) / 0.5D) AS int)), k -> k * 0.5D)").withColumnRenamed("k", "seq")
     st = lines.where(f"arc >= {trace.REFINE_FROM}").join(tan.where("tx IS NOT NULL"), ["trace_id", "seq"]).join(level, "trace_id").selectExpr(
-        "case_id", "trace_id", "seq", "xxhash64(trace_id, seq) & 1099511627775 AS plane_id", "x", "y", "z", "tx AS dx", "ty AS dy", "tz AS dz",
+        "case_id", "trace_id", "seq", "monotonically_increasing_id() AS plane_id", "x", "y", "z", "tx AS dx", "ty AS dy", "tz AS dz",
         "threshold", "ceiling", grid)
     st, _ = rounds.save(st)
     mids = planes.recentre(st, image, step=0.5).join(st.select("plane_id", "trace_id", "seq"), "plane_id")
@@ -269,7 +273,7 @@ def measure(vox, s, rounds, stats, fl, chosen, opened, trunk, line, wall, caps,
     way = trace.principal_axis(both, ["trace_id"], ["ux", "uy", "uz"])
     seed_tan = trace.tangents(fine, f"array(least({trace.SEED_AT}D, total))")
     at_seed, _ = rounds.save(seeds.join(seed_tan, "trace_id").join(level, "trace_id").selectExpr(
-        "case_id", "trace_id", "trace_id & 1099511627775 AS plane_id", "sx AS x", "sy AS y", "sz AS z", "coalesce(tx, 0D) AS dx", "coalesce(ty, 0D) AS dy",
+        "case_id", "trace_id", "monotonically_increasing_id() AS plane_id", "sx AS x", "sy AS y", "sz AS z", "coalesce(tx, 0D) AS dx", "coalesce(ty, 0D) AS dy",
         "coalesce(tz, 1D) AS dz", "threshold", "ceiling", grid))
     section = planes.recentre(at_seed, image).join(at_seed.select("plane_id", "trace_id"), "plane_id").select("trace_id", "area")
     flat = planes.flatness(at_seed, image).join(at_seed.select("plane_id", "trace_id"), "plane_id").select("trace_id", "flatness")
@@ -334,7 +338,7 @@ def measure(vox, s, rounds, stats, fl, chosen, opened, trunk, line, wall, caps,
 
 
 def patch_partners(spots: DataFrame, gap: float) -> DataFrame:
-    """Instances of a case whose contact patches come within ``gap``: ``instance_id, partners`` (at most 39)."""
+    """Instances of a case whose contact patches come within ``gap``: ``instance_id, partners`` ."""
     near = nearest.within_distance(spots, spots, ["case_id"], gap).select("id", "other").where("id <> other")
     own = spots.select("id", "instance_id")
     pairs = near.join(own, "id").join(own.selectExpr("id AS other", "instance_id AS partner"), "other").where(
@@ -342,17 +346,32 @@ def patch_partners(spots: DataFrame, gap: float) -> DataFrame:
     return pairs.groupBy("instance_id").agg(F.expr("collect_set(partner) AS partners"))
 
 
-def report(features: DataFrame, cases: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Nested predictions: score, accept, fold, number and assemble. ``cases``: ``case_id``.
+def in_patient_space(rows: DataFrame, grids: DataFrame, points: list[str], vectors: list[str]) -> DataFrame:
+    """Array columns of ``rows`` from grid axes (index times spacing) to patient axes.
+
+    ``grids``: ``case_id, origin, direction`` (row-major 3 x 3); a case without a grid keeps its axes.
+    """
+    both = rows.join(grids.selectExpr("case_id", "origin AS _o", "direction AS _d"), "case_id", "left")
+    turned = "transform(array(0, 1, 2), i -> {o}_d[3 * i] * {c}[0] + _d[3 * i + 1] * {c}[1] + _d[3 * i + 2] * {c}[2])"
+    for names, o in ((points, "_o[i] + "), (vectors, "")):
+        for c in names:
+            both = both.withColumn(c, F.expr(f"CASE WHEN _d IS NULL THEN {c} ELSE {turned.format(o=o, c=c)} END"))
+    return both.drop("_o", "_d")
+
+
+def report(features: DataFrame, cases: DataFrame, s: Settings = Settings(), grids: DataFrame | None = None) -> DataFrame:
+    """Nested predictions: score, accept, fold, number and assemble. ``cases``: ``case_id``; with ``grids``
+    (``case_id, origin, direction``) positions and directions are published in patient space.
 
     Two findings of different components count once when their ostia are close and their contact patches touch.
     """
     rows = explain(features.drop("vessel_join_mm"), s.limits, with_terms=False)  # maps cannot be ordered
-    close = (f"k.row.component_label <> x.row.component_label AND {dedupe.distance()} <= {s.merge} "
-             "AND array_contains(x.row.partners, k.row.id)")
-    kept = dedupe.fold(rows, "struct(-confidence AS c, id AS i)", close, f"confidence >= {s.limits.threshold}").where("folded_into IS NULL")
+    close = f"k.component_label <> x.component_label AND {dedupe.distance()} <= {s.merge} AND array_contains(x.partners, k.id)"
+    kept = dedupe.fold(rows, "struct(-confidence AS c, id AS i)", close, s.merge, f"confidence >= {s.limits.threshold}").where("folded_into IS NULL")
     ranked = kept.selectExpr("*", "row_number() OVER (PARTITION BY case_id ORDER BY confidence DESC, id) AS position")
     rows = ranked.selectExpr(
         "case_id", "position", "format_string('branch_%03d', position) AS instance_id", "'aorta' AS parent_instance_id",
         "array(x, y, z) AS ostium_xyz_mm", "array(sx, sy, sz) AS seed_xyz_mm", "radius_at_seed_mm AS radius_mm", "array(ax, ay, az) AS direction_xyz")
+    if grids is not None:
+        rows = in_patient_space(rows, grids, ["ostium_xyz_mm", "seed_xyz_mm"], ["direction_xyz"])
     return schema.assemble(rows, cases, s.per_case)

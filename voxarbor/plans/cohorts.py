@@ -156,7 +156,7 @@ SELECT r.case_id, r.id, arg_min(p.id, ROW(d, p.id)) AS nn, round(min(d), 6) AS d
 def nearest_detection(spark, sf):
     """Closest reported point of the case for every probe; a case without any gives NULL."""
     preds, refs = order_sides(spark, sf)
-    best = nearest.within_case(refs, preds)
+    best = nearest.nearest(refs.select("case_id", "id", "x", "y", "z"), preds, ["case_id"])
     return best.selectExpr("case_id", "id", "nn", "round(dist, 6) AS dist")
 
 

@@ -15,25 +15,25 @@ from voxarbor.plans.registry import query
 from voxarbor.sources.tables import table
 
 LIM = Limits()
-MERGE_MM, GAP_MM, PER_CASE = 3.0, 1.5, 40
+MERGE_MM, GAP_MM, PER_CASE = 3.0, 1.5, 40  # the last only where a report lists the first findings
 
 # expressions shared by both dialects; s(um) q(uantity) c(ents) d(iscount) t(ax)
 FEATURES = {
     "traced_length_mm": "1.5 * n + 1.0",
     "reached_seed_distance": "CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END",
-    "mean_hu_relative_to_lumen": "(sc / n - cc / cn) / 10000.0",
-    "radius_at_seed_mm": "sq / n / 10.0",
+    "mean_hu_relative_to_lumen": "(sc / m - cc / cm) / 10000.0",
+    "radius_at_seed_mm": "sq / m / 10.0",
     "origin_radius_mm": "qmin / 10.0 + 0.3",
     "origin_radius_uncertainty_mm": "0.3",
     "nearby_aortic_radius_mm": "6.0",
-    "radius_consistency_cv": "sqrt(greatest(sqq / n - (sq / n) * (sq / n), 0.0)) / (sq / n)",
-    "cross_section_flatness": "1.0 + sd / n / 4.0",
-    "angle_to_centerline_deg": "10.0 + st / n * 12.0",
+    "radius_consistency_cv": "sqrt(greatest(sqq / m - (sq / m) * (sq / m), 0.0)) / greatest(sq / m, 1.0)",
+    "cross_section_flatness": "1.0 + sd / m / 4.0",
+    "angle_to_centerline_deg": "10.0 + st / m * 12.0",
     "ostium_max_disagreement_mm": "(qmax - qmin) / 12.0",
-    "ostium_flare_ratio": "0.5 + sd / n / 10.0",
-    "leak_margin": "st / n / 8.0",
+    "ostium_flare_ratio": "0.5 + sd / m / 10.0",
+    "leak_margin": "st / m / 8.0",
     "touches_cap": "CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END",
-    "cap_radius_ratio": "sd / n / 14.0",
+    "cap_radius_ratio": "sd / m / 14.0",
     "case_flood_leaking": "CASE WHEN cn > 60.0 THEN 1.0 ELSE 0.0 END",
     "shares_vessel_with_count": "CASE WHEN n >= 7 THEN 1.0 ELSE 0.0 END",
 }
@@ -48,35 +48,36 @@ def _double(sql: str) -> str:
 
 
 def findings(spark, sf) -> DataFrame:
-    """``case_id, id``, place, component and the feature columns; the first 40 orders of a customer."""
-    orders = dedupe.first_per_case(table(spark, sf, "orders").selectExpr(
+    """``case_id, id``, place, component and the feature columns of every order; one without lines counts nothing."""
+    orders = table(spark, sf, "orders").selectExpr(
         "o_custkey AS case_id", "o_orderkey AS id", "o_orderstatus", "o_totalprice",
         "cast(datediff(o_orderdate, date'1995-01-01') AS double) AS days",
-        "cast(substring(o_orderpriority, 1, 1) AS double) AS prio"), "id", PER_CASE)
+        "cast(substring(o_orderpriority, 1, 1) AS double) AS prio")
     lines = table(spark, sf, "lineitem").selectExpr(
         "l_orderkey AS id", "cast(l_quantity AS bigint) AS q", "cast(round(l_extendedprice * 100) AS bigint) AS c",
         "cast(round(l_discount * 100) AS bigint) AS d", "cast(round(l_tax * 100) AS bigint) AS t")
     sums = lines.groupBy("id").agg(*[F.expr(f"cast({e} AS double) AS {n}") for n, e in {
         "n": "count(1)", "sq": "sum(q)", "sqq": "sum(q * q)", "sc": "sum(c)", "sd": "sum(d)", "st": "sum(t)",
         "qmin": "min(q)", "qmax": "max(q)"}.items()])
-    own = orders.join(sums, "id").selectExpr(  # at most 40 rows per window partition
-        "*", "sum(sc) OVER (PARTITION BY case_id) AS cc", "sum(n) OVER (PARTITION BY case_id) AS cn")
+    own = orders.join(sums, "id", "left").fillna(0.0, ["n", "sq", "sqq", "sc", "sd", "st", "qmin", "qmax"])
+    whole = own.groupBy("case_id").agg(F.expr("sum(sc) AS cc"), F.expr("sum(n) AS cn"))
+    own = own.join(whole, "case_id").selectExpr("*", "greatest(n, 1D) AS m", "greatest(cn, 1D) AS cm")
     return own.selectExpr(
         "case_id", "id", "n", "sq", "o_orderstatus", "cast(prio AS int) AS component_label",
         *[f"{_double(e)} AS {c}" for c, e in PLACE.items()],
         *[f"cast({_double(e)} AS double) AS {c}" for c, e in FEATURES.items()])
 
 
-FINDINGS = f"""o40 AS (SELECT o_custkey AS case_id, o_orderkey AS id, o_orderstatus, o_totalprice,
+FINDINGS = f"""od AS (SELECT o_custkey AS case_id, o_orderkey AS id, o_orderstatus, o_totalprice,
     date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::DOUBLE AS days,
-    CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS prio FROM orders
-    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= {PER_CASE}),
+    CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS prio FROM orders),
 ln AS (SELECT l_orderkey AS id, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_extendedprice * 100) AS BIGINT) AS c,
     CAST(round(l_discount * 100) AS BIGINT) AS d, CAST(round(l_tax * 100) AS BIGINT) AS t FROM lineitem),
 sm AS (SELECT id, count(*)::DOUBLE AS n, sum(q)::DOUBLE AS sq, sum(q * q)::DOUBLE AS sqq, sum(c)::DOUBLE AS sc,
     sum(d)::DOUBLE AS sd, sum(t)::DOUBLE AS st, min(q)::DOUBLE AS qmin, max(q)::DOUBLE AS qmax FROM ln GROUP BY 1),
-ow AS (SELECT * FROM o40 JOIN sm USING (id)),
-ca AS (SELECT case_id, sum(sc) AS cc, sum(n) AS cn FROM ow GROUP BY 1),
+ow AS (SELECT od.*, {", ".join(f"coalesce({c}, 0.0)::DOUBLE AS {c}" for c in ("n", "sq", "sqq", "sc", "sd", "st", "qmin", "qmax"))},
+    greatest(coalesce(n, 0), 1.0)::DOUBLE AS m FROM od LEFT JOIN sm USING (id)),
+ca AS (SELECT case_id, sum(sc) AS cc, sum(n) AS cn, greatest(sum(n), 1.0)::DOUBLE AS cm FROM ow GROUP BY 1),
 fe AS (SELECT case_id, id, n, sq, o_orderstatus, CAST(prio AS INT) AS component_label,
     {", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in PLACE.items())},
     {", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in FEATURES.items())}
@@ -128,17 +129,17 @@ def scored(spark, sf, lim: Limits = LIM, with_terms: bool = False) -> DataFrame:
     return explain(findings(spark, sf), lim, with_terms=with_terms)
 
 
-NEAR = (f"k.row.component_label <> x.row.component_label AND {dedupe.distance()} <= {{merge}} "
-        f"AND abs(k.row.y - x.row.y) <= {GAP_MM}D")
+NEAR = (f"k.component_label <> x.component_label AND {dedupe.distance()} <= {MERGE_MM}D "
+        f"AND abs(k.y - x.y) <= {GAP_MM}D")
 RANK = "struct(-round(confidence, 9) AS c, id AS i)"
 
 
-def merged(rows: DataFrame, threshold: float | str = LIM.threshold, merge: float | str = MERGE_MM) -> DataFrame:
-    """Accepted findings with ``folded_into``; at most 40 per case by then.
+def merged(rows: DataFrame, threshold: float | str = LIM.threshold) -> DataFrame:
+    """Accepted findings with ``folded_into``.
 
     Findings of different components whose ostia and patches are close count once.
     """
-    return dedupe.fold(rows, RANK, NEAR.format(merge=merge), f"round(confidence, 9) >= {threshold}")
+    return dedupe.fold(rows, RANK, NEAR, MERGE_MM, f"round(confidence, 9) >= {threshold}")
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -212,7 +213,7 @@ SELECT case_id, id, CAST(k AS INT) AS position, printf('branch_%03d', k) AS inst
 def rank_and_assign_ids(spark, sf):
     """First 40 in list order, then numbered by descending value."""
     f = dedupe.first_per_case(table(spark, sf, "orders").selectExpr(
-        "o_custkey AS case_id", "o_orderkey AS id", "o_totalprice AS p"), "id")
+        "o_custkey AS case_id", "o_orderkey AS id", "o_totalprice AS p"), "id", PER_CASE)
     return f.selectExpr("case_id", "id", "row_number() OVER (PARTITION BY case_id ORDER BY p DESC, id) AS position",
                         ).withColumn("instance_id", F.expr("format_string('branch_%03d', position)"))
 
@@ -274,7 +275,7 @@ n AS (SELECT *, sqrt(a * a + b * b + c * c) AS len FROM v),
 d AS (SELECT vec_id, label, a, b, c,
         CASE WHEN label = 3 THEN -0.5 ELSE 1.5 END AS radius,
         CASE WHEN label = 5 THEN 2.0 WHEN label = 7 THEN -1.0 ELSE 1.0 END AS k,
-        CASE WHEN label = 1 THEN 'renal' ELSE 'branch_001' END AS inst,
+        CASE WHEN label = 1 THEN 'vessel_1' ELSE 'branch_001' END AS inst,
         CASE WHEN label = 2 THEN 'vein' ELSE 'aorta' END AS par,
         CASE WHEN label = 9 THEN 0 ELSE 1 END AS shift FROM n)
 SELECT vec_id, CASE WHEN inst <> 'branch_001' THEN 'instance_id' WHEN par <> 'aorta' THEN 'parent_instance_id'
@@ -287,7 +288,7 @@ def schema_validate(spark, sf):
         "vec_id", "label", *[f"cast(embedding[{i}] AS double) AS {c}" for i, c in enumerate("abc")])
     v = v.selectExpr("*", "sqrt(a * a + b * b + c * c) AS len")
     d = v.selectExpr(
-        "vec_id", "1 AS position", "CASE WHEN label = 1 THEN 'renal' ELSE 'branch_001' END AS instance_id",
+        "vec_id", "1 AS position", "CASE WHEN label = 1 THEN 'vessel_1' ELSE 'branch_001' END AS instance_id",
         "CASE WHEN label = 2 THEN 'vein' ELSE 'aorta' END AS parent_instance_id", "array(a, b, c) AS ostium_xyz_mm",
         "CASE WHEN label = 4 THEN array(a, b) WHEN label = 9 THEN array(a, b, c) ELSE array(2 * a, 2 * b, 2 * c) END AS seed_xyz_mm",
         "CASE WHEN label = 3 THEN -0.5D ELSE 1.5D END AS radius_mm",

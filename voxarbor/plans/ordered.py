@@ -83,13 +83,13 @@ WITH {EV},
 p AS (SELECT user_id, t, max(v) AS v FROM ev GROUP BY ALL),
 s AS (SELECT *, lead(t) OVER w AS nt, lead(v) OVER w AS nv, lag(t) OVER w AS pt
       FROM p WINDOW w AS (PARTITION BY user_id ORDER BY t)),
-g AS (SELECT range * 43200 AS pos FROM range(61)),
+g AS (SELECT user_id AS u, unnest(range(0, CAST(ceil(max(t) / 43200.0) AS BIGINT) + 1)) * 43200 AS pos FROM p GROUP BY 1),
 o AS (SELECT unnest([-3600, 0, 3600]) AS off),
 q AS (SELECT user_id, pos, off,
         CASE WHEN nt IS NULL THEN v
              ELSE v + (nv - v) * greatest(0.0, least(1.0, (pos + off - t) / (nt - t)::DOUBLE)) END AS v
       FROM s, g, o
-      WHERE (pt IS NULL OR pos + off >= t) AND (nt IS NULL OR pos + off < nt))
+      WHERE u = user_id AND (pt IS NULL OR pos + off >= t) AND (nt IS NULL OR pos + off < nt))
 SELECT user_id, pos, round(max(v) FILTER (WHERE off = 0), 5) AS v,
        round((max(v) FILTER (WHERE off = 3600) - max(v) FILTER (WHERE off = -3600)) / 2, 5) AS secant
 FROM q GROUP BY ALL""")
@@ -97,7 +97,7 @@ def interp_at_arc(spark, sf):
     """Value at every half day and the secant over plus and minus one hour, clamped at both ends."""
     p = event_points(spark, sf).groupBy("user_id", "t").agg(F.max("v").alias("v"))
     grid = seq.resample(p, ["user_id"], ["t"], "t", ["v"], block(), 43_200,
-                        offsets=(-3600, 0, 3600), lo=0, hi=60 * 43_200)
+                        offsets=(-3600, 0, 3600), lo=0)
     pick = lambda o: F.max(F.when(F.col("offset") == o, F.col("v")))
     return grid.groupBy("user_id", F.col("at").alias("pos")).agg(
         F.round(pick(0), 5).alias("v"), F.round((pick(3600) - pick(-3600)) / 2, 5).alias("secant"))

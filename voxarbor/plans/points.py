@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxarbor.functions.scalar import trapezoid
-from voxarbor.operators import dedupe, matching, nearest, sampling
+from voxarbor.operators import matching, nearest, sampling
 from voxarbor.plans.registry import query
 from voxarbor.plans.volumes import with_reference
 from voxarbor.sources.tables import NX, NY, NZ, VOXELS_SQL, table, voxels
@@ -106,16 +106,15 @@ def order_points(spark, sf):
 
 
 def order_sides(spark, sf):
-    """Predictions: the first 40 finished orders of a customer. References: all open ones."""
+    """Predictions: the finished orders of a customer. References: the open ones."""
     o = order_points(spark, sf)
-    preds = dedupe.first_per_case(o.where("kind = 'F'"), "id")
-    return preds, o.where("kind = 'O'")
+    return o.where("kind = 'F'"), o.where("kind = 'O'")
 
 
 SIDES = """pt AS (SELECT o_custkey AS case_id, o_orderkey AS id, o_orderstatus AS kind,
   date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::DOUBLE / 100 AS x, o_totalprice / 25000.0 AS y,
   CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS z FROM orders),
-p AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY id) - 1 AS k FROM pt WHERE kind = 'F' QUALIFY k < 40),
+p AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY id) - 1 AS k FROM pt WHERE kind = 'F'),
 r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY id) - 1 AS k FROM pt WHERE kind = 'O')"""
 
 # optimum by dynamic programming over subsets of the smaller side

@@ -1,4 +1,4 @@
-"""Session settings, durable materialisation and size-checked broadcast."""
+"""Session settings and durable materialisation."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -78,9 +77,3 @@ class Rounds:
         target = jvm.org.apache.hadoop.fs.Path(path)
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         target.getFileSystem(conf).delete(target, True)
-
-
-def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it has at most ``rows`` rows."""
-    seen = df.limit(rows + 1).count()
-    return F.broadcast(df) if seen <= rows else df
