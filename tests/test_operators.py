@@ -35,17 +35,11 @@ def test_match_is_not_gated_first(spark):
     assert (total.tp, total.fp, total.fn) == (1, 2, 2)
 
 
-def test_match_bound_is_checked(spark):
-    preds = points(spark, [(1, i, float(i), 0.0, 0.0) for i in range(4)])
-    with pytest.raises(Exception, match="more than 3 predictions"):
-        matching.match(preds, preds, 1.0, bound=3).collect()
-
-
 def test_match_many_references_brute_force(spark):
     rnd = random.Random(4)
     preds = [(1, i, rnd.random(), rnd.random(), rnd.random()) for i in range(3)]
     refs = [(1, 100 + i, rnd.random(), rnd.random(), rnd.random()) for i in range(40)]
-    got = sum(r.distance for r in matching.match(points(spark, preds), points(spark, refs), 9.0, bound=3).collect())
+    got = sum(r.distance for r in matching.match(points(spark, preds), points(spark, refs), 9.0).collect())
     best = min(sum(math.dist(p[2:], r[2:]) for p, r in zip(preds, c)) for c in itertools.permutations(refs, 3))
     assert abs(got - best) < 1e-9
 
