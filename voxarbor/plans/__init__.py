@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("statistics", "ordered", "volumes", "points", "detection", "cohorts", "splitting")
+FAMILIES = ("statistics", "ordered", "volumes", "points", "detection", "cohorts", "splitting", "measures")
 
 
 def load():
