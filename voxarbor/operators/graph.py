@@ -134,11 +134,14 @@ def contract(nodes: DataFrame, links: DataFrame, merges: str) -> DataFrame:
     """Visit links in ascending ``rank`` and merge the lower of two clusters into the higher.
 
     ``nodes``: ``id, peak``; ``links``: ``a, b, rank`` (any orderable type) and ``at`` (a double the
-    rule may use). ``merges`` is SQL over ``lo_peak, hi_peak, at``. It must be monotone: once it
-    refuses two clusters it refuses them later too. Returns ``id, root``.
-
-    A link that is the first one of both its ends can be decided without looking at any other, so
-    all such links are decided at once; the others wait for the next round.
+    rule may use). ``merges`` is SQL over ``lo_peak, at``. It must be monotone: once it refuses a lower
+    cluster it refuses that cluster later too. Returns ``id, root``.
+
+    A link that is the first one of its lower end can be decided at once: whatever the higher end has
+    joined by then is higher still, so the lower end stays the lower one. If several clusters meet at that
+    rank, which of them is the highest is known once none of them has an earlier link left. All links so
+    decided go in one round, and a hub settles its lower neighbours together. Only a chain that rises with
+    its ranks takes a round per link.
     """
     rounds = Rounds(nodes.sparkSession, "contract")
     tops, _ = rounds.save(nodes.selectExpr("id", "peak"))
@@ -158,12 +161,17 @@ def contract(nodes: DataFrame, links: DataFrame, merges: str) -> DataFrame:
                             "CASE WHEN pa >= pb THEN a ELSE b END AS hi", "CASE WHEN pa >= pb THEN b ELSE a END AS lo",
                             "greatest(pa, pb) AS hi_peak", "least(pa, pb) AS lo_peak"))
         # at equal rank the higher partner comes first
-        first = (pair.selectExpr("struct(rank, -hi_peak AS p, hi, lo) AS k", f"({merges}) AS yes", "hi", "lo")
-                 .selectExpr("explode(array(hi, lo)) AS id", "k", "yes")
-                 .groupBy("id").agg(F.expr("min(struct(k, yes)) AS m")))
-        done, _ = rounds.save(first.groupBy("m.k", "m.yes").agg(F.expr("count(1) AS ends")).where("ends = 2")
-                              .selectExpr("k.hi AS hi", "k.lo AS lo", "yes"))
-        step = done.where("yes").selectExpr("lo AS old", "hi AS new")
+        ends = pair.selectExpr("rank", "struct(-hi_peak AS p, hi, lo) AS k", f"({merges}) AS yes", "inline(array("
+                               "struct(lo AS id, hi AS other, true AS low), struct(hi AS id, lo AS other, false AS low)))")
+        ends, _ = rounds.save(ends)
+        first = ends.groupBy("id").agg(F.expr("min(rank) AS rank"))
+        own = ends.join(first, ["id", "rank"]).join(first.selectExpr("id AS other", "rank AS at_first"), "other")
+        ready = own.groupBy("id").agg(F.expr("min(CASE WHEN low THEN struct(k, yes) END) AS m"),
+                                      F.expr("count(1) = 1 OR bool_and(at_first >= rank) AS sure")).where("m IS NOT NULL AND sure")
+        done, _ = rounds.save(ready.selectExpr("m.k.hi AS hi", "m.k.lo AS lo", "m.yes AS yes"))
+        made = done.where("yes").selectExpr("lo AS id", "hi AS parent")
+        stay = made.selectExpr("parent AS id").distinct().join(made.select("id"), "id", "left_anti").selectExpr("id", "id AS parent")
+        step = roots(made.unionByName(stay)).where("id <> root").selectExpr("id AS old", "root AS new")
         moves = step if moves is None else moves.unionByName(step)
         refused = done.where("NOT yes").selectExpr("least(hi, lo) AS a", "greatest(hi, lo) AS b")
         rest = (live.join(refused, ["a", "b"], "left_anti")

@@ -1,4 +1,4 @@
-"""Watershed and instance queries; sequential by nature, so they are checked by brute force in the tests."""
+"""Watershed and instance queries."""
 
 from __future__ import annotations
 
@@ -6,11 +6,32 @@ from pyspark.sql import functions as F
 
 from voxarbor.operators import split
 from voxarbor.plans.registry import query
-from voxarbor.plans.volumes import bright, trunk_flood
+from voxarbor.plans.volumes import bright, bright_sql, near_sql, trunk_flood
 from voxarbor.sources.tables import voxels
 
 
-@query("watershed_basins")
+# one step of the walk per cell, from the brightest down: of the basins that meet there, every lower one joins the highest
+@query("watershed_basins", f"""
+WITH RECURSIVE {bright_sql(1.1)},
+up AS (SELECT a.gid, arg_max(b.gid, ROW(b.hu, -b.gid)) AS parent, max(ROW(b.hu, -b.gid)) AS s
+       FROM {near_sql('br', 'br', '(SELECT dz, dy, dx FROM off UNION ALL SELECT 0, 0, 0)')} GROUP BY 1),
+climb AS (SELECT gid, gid AS cur FROM up UNION ALL SELECT c.gid, up.parent FROM climb c JOIN up ON up.gid = c.cur WHERE up.parent <> c.cur),
+top AS (SELECT c.gid, c.cur AS basin FROM climb c JOIN up ON up.gid = c.cur WHERE up.parent = c.cur),
+met AS (SELECT a.case_id, a.gid, a.hu / 1000000.0 AS h, list(DISTINCT t.basin) AS b
+        FROM {near_sql('br', 'br', 'off')} JOIN top t ON t.gid = b.gid WHERE (b.hu, -b.gid) > (a.hu, -a.gid)
+        GROUP BY ALL HAVING count(DISTINCT t.basin) > 1),
+seq AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY h DESC, gid) AS k FROM met),
+walk AS (SELECT br.case_id, 0::BIGINT AS k, list(struct_pack(b := br.gid, r := br.gid, p := br.hu / 1000000.0)) AS st
+         FROM br JOIN top ON top.gid = br.gid AND top.basin = br.gid GROUP BY 1
+   UNION ALL
+   SELECT case_id, k, list_transform(st, lambda s: CASE WHEN s.r <> hi.r AND list_contains(here, s.r)
+              AND (s.p < 4.0 OR s.p - h < greatest(1.0, 0.2 * s.p)) THEN struct_pack(b := s.b, r := hi.r, p := -hi.p) ELSE s END)
+   FROM (SELECT *, list_transform(m, lambda s: s.r) AS here, list_sort(list_transform(m, lambda s: struct_pack(p := -s.p, r := s.r)))[1] AS hi
+         FROM (SELECT w.case_id, q.k, q.h, w.st, list_filter(w.st, lambda s: list_contains(q.b, s.b)) AS m
+               FROM walk w JOIN seq q ON q.case_id = w.case_id AND q.k = w.k + 1))),
+fin AS (SELECT case_id, unnest(arg_max(st, k)) AS s FROM walk GROUP BY 1)
+SELECT br.case_id, s.r AS basin, count(*) AS cells, max(br.hu / 1000000.0) AS peak
+FROM br JOIN top USING (gid) JOIN fin ON s.b = top.basin GROUP BY ALL""")
 def watershed_basins(spark, sf):
     """Basins of the brightness field of each case after merging the shallow ones."""
     field = bright(spark, sf, 1.1).selectExpr("case_id", "z", "y", "x", "gid", "hu / 1000000D AS height")
