@@ -37,10 +37,14 @@ def test_read_volumes_and_pairs(spark, tmp_path):
         (tmp_path / case / "mask1.nii").write_bytes(nifti(mask, (0.5, 1, 2), (3 + shift, 4, 5), dtype=2))
     (tmp_path / "subject003").mkdir()
     (tmp_path / "subject003" / "orig1.nii").write_bytes(b"broken")
+    (tmp_path / "subject004").mkdir()
+    whole = gzip.compress(nifti(np.arange(30000).reshape(30, 25, 40) % 977, (1, 1, 1)))
+    (tmp_path / "subject004" / "orig1.nii.gz").write_bytes(whole[:600] + b"\xff" * 60 + whole[660:])
     slices = volumes.read_slices(volumes.list_cases(spark, str(tmp_path))).cache()
     good, bad = volumes.load_pairs(slices)
     assert [r.case_id for r in good.collect()] == ["subject001"]
-    assert {r.case_id: r.problem for r in bad.collect()} == {"subject002": "origin", "subject003": "not a NIfTI-1 header"}
+    problems = {r.case_id: r.problem for r in bad.collect()}
+    assert problems.pop("subject004") and problems == {"subject002": "origin", "subject003": "not a NIfTI-1 header"}
     grid = good.first().grid
     assert np.allclose(grid.spacing, (0.5, 1, 2), atol=1e-6) and np.allclose(grid.origin, (3, 4, 5)) and grid.size == [4, 3, 2]
     d = np.array(grid.direction).reshape(3, 3)
@@ -60,14 +64,19 @@ def as_frame(spark, *daughters, case="c1"):
     return spark.createDataFrame([(case, ("aorta",), list(daughters))], schema.PREDICTION)
 
 
-@pytest.mark.parametrize("change, problem", [
-    ({}, None),
-    ({"radius_mm": float("nan")}, "radius_mm"), ({"radius_mm": -1.0}, "radius_mm"), ({"radius_mm": None}, "radius_mm"),
-    ({"ostium_xyz_mm": [float("inf"), 0.0, 0.0]}, "ostium_xyz_mm"), ({"seed_xyz_mm": [1.0, 2.0]}, "seed_xyz_mm"),
-    ({"direction_xyz": [0.0, 0.0, 0.0]}, "direction_norm"), ({"direction_xyz": [2.0, 0.0, 0.0]}, "direction_norm"),
-    ({"direction_xyz": [-1.0, 0.0, 0.0]}, "direction_inward"), ({"seed_xyz_mm": [0.0, 0.0, 0.0]}, "seed_equals_ostium"),
-    ({"parent_instance_id": "vein"}, "parent_instance_id"), ({"instance_id": "renal"}, "instance_id"),
-])
+NAN, INF = float("nan"), float("inf")
+# one broken rule at a time, derived from the order of the rules: places, radius, then the direction
+BROKEN = [({}, None), ({"radius_mm": 1e-9}, None), ({"direction_xyz": [0.6, 0.8, 0.0]}, None)]
+BROKEN += [({f: v}, f) for f in ("ostium_xyz_mm", "seed_xyz_mm", "direction_xyz")
+           for v in (None, [], [1.0] * 4, [0.0, NAN, 0.0], [0.0, 0.0, -INF], [None, 0.0, 0.0])]
+BROKEN += [({"radius_mm": v}, "radius_mm") for v in (None, 0.0, -0.0, -2.5, NAN, INF)]
+BROKEN += [({"direction_xyz": [k, 0.0, 0.0]}, "direction_norm") for k in (0.0, 0.999, 1.01)]
+BROKEN += [({"direction_xyz": [-0.8, 0.6, 0.0]}, "direction_inward"), ({"seed_xyz_mm": [0.0] * 3}, "seed_equals_ostium"),
+           ({"instance_id": "branch_002"}, "instance_id"), ({"instance_id": None}, "instance_id"),
+           ({"parent_instance_id": ""}, "parent_instance_id"), ({"instance_id": "", "radius_mm": -1.0}, "instance_id")]
+
+
+@pytest.mark.parametrize("change, problem", BROKEN)
 def test_validator(spark, change, problem):
     assert schema.validate(as_frame(spark, daughter(**change))).first().problem == problem
 

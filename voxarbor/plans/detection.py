@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from voxarbor import schema
 from voxarbor.functions.rules import Limits, explain, rejection_reason
 from voxarbor.operators import dedupe
+from voxarbor.plans.points import folded
 from voxarbor.plans.registry import query
 from voxarbor.sources.tables import table
 
@@ -269,8 +270,8 @@ def nested_predictions(spark, sf):
         "round(aggregate(daughters, 0D, (s, d) -> s + d.radius_mm), 6) AS radius_sum", "problem IS NULL AS valid")
 
 
-@query("schema_validate", """
-WITH v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings),
+@query("schema_validate", f"""
+WITH v AS (SELECT vec_id, label, {folded(0, 1, "DOUBLE")} AS a, {folded(1, 1, "DOUBLE")} AS b, {folded(2, 1, "DOUBLE")} AS c FROM embeddings),
 n AS (SELECT *, sqrt(a * a + b * b + c * c) AS len FROM v),
 d AS (SELECT vec_id, label, a, b, c,
         CASE WHEN label = 3 THEN -0.5 ELSE 1.5 END AS radius,
@@ -285,7 +286,7 @@ SELECT vec_id, CASE WHEN inst <> 'branch_001' THEN 'instance_id' WHEN par <> 'ao
 def schema_validate(spark, sf):
     """Records built from vectors, each label broken in its own way; the first broken rule is named."""
     v = table(spark, sf, "embeddings").selectExpr(
-        "vec_id", "label", *[f"cast(embedding[{i}] AS double) AS {c}" for i, c in enumerate("abc")])
+        "vec_id", "label", *[f"{folded(i, 0, 'double')} AS {c}" for i, c in enumerate("abc")])
     v = v.selectExpr("*", "sqrt(a * a + b * b + c * c) AS len")
     d = v.selectExpr(
         "vec_id", "1 AS position", "CASE WHEN label = 1 THEN 'vessel_1' ELSE 'branch_001' END AS instance_id",

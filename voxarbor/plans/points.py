@@ -11,14 +11,18 @@ from voxarbor.plans.volumes import with_reference
 from voxarbor.sources.tables import NX, NY, NZ, VOXELS_SQL, table, voxels
 
 
+def folded(axis: int, first: int, kind: str) -> str:
+    """Every third of the 64 vector components added up; ``first`` is the dialect's lowest index."""
+    return " + ".join(f"cast(embedding[{i + first}] AS {kind})" for i in range(axis, 64, 3))
+
+
 def vectors(spark, sf):
-    """id, label and the first three embedding dimensions as a point."""
+    """id, label and the whole embedding folded into a point."""
     return table(spark, sf, "embeddings").selectExpr(
-        "vec_id AS id", "label", *[f"cast(embedding[{i}] AS double) AS {c}" for i, c in enumerate("xyz")])
+        "vec_id AS id", "label", *[f"{folded(i, 0, 'double')} AS {c}" for i, c in enumerate("xyz")])
 
 
-VEC = """v AS (SELECT vec_id AS id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y,
-  embedding[3]::DOUBLE AS z FROM embeddings)"""
+VEC = f"""v AS (SELECT vec_id AS id, label, {", ".join(f"{folded(i, 1, 'DOUBLE')} AS {c}" for i, c in enumerate("xyz"))} FROM embeddings)"""
 D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 
 
@@ -88,11 +92,11 @@ def mutual_nearest_match(spark, sf):
 @query("pairs_within_reach", f"""
 WITH {VEC}
 SELECT a.id, b.id AS other, round(sqrt({D2}), 6) AS dist
-FROM v a JOIN v b ON a.label = b.label AND a.id < b.id WHERE sqrt({D2}) <= 0.1""")
+FROM v a JOIN v b ON a.label = b.label AND a.id < b.id WHERE sqrt({D2}) <= 0.5""")
 def pairs_within_reach(spark, sf):
     """All pairs of one label no farther apart than a fixed reach."""
     v = vectors(spark, sf)
-    out = nearest.within_distance(v, v, ["label"], 0.1).where("id < other")
+    out = nearest.within_distance(v, v, ["label"], 0.5).where("id < other")
     return out.selectExpr("id", "other", "round(dist, 6) AS dist")
 
 

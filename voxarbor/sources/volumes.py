@@ -6,6 +6,8 @@ slice, so a task holds one compressed file and one slice. Everything after that
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,7 +96,7 @@ def _slices(batches):
                         raise ValueError(f"the file ends in slice {z}")
                     v = np.frombuffer(raw, kind_np).astype("f4") * np.float32(head["slope"]) + np.float32(head["inter"])
                     yield pd.DataFrame([{**base, "grid": head["grid"], "z": z, "values": v}])
-            except (ValueError, OSError, EOFError) as e:
+            except (ValueError, OSError, EOFError, zlib.error) as e:
                 yield pd.DataFrame([{**base, "error": str(e)}])
 
 
@@ -141,10 +143,10 @@ def load_pairs(slices: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def voxels(slices: DataFrame, good: DataFrame) -> DataFrame:
     """``case_id, z, y, x, vid, hu, in_mask`` of the loaded cases."""
-    rows = slices.join(good.select("case_id"), "case_id", "left_semi").where("z IS NOT NULL").selectExpr(
-        "case_id", "kind", "z", "grid.size[0] AS nx", "grid.size[1] AS ny", "posexplode(values) AS (p, v)")
-    cell = rows.selectExpr("case_id", "z", "cast(p div nx AS int) AS y", "cast(p % nx AS int) AS x",
-                           "cast((z * ny) * nx + p AS bigint) AS vid", "kind", "v")
-    return cell.groupBy("case_id", "z", "y", "x", "vid").agg(
-        F.expr("max(CASE WHEN kind = 'image' THEN v END) AS hu"),
-        F.expr("coalesce(max(CASE WHEN kind = 'mask' THEN v END) > 0, false) AS in_mask"))
+    held = slices.join(good.select("case_id"), "case_id", "left_semi").where("z IS NOT NULL")
+    image = held.where("kind = 'image'").selectExpr("case_id", "z", "grid.size[0] AS nx", "grid.size[1] AS ny", "values AS hu")
+    mask = held.where("kind = 'mask'").selectExpr("case_id", "z", "values AS m")
+    # slices meet, not voxels: the pairs of values are taken apart after the join
+    cell = image.join(mask, ["case_id", "z"]).selectExpr("case_id", "z", "nx", "ny", "posexplode(arrays_zip(hu, m)) AS (p, v)")
+    return cell.selectExpr("case_id", "z", "cast(p div nx AS int) AS y", "cast(p % nx AS int) AS x",
+                           "cast((z * ny) * nx + p AS bigint) AS vid", "v.hu AS hu", "coalesce(v.m > 0, false) AS in_mask")
