@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxarbor import schema
 from voxarbor.functions import scalar
-from voxarbor.operators import lattice, matching, trace
+from voxarbor.operators import lattice, matching, studies, trace
 from voxarbor.plans import detection as det
 from voxarbor.plans.points import order_points
 from voxarbor.plans.registry import query
@@ -166,6 +166,43 @@ def trace_limits(spark, sf):
         "instance_id AS case_id", "round(limit, 6) AS stop", "round(radius, 6) AS radius", "truncated_by")
 
 
+@query("front_bifurcations", f"""
+WITH {flood_sql(1.1, 60)},
+c AS (SELECT case_id, z, y, x, v.gid, dist / 10.0 AS d FROM fl JOIN vox v USING (gid) WHERE dist > 0),
+top AS (SELECT case_id, max(d) AS top FROM c GROUP BY 1),
+sl AS (SELECT c.*, k FROM c JOIN top USING (case_id), range(12) t(k) WHERE 1.0 + 0.5 * k < top AND d >= 1.0 + 0.5 * k AND d < 2.0 + 0.5 * k),
+near AS (SELECT a.k, a.gid AS src, b.gid AS dst FROM sl a JOIN off o ON true JOIN sl b
+         ON b.k = a.k AND b.case_id = a.case_id AND b.z = a.z + o.dz AND b.y = a.y + o.dy AND b.x = a.x + o.dx),
+reach AS (SELECT k, gid AS id, gid AS lab FROM sl UNION SELECT r.k, near.dst, r.lab FROM reach r JOIN near ON near.k = r.k AND near.src = r.id),
+lab AS (SELECT case_id, sl.k, gid, min(lab) AS lab FROM reach JOIN sl ON sl.gid = reach.id AND sl.k = reach.k GROUP BY ALL),
+bl AS (SELECT case_id, k, lab, count(*) AS n FROM lab GROUP BY ALL),
+sp AS (SELECT case_id, k, count(*) AS blobs FROM (SELECT *, max(n) OVER (PARTITION BY case_id, k) AS most FROM bl)
+       WHERE n >= 4 AND n >= 0.25 * most GROUP BY ALL HAVING count(*) >= 2),
+run AS (SELECT *, k - row_number() OVER (PARTITION BY case_id ORDER BY k) AS g FROM sp),
+held AS (SELECT case_id, g, min(k) AS k, arg_min(blobs, k) AS blobs FROM run GROUP BY ALL HAVING count(*) >= 2)
+SELECT case_id, round(min(1.0 + 0.5 * k)::DOUBLE, 6) AS distance, arg_min(blobs, k) AS blobs FROM held GROUP BY 1""")
+def front_bifurcations(spark, sf):
+    """First distance at which the front of a case's flood divides into lasting parts of some size."""
+    far = trunk_flood(spark, sf, 1.1, 60).where("dist > 0").selectExpr(
+        *lattice.CELL, "gid", "case_id AS instance_id", "dist / 10D AS dist")
+    return trace.bifurcations(far, 0.0, 1.0).selectExpr("instance_id AS case_id", "round(distance, 6) AS distance", "blobs")
+
+
+BUDGETS = [30.0 * f for f in studies.BUDGET_FRACTIONS]
+
+
+@query("budget_sweep", f"""
+WITH {flood_sql(1.1, 60)},
+b AS (SELECT unnest({BUDGETS})::DOUBLE AS budget),
+n AS (SELECT budget, case_id, count(*) FILTER (WHERE dist > 0 AND dist <= budget) AS n FROM fl JOIN vox USING (gid), b GROUP BY ALL)
+SELECT budget, CAST(sum(n) AS BIGINT) AS total_n, round(avg(n), 6) AS mean_n, count(*) FILTER (WHERE n = 0) AS empty FROM n GROUP BY 1""")
+def budget_sweep(spark, sf):
+    """Reached cells for every flood budget of the grid, from one flood at the largest."""
+    far = trunk_flood(spark, sf, 1.1, int(max(BUDGETS))).select("case_id", "dist", F.expr(studies.rows_of("budget", BUDGETS)))
+    per = far.groupBy("budget", "case_id").agg(F.expr("count_if(dist > 0 AND dist <= budget) AS n"))
+    return per.groupBy("budget").agg(F.expr("sum(n) AS total_n"), F.expr("round(avg(n), 6) AS mean_n"), F.expr("count_if(n = 0) AS empty"))
+
+
 @query("path_walk_back", f"""
 WITH RECURSIVE {bright_sql(1.2)},
 up AS (SELECT a.gid AS id, min(b.gid) AS parent FROM {near_sql('br', 'br', 'off')} WHERE b.gid < a.gid GROUP BY 1),
