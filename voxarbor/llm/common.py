@@ -45,8 +45,20 @@ def bounded_sample(df: DataFrame, key: str, group: str, rows: int) -> DataFrame:
     return df.join(F.broadcast(sizes), group).where(place < share).drop("_n")
 
 
-def batches(rows: list[dict] | dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(rows, schema=schema)
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets at most ``rows`` rows of the session travel to Python at a time: they are whole texts here, and the
+    batch of either side counts in an executor's memory."""
+    if not 0 < int(spark.conf.get(ROWS)) <= rows:
+        spark.conf.set(ROWS, str(rows))
+
+
+def keyed_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key`` (long) and ``text`` alone, on their way to Python."""
+    short_batches(docs.sparkSession)
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
 
 def slices(batch: pa.RecordBatch, rows: int):

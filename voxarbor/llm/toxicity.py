@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxarbor.llm.common import bounded_sample, slices
+from voxarbor.llm.common import bounded_sample, keyed_texts, slices
 
 WORD = re.compile(r"\w+")
 CLIP = 30.0
@@ -83,14 +83,12 @@ def summary(p: np.ndarray) -> tuple[float, float]:
     return max(np.log(top / (1 - top)), -12.0), max(np.log(some / (1 - some)), -12.0)
 
 
-def _token_labels(words, docs, toxic, seen, least: int, lift: float, bits: int):
+def _token_labels(tokens, toxic, seen, least: int, lift: float, bits: int):
     """Which distinct words count as toxic: a spelling part far commoner in toxic documents than in clean ones."""
     n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
-    parts = seen[words]
-    doc_part = np.unique(np.repeat(docs.astype(np.int64), parts.shape[1]) << bits | parts.ravel())
-    owner, part = doc_part >> bits, doc_part & ((1 << bits) - 1)
-    bad = np.bincount(part[toxic[owner]], minlength=1 << bits)
-    good = np.bincount(part[~toxic[owner]], minlength=1 << bits)
+    good, bad = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+    for ids, is_bad in zip(tokens, toxic):
+        (bad if is_bad else good)[np.unique(seen[np.unique(ids)])] += 1
     telling = (bad >= least) & (bad / n1 >= lift * (good + 0.5) / n0)
     return telling[seen].any(1)
 
@@ -110,13 +108,12 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, bits: int = 18, windo
     known: dict[str, int] = {}
     tokens = []
     for text in texts:
-        tokens.append(np.array([known.setdefault(w, len(known)) for w in WORD.findall(text)], np.int64))
+        tokens.append(np.array([known.setdefault(w, len(known)) for w in WORD.findall(text)], np.int32))
     if not known:
         return None
-    seen = np.array([features(w, bits) for w in known], np.int64)
-    docs = np.repeat(np.arange(len(texts)), [len(t) for t in tokens])
-    flat = np.concatenate(tokens)
-    telling = _token_labels(flat, docs, toxic, seen, least, lift, bits)
+    seen = np.array([features(w, bits) for w in known], np.int32)
+    del known
+    telling = _token_labels(tokens, toxic, seen, least, lift, bits)
     pieces, labels = [], []
     for ids, bad in zip(tokens, toxic):
         for at in range(0, len(ids), window):
@@ -146,7 +143,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, bits: int = 18, windo
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w += rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-9)
     per_word = w[seen].sum(1)
-    facts = np.array([[*summary(p), 1.0] for p in marginals([per_word[t] for t in tokens], start, moves)])
+    facts = np.array([[*summary(p), 1.0] for at in range(0, len(tokens), 250)
+                      for p in marginals([per_word[t] for t in tokens[at:at + 250]], start, moves)])
     weight = np.where(toxic, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     scale = np.zeros(3)
     for _ in range(30):
@@ -158,7 +156,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, bits: int = 18, windo
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-          rows: int = 2500) -> Chain | None:
+          rows: int = 1500) -> Chain | None:
     """``fit`` on a bounded sample of labelled rows: about ``rows`` of each class (at most twice that), whole texts."""
     marked = labels.where(F.col(label).isin(0, 1)).select(
         F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("label")).where("key IS NOT NULL")
@@ -218,6 +216,6 @@ def tag(docs: DataFrame, chain: Chain | None, key: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_pydict(
                     {"key": part.column(0), "score": scores, "starts": starts, "ends": ends}, schema=schema)
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(
+    return keyed_texts(docs, key, text).mapInArrow(
         run, "key long, score double, starts array<int>, ends array<int>").select(
         F.col("key").alias(key), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "starts", "ends")
