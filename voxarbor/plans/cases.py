@@ -211,7 +211,8 @@ def analyse(vox: DataFrame, s: Settings = Settings()) -> DataFrame:
         fl.where("dist = 0").select(*CELL, "gid", "dist", "parent")), patch.join(fit, "label", "left_semi"), s.limits.min_length,
         split.MIN_PEAK + 0.5 * sum(s.spacing) / 3)
     part = members.groupBy("label").agg(F.expr("count(1) AS part_cells"))
-    table = table.join(cells.select("instance_id", "label").distinct(), "instance_id").join(part, "label")
+    owner = cells.select("gid", "instance_id").join(members.select("gid", "label"), "gid").select("instance_id", "label").distinct()
+    table = table.join(owner, "instance_id").join(part, "label")
     if s.per_case is not None:
         table = dedupe.first_per_case(table, "part_cells DESC, label, instance_id", s.per_case)
     table, _ = rounds.save(table.drop("label", "part_cells"))
