@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxarbor.llm.common import bounded_sample, slices
+from voxarbor.llm.common import bounded_sample, keyed_texts, slices
 
 ALNUM = re.compile(r"[^\W_]+")
 
@@ -113,7 +113,7 @@ def fit(texts: list[str], ratings: list, bits: int = 17, steps: int = 120, rate:
 
 
 def learn(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "text", rating: str = "rating",
-          rows: int = 2500) -> Grader | None:
+          rows: int = 1500) -> Grader | None:
     """``fit`` on a bounded sample of rated rows: about ``rows`` of each grade, whole texts.
 
     A key rated twice takes its lowest rating. Rows without rating or text
@@ -169,6 +169,6 @@ def grade(docs: DataFrame, grader: Grader | None, key: str = "doc_id", text: str
                 yield pa.RecordBatch.from_pydict(
                     {"key": part.column(0), "expected_grade": expected, "tail": tails, "grade": best}, schema=schema)
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(
+    return keyed_texts(docs, key, text).mapInArrow(
         run, "key long, expected_grade double, tail double, grade int").select(
         F.col("key").alias(key), "expected_grade", "tail", (F.col("tail") >= floor).alias("selected"), "grade")
