@@ -160,20 +160,23 @@ class Trees:
             total += inner[2] if parts[inner[0]] <= inner[1] else inner[3]
         return total
 
-    def column(self, parts) -> Column:
-        total = F.lit(0.0)
-        for part, bound, low, high in self.trees:
-            leaf = [F.when(parts[p] <= b, F.lit(x)).otherwise(F.lit(y)) for p, b, x, y in (low, high)]
-            total = total + F.when(parts[part] <= bound, leaf[0]).otherwise(leaf[1])
-        return total
-
-
-def unpacked(code):
-    """Parts of a description code, as a dict; works on numbers and on columns."""
-    out, rest = {}, code
+    def sql(self, code: str) -> str:
+        """The score as one SQL expression over the name of a description code."""
+        at, place = {}, 1
+        for part, size in reversed(RADIX):
+            at[part] = f"({code} div {place}) % {size}"
+            place *= size
+        leaf = "CASE WHEN {0} <= {1} THEN {2!r}D ELSE {3!r}D END"
+        trees = (f"CASE WHEN {at[part]} <= {bound} THEN {leaf.format(at[low[0]], *low[1:])} "
+                 f"ELSE {leaf.format(at[high[0]], *high[1:])} END" for part, bound, low, high in self.trees)
+        return " + ".join(trees) or "0D"
+
+
+def unpacked(code: int) -> dict[str, int]:
+    """Parts of a description code."""
+    out = {}
     for part, size in reversed(RADIX):
-        out[part] = rest % size
-        rest = F.floor(rest / size) if isinstance(rest, Column) else rest // size
+        code, out[part] = divmod(code, size)
     return out
 
 
@@ -280,13 +283,10 @@ def find(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "text")
     live = [k for k in KINDS if model.limits.get(k) is not None]
     for kind in live:
         df = matched(df, kind, LOOSE[kind], HINT[kind], "rest")
-
-    def chosen(kind):
-        limit = F.lit(float(model.limits[kind]) - 1e-9)
-        good = F.filter(described(kind, kind, False), lambda c: model.column(unpacked(c.code)) >= limit)
-        return F.transform(good, lambda c: F.struct(c.start, c.rank, c.end))
-
-    added = [chosen(k) for k in live]
+        df = df.withColumn(f"{kind}_new", described(kind, kind, False))
+    score = model.sql("c.code")
+    added = [F.expr(f"transform(filter({k}_new, c -> {score} >= {model.limits[k] - 1e-9!r}D), "
+                    "c -> struct(c.`start` AS `start`, c.`rank` AS `rank`, c.`end` AS `end`))") for k in live]
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     return df.select("key", "text", "base", (F.array_sort(F.concat(*added)) if added else none).alias("added")).withColumnRenamed(
         "key", key)
