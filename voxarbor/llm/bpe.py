@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxarbor.llm.common import slices
+from voxarbor.llm.common import keyed_texts, slices
 
 BLOCK = "block long, bucket int, body binary"
 LONG = 1_000_000
@@ -198,7 +198,7 @@ def encode(docs: DataFrame, table: dict[bytes, int], pattern: str, key: str = "d
     """
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(
+    blocks = keyed_texts(docs, key, text).mapInArrow(
         _blocks(pattern, buckets, chars), BLOCK).repartition("block")
     coded = blocks.mapInArrow(_words_only, BLOCK).repartition("bucket").mapInArrow(_encode(table, pattern), BLOCK)
     return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
-from voxarbor.llm.common import bounded_sample
+from voxarbor.llm.common import bounded_sample, short_batches
 
 UNKNOWN = "und"
 
@@ -78,11 +78,13 @@ def identify(docs: DataFrame, learned: dict[str, bytes], key: str = "doc_id", te
     text if no language was learned; with one language its score is 1. Repeated
     rows are judged row by row and other columns are dropped.
     """
+    short_batches(docs.sparkSession)
     return docs.select(F.col(key).alias("key"), judged(learned, F.col(text), **settings).alias("j")).select(
         F.col("key").alias(key), "j.*")
 
 
 def recognised(docs: DataFrame, learned: dict[str, bytes], text: str = "text", **settings) -> DataFrame:
     """The rows whose language is not rejected, with all their columns."""
+    short_batches(docs.sparkSession)
     found = docs.select(F.struct("*").alias("row"), judged(learned, F.col(text), **settings).alias("j"))
     return found.where(~F.col("j.rejected")).select("row.*")

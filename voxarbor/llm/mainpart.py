@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxarbor.llm.common import slices
+from voxarbor.llm.common import short_batches, slices
 
 RAW = "script|style|noscript|template|iframe|textarea|svg|math|select|object|canvas|title"
 TOKEN = re.compile(
@@ -206,6 +206,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                 yield pa.RecordBatch.from_pydict({"key": part.column(0), "url": part.column(1), "text": texts,
                                                   "n_chars": [len(t) for t in texts]}, schema=schema)
 
+    short_batches(pages.sparkSession)
     return pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(page).alias("html")).mapInArrow(
         run, "key long, url string, text string, n_chars long").select(
         F.col("key").alias(key), F.col("url").alias(url), "text", "n_chars")

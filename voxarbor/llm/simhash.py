@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxarbor.llm.common import settled, slices
+from voxarbor.llm.common import keyed_texts, settled, slices
 from voxarbor.operators.graph import components
 
 WIDTHS = (11, 11, 11, 11, 10, 10)
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
                 found = [signed(fingerprint(t, words)) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_pydict({"key": part.column(0), "fp": found}, schema=schema)
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(
+    return keyed_texts(docs, key, text).mapInArrow(
         run, "key long, fp long")
 
 

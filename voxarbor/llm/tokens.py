@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxarbor.llm.common import slices
+from voxarbor.llm.common import short_batches, slices
 
 SPACES = " \n\t\r"
 DIGITS = "0123456789"
@@ -96,6 +96,7 @@ def token_counts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
                 yield pa.RecordBatch.from_pydict(
                     {"key": part.column(0), "n_tokens": counts, "n_bytes": part.column(2)}, schema=schema)
 
+    short_batches(docs.sparkSession)
     picked = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"),
                          F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     return picked.mapInArrow(count, "key long, n_tokens long, n_bytes long").select(
