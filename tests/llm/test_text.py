@@ -34,6 +34,20 @@ def test_long_articles_and_bare_pages():
     assert main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_only_an_article_around_the_densest_part_replaces_the_choice():
+    post = [f"Paragraph {i} of the post with a good many words in it, " + "word " * (i % 7) + "end." for i in range(20)]
+    body = "".join(f"<p>{p}</p>" for p in post)
+    embed = "<article><p>A quoted text of another author, told in one sentence.</p></article>"
+    inside = main_text(f"<html><body><div id=post>{body}{embed}</div></body></html>").split("\n")
+    assert inside == post + ["A quoted text of another author, told in one sentence."]
+    beside = main_text(f"<html><body><div id=post>{body}</div>{embed}</body></html>").split("\n")
+    assert [x for x in beside if x in post] == post
+    around = main_text(f"<html><body><p>Outside.</p><article>{body}<div>{embed}</div></article></body></html>").split("\n")
+    assert around == inside
+    two = "".join(f"<article>{body.replace('post', name)}</article>" for name in ("first", "other"))  # equally dense
+    assert len(main_text(f"<html><body><div>{two}</div></body></html>").split("\n")) == 40
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE % BODY, "x"), (1, "u", PAGE % BODY, "x"), (2, None, None, None), (None, "v", "", "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -118,8 +118,10 @@ def main_text(page: str | None) -> str:
     adds the densities of its children and of its own text. From the element
     with the highest sum the path to the body gives the threshold, the lowest
     density on it; every part at or above the threshold gives its subtree of
-    highest sum. An article or main element that holds such a subtree is taken
-    whole, and parts outside articles are then left.
+    highest sum. If the element with the highest sum is or lies in an article or
+    main element, the nearest one is taken whole, and so are those around the
+    other subtrees, while parts outside articles are left; an article that only
+    lies beside or below the element with the highest sum changes nothing.
     """
     if not page:
         return ""
@@ -166,22 +168,17 @@ def main_text(page: str | None) -> str:
     for i in range(n - 1, 0, -1):
         if total[peak[i]] > total[peak[parent[i]]]:
             peak[parent[i]] = peak[i]
+    around = [-1] * n  # nearest article or main element, the element itself included
+    for i in range(n):
+        around[i] = i if tags[i] in ("article", "main") else around[parent[i]] if i else -1
     chosen = [False] * n
     for i in range(n):
         if size[i] and not cut[i] and dense[i] >= limit:
-            chosen[peak[i]] = True
+            whole = peak[i] if around[best] < 0 else around[peak[i]]
+            if whole >= 0:
+                chosen[whole] = True
     for i in range(1, n):
         chosen[i] = chosen[i] or chosen[parent[i]]
-    holds = chosen[:]  # whether a subtree holds a chosen element
-    for i in range(n - 1, 0, -1):
-        holds[parent[i]] = holds[parent[i]] or holds[i]
-    articles = [i for i in range(n) if tags[i] in ("article", "main") and not cut[i] and holds[i] and size[i]]
-    if articles:
-        chosen = [False] * n
-        for i in articles:
-            chosen[i] = True
-        for i in range(1, n):
-            chosen[i] = chosen[i] or chosen[parent[i]]
     blocks: dict[int, list[str]] = {}
     for i, block, text in pieces:
         if chosen[i] and not cut[i]:
