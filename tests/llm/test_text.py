@@ -48,6 +48,23 @@ def test_only_an_article_around_the_densest_part_replaces_the_choice():
     assert len(main_text(f"<html><body><div>{two}</div></body></html>").split("\n")) == 40
 
 
+def test_names_that_only_contain_a_furniture_word_cut_nothing():
+    text = [f"Paragraph {i} with a good many words in it, told at length, for the reader." for i in range(8)]
+    body = "".join(f"<p>{p}</p>" for p in text)
+    for start, end in (("<div class='layout has-sidebar'><article>", "</article></div>"), ("<form id=f><main>", "</main></form>"),
+                       ("<div class=sidebar><article>", "</article></div>"), ("<div class=notice>", "</div>"), ("<form>", "</form>")):
+        assert main_text(f"<html><body><nav>Menu</nav>{start}{body}{end}</body></html>").split("\n") == text, start
+    parts = ("<h2 id='side-effects'>Side effects</h2>", "<h2 id=comments>On comments</h2>", "<p class='legal'>Legal basis</p>",
+             "<section id='related-work'><p>Related work</p></section>", "<div class='share-price'>The price</div>")
+    said = ["Side effects", "On comments", "Legal basis", "Related work", "The price"]
+    assert main_text(f"<html><body><article>{''.join(parts)}{body}</article></body></html>").split("\n") == said + text
+    gone = ("<div class=ad>Buy</div><aside>Aside</aside><nav>Go</nav><form>Send</form><div id=comments><article>Nice</article></div>"
+            "<div class='post-comments'>Hm</div>")
+    assert main_text(f"<html><body><article>{gone}{body}</article></body></html>").split("\n") == text
+    assert main_text(f"<html><body><article>{body}</article><div class='left-sidebar'>{body}</div>{gone}</body></html>").split(
+        "\n") == text
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE % BODY, "x"), (1, "u", PAGE % BODY, "x"), (2, None, None, None), (None, "v", "", "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -30,40 +30,81 @@ SCOPES = frozenset("html body article main section div table ul ol dl td th tr a
 PARTS = frozenset("head nav footer aside form button dialog input label fieldset menu".split())
 WHOLE = frozenset("html body article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation "
-    "menu breadcrumb breadcrumbs sidebar side rail aside footer header masthead topbar comment comments reply replies respond discussion disqus "
-    "cookie cookies consent notice notices notification alert popup modal overlay newsletter subscribe signup share "
-    "sharing social related recommended widget pagination pager toolbar login search skip copyright legal".split())
-
-
-def _clutter(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is page furniture by its tag, role, class or id; ``inside`` an article or main part."""
-    if tag in PARTS or tag == "header" and not inside:
-        return True
+#: How surely a part is furniture, by the words of its names: comments may hold articles of their own, the first
+#: kind may hold the page's text.
+MAYBE, PLAIN, SURE = 1, 2, 3
+MARKS = {word: kind for kind, words in (
+    (MAYBE, "banner sidebar side rail footer header masthead topbar notice notices notification alert modal overlay "
+            "subscribe signup share sharing social related recommended widget login search skip copyright legal"),
+    (PLAIN, "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu "
+            "breadcrumb breadcrumbs cookie cookies consent popup newsletter pagination pager toolbar"),
+    (SURE, "aside comment comments reply replies respond discussion disqus")) for word in words.split()}
+#: Words beside a mark in one name that do not change what it says: main-nav, left-sidebar, share-buttons.
+BESIDE = frozenset(
+    "site page global main primary secondary left right top bottom box block wrapper wrap container inner outer area "
+    "list links link items item section bar buttons button form content text posts post".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _marked(name: str) -> int:
+    """What a class or id says as a whole: every word is a mark or goes beside one (``has-sidebar`` says nothing)."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w and w not in BESIDE]
+    return max((MARKS[w] for w in words), default=0) if all(w in MARKS for w in words) else 0
+
+
+def _clutter(tag: str, attrs: str, inside: bool) -> int:
+    """How surely an element is page furniture by its tag, role, class or id, 0 if it is not; ``inside`` an article
+    or main part, where density decides on what only may be furniture. The id of a heading is an anchor."""
+    if tag in PARTS:
+        found = MAYBE if tag in ("form", "fieldset") and not inside else SURE
+    else:
+        found = MAYBE if tag == "header" and not inside else 0
     if tag in WHOLE or not attrs or "=" not in attrs:
-        return False
+        return found
     for name, a, b, c in ATTR.findall(attrs):
         value = (a or b or c).lower()
         if name.lower() == "role":
-            if value in ROLES:
-                return True
-        elif any(w in MARKS for w in re.split(r"[^a-z]+", value)) and not (inside and tag == "header"):
-            return True
-    return False
+            found = max(found, PLAIN if value in ROLES else 0)
+        elif tag not in HEADINGS:
+            new = max(map(_marked, value.split() if name.lower() == "class" else [value]), default=0)
+            found = max(found, 0 if new == MAYBE and inside else new)
+    return found
+
+
+def _furniture(parent: list[int], tags: list[str], kind: list[int], own: list[int]) -> list[bool]:
+    """Whether each element is cut: it or an element around it is furniture (``kind``) that may go.
+
+    No part around a main element goes, and around an article only comments, navigation and their like. A part that
+    may be furniture stays if, on a page without articles, it holds more than half of the text.
+    """
+    n = len(tags)
+    main, article = [t == "main" for t in tags], [t in ("article", "main") for t in tags]
+    for i in range(n - 1, 0, -1):
+        main[parent[i]] |= main[i]
+        article[parent[i]] |= article[i]
+    cut = [False] * n
+    for i in range(1, n):
+        cut[i] = cut[parent[i]] or kind[i] == SURE and not main[i] or kind[i] == PLAIN and not article[i]
+    marked = any(tags[i] in ("article", "main") and not cut[i] for i in range(n))
+    size = [0 if c else s for s, c in zip(own, cut)]
+    for i in range(n - 1, 0, -1):
+        size[parent[i]] += size[i]
+    for i in range(1, n):
+        cut[i] = cut[i] or cut[parent[i]] or kind[i] == MAYBE and not article[i] and (marked or 2 * size[i] <= size[0])
+    return cut
 
 
 def _tree(page: str):
     """Elements in page order and the text pieces under them.
 
-    Returns parent and tag per element, whether it is furniture, and pieces
+    Returns parent and tag per element, how surely it is furniture, and pieces
     ``(element, block number, text)``.
     """
-    parent, tags, cut, inside = [-1], ["html"], [False], [False]
+    parent, tags, kind, inside = [-1], ["html"], [0], [False]
     stack, pieces, block, at = [0], [], 0, 0
 
     def put(raw):
-        if raw and not cut[stack[-1]]:
+        if raw:
             pieces.append((stack[-1], block, html.unescape(raw) if "&" in raw else raw))
 
     for match in TOKEN.finditer(page):
@@ -102,18 +143,18 @@ def _tree(page: str):
         top = stack[-1]
         parent.append(top)
         tags.append(tag)
-        cut.append(cut[top] or _clutter(tag, match["attrs"], inside[top]))
+        kind.append(_clutter(tag, match["attrs"], inside[top]))
         inside.append(inside[top] or tag in ("article", "main"))
         if tag not in VOID and not (match["attrs"] or "").endswith("/"):
             stack.append(len(tags) - 1)
     put(page[at:])
-    return parent, tags, cut, pieces
+    return parent, tags, kind, pieces
 
 
 def main_text(page: str | None) -> str:
     """Main text of one page; empty for null, empty and text-free pages.
 
-    Furniture (``_clutter``) takes no part. For each element the composite
+    Furniture (``_furniture``) takes no part. For each element the composite
     density weighs its characters per tag against its links; an element's sum
     adds the densities of its children and of its own text. From the element
     with the highest sum the path to the body gives the threshold, the lowest
@@ -125,11 +166,13 @@ def main_text(page: str | None) -> str:
     """
     if not page:
         return ""
-    parent, tags, cut, pieces = _tree(page)
+    parent, tags, kind, pieces = _tree(page)
     n = len(tags)
     size, count, links, link_tags, own = [0] * n, [1] * n, [0] * n, [0] * n, [0] * n
     for i, _, text in pieces:
         own[i] += len(" ".join(text.split()))
+    cut = _furniture(parent, tags, kind, own)
+    own = [0 if cut[i] else own[i] for i in range(n)]
     for i in range(n - 1, -1, -1):
         size[i] += own[i]
         if cut[i]:
