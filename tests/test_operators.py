@@ -280,3 +280,26 @@ def test_claims_and_distinct_pairs(spark):
     assert {r.claim: r.passed for r in studies.claims(probes, near).collect()} == {"a": True, "b": False, "c": False}
     pair = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (2, 1, 5), (2, 2, 5), (3, 1, None), (3, 2, 4)], "case_id long, id long, nn long")
     assert {r.case_id: r.passed for r in studies.distinct_pair(pair).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_long_lines_are_placed_in_blocks(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(t, i, *[float(rnd.randrange(3)) for _ in range(3)]) for t, n in ((1, 700), (2, 1), (3, 64), (4, 65)) for i in range(n)]
+    line = spark.createDataFrame(rows, "trace_id long, seq int, x double, y double, z double")
+    wanted = "array(0D, total / 3, total / 2, total, total + 1, -1D)"
+    key = lambda r: (r.trace_id, r.k)
+    got = sorted(trace.at_arcs_of_long(line, wanted, block=16).collect(), key=key)
+    want = sorted(trace.at_arcs(trace.with_arc(line), wanted).collect(), key=key)
+    assert len(got) == 24 and [key(r) for r in got] == [key(r) for r in want]
+    for a, b in zip(got, want):
+        assert a.reached == b.reached and [a.want, a.x, a.y, a.z] == pytest.approx([b.want, b.x, b.y, b.z])
+
+    def whole(*_):
+        raise AssertionError("a window over a whole line")
+
+    from voxarbor.plans import load
+
+    monkeypatch.setattr(trace, "with_arc", whole)
+    monkeypatch.setattr(trace, "at_arcs", whole)
+    out = load().QUERIES["arc_positions"](spark, "/root/testdata/sf0.001")
+    assert out.count() == 3 * spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id").distinct().count()

@@ -1,7 +1,7 @@
 """Tracing an instance from the trunk outwards and measuring it along the way.
 
 A trace is at most a few dozen points long (its length is capped in millimetres), so windows per
-trace are short. Relations are keyed by ``trace_id``.
+trace are short; ``at_arcs_of_long`` serves lines of any length in blocks. Relations are keyed by ``trace_id``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxarbor.operators import graph, nearest
+from voxarbor.operators import graph, nearest, sequence
 from voxarbor.session import Rounds
 
 # Fixed values of the trace.
@@ -176,6 +176,29 @@ def at_arcs(line: DataFrame, wanted: str) -> DataFrame:
                           *[f"{c} + coalesce({c}1 - {c}, 0D) * {t} AS {c}" for c in "xyz"])
 
 
+def at_arcs_of_long(points: DataFrame, wanted: str, block: int = 4096) -> DataFrame:
+    """``with_arc`` and ``at_arcs`` for lines of any length: no task holds more of a line than ``block`` points.
+
+    ``points``: ``trace_id, seq, x, y, z`` with ``seq`` counting from 0. Only one row per block is ordered per line. The
+    segment of a position is the last one that begins at or before it, found by a combined aggregation.
+    """
+    rounds, keys, order = Rounds(points.sparkSession, "arcs"), ["trace_id"], ["seq"]
+    part = sequence.block_of("seq", block)
+    move = F.expr("sqrt(" + " + ".join(f"({c} - prev_{c}) * ({c} - prev_{c})" for c in "xyz") + ")")
+    line, _ = rounds.save(sequence.arc_length(points, keys, order, move, list("xyz"), part).select(
+        "trace_id", "seq", "x", "y", "z", "arc", part.alias("part")))
+    seg = sequence.neighbours(line, keys, order, ["arc", "x", "y", "z"], F.col("part"))
+    tops = line.groupBy("trace_id", "part").agg(F.expr("max(arc) AS top")).selectExpr(
+        "trace_id", "part", "max(top) OVER (PARTITION BY trace_id) AS total")
+    asked = seg.join(tops, ["trace_id", "part"]).selectExpr("*", f"posexplode({wanted}) AS (k, want)").where(
+        "want >= arc OR prev_arc IS NULL")
+    hit = asked.groupBy("trace_id", "k").agg(F.expr(
+        "max_by(struct(want, total, arc, x, y, z, next_arc, next_x, next_y, next_z), seq) AS s")).select("trace_id", "k", "s.*")
+    t = "CASE WHEN next_arc > arc THEN greatest(0D, least(1D, (want - arc) / (next_arc - arc))) ELSE 0D END"
+    return hit.selectExpr("trace_id", "k", "want", "want <= total + 1e-9D AS reached",
+                          *[f"{c} + coalesce(next_{c} - {c}, 0D) * {t} AS {c}" for c in "xyz"])
+
+
 def resample(line: DataFrame, step: float = STEP) -> DataFrame:
     """Points every ``step`` of the length: ``trace_id, seq, arc, x, y, z``."""
     grid = f"transform(sequence(0, cast(floor((total + 1e-9D) / {step}D) AS int)), k -> k * {step}D)"

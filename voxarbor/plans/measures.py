@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxarbor import schema
 from voxarbor.functions import scalar
-from voxarbor.operators import lattice, matching, studies, trace
+from voxarbor.operators import lattice, matching, sequence, studies, trace
 from voxarbor.plans import detection as det
 from voxarbor.plans.points import order_points
 from voxarbor.plans.registry import query
@@ -226,10 +226,12 @@ tt AS (SELECT *, max(arc) OVER (PARTITION BY trace_id) AS total, lead(arc) OVER
 
 
 def event_lines(spark, sf):
-    """One line per user through its events in time order."""
-    return trace.with_arc(table(spark, sf, "events").selectExpr(
-        "user_id AS trace_id", "cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS int) AS seq",
-        "value / 10D AS x", "cast(event_id % 13 AS double) AS y", "cast(event_id % 7 AS double) AS z"))
+    """One line per user through its events in time order, numbered in blocks of an hour."""
+    ev = table(spark, sf, "events").selectExpr("user_id AS trace_id", "ts", "event_id", "value / 10D AS x",
+                                               "cast(event_id % 13 AS double) AS y", "cast(event_id % 7 AS double) AS z")
+    hour = F.expr("timestampdiff(HOUR, timestamp_ntz'2024-01-01 00:00:00', cast(ts AS timestamp_ntz))")
+    numbered = sequence.running(ev, ["trace_id"], ["ts", "event_id"], {"n": F.lit(1)}, hour)
+    return Rounds(spark, "lines").save(numbered.selectExpr("trace_id", "cast(n - 1 AS int) AS seq", "x", "y", "z"))[0]
 
 
 @query("arc_positions", f"""
@@ -241,7 +243,7 @@ SELECT trace_id, CAST(k AS INT) AS k, round(want, 4) AS want, round(x + coalesce
   round(y + coalesce(y1 - y, 0) * t, 4) AS y, round(z + coalesce(z1 - z, 0) * t, 4) AS z FROM h""")
 def arc_positions(spark, sf):
     """Points at the start, the middle and the end of every line by its length."""
-    at = trace.at_arcs(event_lines(spark, sf), "array(0D, total / 2, total)")
+    at = trace.at_arcs_of_long(event_lines(spark, sf), "array(0D, total / 2, total)")
     return at.selectExpr("trace_id", "k", *[f"round({c}, 4) AS {c}" for c in ("want", "x", "y", "z")])
 
 
