@@ -94,6 +94,15 @@ def test_toxic_spans(docs, spark):
         assert {text[a:b][:4] for a, b in zip(r.starts, r.ends)} == ({"grum"} if bad else set())
 
 
+def test_every_window_of_the_sample_counts():
+    rnd = random.Random(2)
+    texts = [" ".join(f"w{rnd.randrange(50)}" for _ in range(400)) for _ in range(80)]
+    texts[:40] = [" ".join([*t.split()[:150], "vilest", *t.split()[151:]]) for t in texts[:40]]
+    chain = toxicity.fit(texts, np.arange(80) < 40, 0.5, steps=2)
+    # seven windows of a text, the first word of each begins anew; one move to the toxic word, one back
+    assert np.allclose(np.exp(chain.moves[0]), np.array([80 * 393 - 80 + 1, 40 + 1]) / (80 * 393 - 40 + 2))
+
+
 def test_toxicity_odd_rows(odd, none, docs, spark):
     labels = spark.createDataFrame([(1, 1), (4, None), (8, 0), (None, 1)], "doc_id long, toxic int")
     assert toxicity.learn(odd, labels) is None and toxicity.learn(none, labels) is None

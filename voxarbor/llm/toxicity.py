@@ -99,7 +99,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, bits: int = 18, windo
 
     Words of toxic texts whose spelling is telling are the toxic tokens, all
     other words of the sample the clean ones. The likelihood is maximised over
-    windows of ``window`` words by full-batch Adam. Documents are calibrated by
+    all windows of ``window`` words by full-batch Adam, with moves between labels
+    counted inside them. Documents are calibrated by
     a logistic regression on ``summary``, weighted to the true ``share`` of
     toxic documents.
     """
@@ -118,11 +119,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, bits: int = 18, windo
     for ids, bad in zip(tokens, toxic):
         for at in range(0, len(ids), window):
             piece = ids[at:at + window]
-            mark = telling[piece] & bad
-            # every window with a toxic word, and one in four of the others by its place
-            if mark.any() or (at // window) % 4 == 0:
-                pieces.append(piece)
-                labels.append(mark)
+            pieces.append(piece)
+            labels.append(telling[piece] & bad)
     words, y = np.concatenate(pieces), np.concatenate(labels).astype(float)
     ends = np.cumsum([len(p) for p in pieces])
     first = np.zeros(len(words), bool)
@@ -137,7 +135,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, bits: int = 18, windo
     w, m, v = np.zeros(1 << bits), np.zeros(1 << bits), np.zeros(1 << bits)
     for step in range(1, steps + 1):
         per_word = w[seen].sum(1)
-        p = np.concatenate(marginals(np.split(per_word[words], ends[:-1]), start, moves))
+        parts = np.split(per_word[words], ends[:-1])
+        p = np.concatenate([q for at in range(0, len(parts), 4000) for q in marginals(parts[at:at + 4000], start, moves)])
         pull = np.bincount(words, weights=y - p, minlength=len(seen))
         grad = np.bincount(seen.ravel(), weights=np.repeat(pull, seen.shape[1]), minlength=len(w)) / len(y) - decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
