@@ -30,20 +30,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.recognised(docs, learned)
 
 
+def row_id() -> Column:
+    """Identity of a row: the hash of its document's id and its text, so two texts under one id are two rows."""
+    return F.xxhash64(row_key(), F.col("text").isNull(), F.coalesce(F.col("text"), F.lit("")))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; of repeated rows under one id, one."""
-    keyed = docs.select(*COLUMNS, row_key().alias("row_key"))
-    groups = simhash.near_groups(keyed, key="row_key")
-    first = groups.where(F.col("row_key") == F.col("component_id")).select("row_key")
-    return keyed.join(first, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
+    """The row with the smallest id of each near-duplicate group, of several texts under that id the one with the
+    smallest hash; rows of equal id and text are one."""
+    keyed = docs.select(*COLUMNS, row_id().alias("row_id"))
+    groups = simhash.near_groups(keyed, key="row_id").select("row_id", "component_id").distinct()
+    ids = docs.select(row_id().alias("row_id"), row_key().alias("row_key")).distinct()
+    first = groups.join(ids, "row_id").groupBy("component_id").agg(
+        F.min(F.struct("row_key", "row_id")).alias("first")).select("first.row_id")
+    return keyed.join(first, "row_id", "left_semi").dropDuplicates(["row_id"]).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is benchmark windows."""
-    keyed = docs.select(*COLUMNS, row_key().alias("row_key"))
-    marked = decontaminate.mark(keyed, table(spark, sf_dir, "benchmark"), key="row_key")
-    bad = settled(spark, marked.where("contaminated").select("row_key").distinct(), "contaminated")
-    return keyed.join(bad, "row_key", "left_anti").select(*COLUMNS)
+    """Documents of which less than a twentieth is benchmark windows; each text under one id is judged by itself."""
+    keyed = docs.select(*COLUMNS, row_id().alias("row_id"))
+    marked = decontaminate.mark(keyed, table(spark, sf_dir, "benchmark"), key="row_id")
+    bad = settled(spark, marked.where("contaminated").select("row_id").distinct(), "contaminated")
+    return keyed.join(bad, "row_id", "left_anti").select(*COLUMNS)
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,6 +55,16 @@ def test_pipeline_odd_rows(spark, odd, none):
     assert kept.where("doc_id = 4").count() == 1 and kept.where(F.col("doc_id").isNull()).count() == 1
 
 
+def test_two_texts_under_one_id_are_two_rows(spark, docs):
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first().text
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in ("ant", "bee", "cow")]
+    rows = docs([(5, texts[0]), (7, texts[1]), (7, texts[0]), (9, texts[2]), (9, item)]).select(*corpus_pipeline.COLUMNS)
+    kept = corpus_pipeline.drop_near_copies(spark, rows, DATA)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, texts[0]), (7, texts[1]), (9, texts[2]), (9, item)])
+    clean = corpus_pipeline.drop_contaminated(spark, rows, DATA)
+    assert sorted((r.doc_id, r.text) for r in clean.collect()) == sorted([(5, texts[0]), (7, texts[1]), (7, texts[0]), (9, texts[2])])
+
+
 def test_registered_queries():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 11))
