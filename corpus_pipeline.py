@@ -49,7 +49,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark windows; each text under one id is judged by itself."""
     keyed = docs.select(*COLUMNS, row_id().alias("row_id"))
-    marked = decontaminate.mark(keyed, table(spark, sf_dir, "benchmark"), key="row_id")
+    marked = decontaminate.mark(keyed, decontaminate.with_names(table(spark, sf_dir, "benchmark")), key="row_id")
     bad = settled(spark, marked.where("contaminated").select("row_id").distinct(), "contaminated")
     return keyed.join(bad, "row_id", "left_anti").select(*COLUMNS)
 

@@ -115,3 +115,18 @@ def test_decontamination_odd_rows(odd, none, spark):
     assert got.count() == 10 and sorted((r.doc_id, r.n_hit) for r in got.where("n_hit > 0").collect()) == [(4, 2), (4, 2)]
     assert decontaminate.mark(none, bench).count() == 0
     assert decontaminate.mark(odd, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_items_without_an_id_are_hit(docs, spark, tmp_path):
+    import corpus_pipeline
+    from voxarbor.llm import queries
+
+    long = " ".join(f"w{chr(97 + i)}" for i in range(20))
+    rows = docs([(1, "one word"), (2, f"see {long}"), (3, "no id here"), (4, "clean text of its own"), (5, "one word no id here")])
+    rows.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "one word"), (None, "no id here"), (None, long), (None, None)], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in queries.op10_winnowing(spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 1, True), 2: (20, 1, True), 3: (3, 1, True), 4: (0, 0, False), 5: (5, 2, True)}
+    kept = corpus_pipeline.drop_contaminated(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert [r.doc_id for r in kept.collect()] == [4]

@@ -44,6 +44,23 @@ def winnowed(hashes: str) -> Column:
         F.array().cast("array<bigint>"))
 
 
+NAMELESS = "\0"
+
+
+def with_names(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """``benchmark`` with ids as strings; a row without one is named by its text, ``NAMELESS`` first.
+
+    ``mark`` leaves rows without an id out; under these names their windows are hit like any other.
+    """
+    name = F.concat(F.lit(NAMELESS), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).cast("string"))
+    return benchmark.withColumn(item, F.coalesce(F.col(item).cast("string"), name))
+
+
+def without_nameless(items: Column) -> Column:
+    """The ids in a list of ``mark``'s items without the names of rows that have none."""
+    return F.filter(items, lambda i: ~i.startswith(NAMELESS))
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
          item_text: str = "text") -> DataFrame:
     """``key, n_words, n_hit, n_items, items, contaminated`` of every document.
@@ -53,7 +70,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     the ids of occurring items, as strings in order. A document is contaminated
     if at least a twentieth of its words is hit. Null, empty and wordless texts
     have no words, hits or windows; repeated rows are marked row by row, items
-    repeated under one id count once; an empty table on either side gives no
+    repeated under one id count once, items without an id are left out unless
+    they are named (``with_names``); an empty table on either side gives no
     hits; other columns are dropped.
 
     Grams are compared as 64-bit hashes to find alignments, windows of long

@@ -73,9 +73,14 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
-        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        "contaminated")
+    marked = decontaminate.mark(
+        table(spark, sf_dir, "documents"), decontaminate.with_names(table(spark, sf_dir, "benchmark")))
+    named = decontaminate.without_nameless(F.col("items"))
+    # items without an id count as one and are no part of the list
+    n_items = F.size(named) + (F.size(named) < F.size("items")).cast("int")
+    return marked.select(
+        "doc_id", "n_words", "n_hit", n_items.cast("long").alias("n_items"),
+        F.sha2(F.array_join(named, ","), 256).alias("items_sha256"), "contaminated")
 
 
 ORACLES["op9_line_frequency"] = rules.SQL
