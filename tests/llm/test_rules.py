@@ -19,21 +19,20 @@ def plain_measures(text):
     return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again))
 
 
-def plain_kept(rows, least, share, left):
+def plain_kept(rows, least, left):
     """``kept`` of ``(id, text, host)`` rows."""
     def norm(line):
         return re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", line)).strip().lower()
 
-    seen, hosts, out = defaultdict(set), defaultdict(set), []
+    seen, out = defaultdict(set), []
     for _, text, host in rows:
-        hosts[host or ""].add(text or "")
         for line in (text or "").split("\n"):
             if WORD.search(line):
                 seen[host or "", norm(line)].add(text)
     for i, text, host in rows:
         n, *_, again = plain_measures(text)
         cut = sum(len(WORD.findall(x)) for x in (text or "").split("\n") if WORD.search(x)
-                  and len(seen[host or "", norm(x)]) >= max(least, share * len(hosts[host or ""])))
+                  and len(seen[host or "", norm(x)]) >= least)
         out.append((i, not (n < 20 or 100 * again > 30 * n) and n - cut >= left * n))
     return out
 
@@ -46,13 +45,24 @@ def corpus(seed, n=60):
 
 def test_measures_and_verdicts(docs):
     rows = corpus(1)
-    got = rules.judge(docs([(i, t, None, h) for i, t, h in rows]), least=5, share=0.1).collect()
-    want = dict(plain_kept(rows, 5, 0.1, 0.2))
+    got = rules.judge(docs([(i, t, None, h) for i, t, h in rows]), least=5).collect()
+    want = dict(plain_kept(rows, 5, 0.2))
     assert {r.doc_id: r.kept for r in got} == want and 0 < sum(want.values()) < len(want)
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_measures(rows[r.doc_id][1])
 
 
+def test_the_limit_does_not_grow_with_the_host(docs, spark):
+    """A line in 60 of 50,000 documents of one host is cut, and a document made of it is not kept."""
+    line = " ".join(f"notice{i}" for i in range(40))
+    df = spark.range(50_000).selectExpr(
+        "id AS doc_id", "translate(cast(id AS string), '0123456789', 'abcdefghij') AS n", "'a' AS source").selectExpr(
+        "doc_id", "source", f"CASE WHEN doc_id < 60 THEN concat('own words ', n, chr(10), '{line}') ELSE array_join("
+        "transform(sequence(1, 25), i -> concat('w', n, substr('abcdefghijklmnopqrstuvwxyz', i, 1))), ' ') END AS text")
+    got = rules.judge(df).groupBy("kept", "n_cut_words").count().collect()
+    assert sorted((r.kept, r.n_cut_words, r["count"]) for r in got) == [(False, 40, 60), (True, 0, 49_940)]
+
+
 def test_exact_copies_do_not_make_a_line_frequent(docs):
     text = " ".join(f"w{i}" for i in range(30))
     assert all(r.kept for r in rules.judge(docs([(i, text, None, "a") for i in range(50)]), least=5).collect())

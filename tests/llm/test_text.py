@@ -65,6 +65,39 @@ def test_names_that_only_contain_a_furniture_word_cut_nothing():
         "\n") == text
 
 
+def test_article_text_is_not_lost():
+    first, last = "First part of a text with many words in it. " * 4, "Last part of the same text, just as long. " * 4
+    want = [first.strip(), last.strip()]
+
+    def kept(between, start="<article>", end="</article>"):
+        page = f"<html><body><nav>Menu</nav>{start}<p>{first}</p>{between}<p>{last}</p>{end}</body></html>"
+        return [line for line in main_text(page).split("\n") if line != "x"]
+
+    for between in ("<svg viewBox='0 0 1 1'/>", "<svg><title>t</title><path d='M0'/></svg>", "<svg><path d='M0'>", "<select><option>a",
+                    "<script src='a.js'/>", "<script>if (a < b) { c() }</script>", "<style>p {}</style>", "<iframe src='u'></iframe>",
+                    "<canvas>no</canvas>", "<object data='u'>no</object>", "<textarea>no</textarea>"):
+        assert kept(between) == want, between
+        assert kept(between, "<div>", "</div>") == want, between
+    for between, said in (("<title-card>hey</title-card>", "hey"), ("<math-field>hey</math-field>", "hey"),
+                          ("<p>so <math><mi>x</mi></math> holds</p>", "so x holds"), ("<p>see <label>Figure one</label> now</p>", "see Figure one now"),
+                          ("<p class=comment>A remark.</p>", "A remark."), ("<object-view>hey</object-view>", "hey"),
+                          ("<select-menu>hey</select-menu>", "hey"), ("<style-guide>hey</style-guide>", "hey")):
+        assert kept(between) == [want[0], said, want[1]], between
+
+
+def test_density_decides_without_article_tags():
+    """Known parts of pages without article, main or telling names: the dense part is kept whole, link lists around it go."""
+    rnd = random.Random(3)
+    for n in range(20):
+        text = [" ".join("word%d" % rnd.randrange(900) for _ in range(rnd.randrange(25, 60))) + "." for _ in range(rnd.randrange(6, 15))]
+        links = "".join(f"<li><a href='/{i}'>Topic {i}</a></li>" for i in range(rnd.randrange(8, 20)))
+        more = "".join(f"<div><a href='/r{i}'>Another story number {i}</a></div>" for i in range(rnd.randrange(4, 9)))
+        body = "".join(f"<p>{t}</p>" for t in text)
+        page = (f"<html><body><div class=c1><ul>{links}</ul></div><div class=c2><div class=c3>{body}</div></div>"
+                f"<div class=c4>{more}</div></body></html>")
+        assert main_text(page).split("\n") == text, n
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE % BODY, "x"), (1, "u", PAGE % BODY, "x"), (2, None, None, None), (None, "v", "", "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -20,7 +20,8 @@ def learn_dictionaries(labelled: DataFrame, key: str = "doc_id", text: str = "te
     ``piece`` characters at a hashed place is joined up to ``size`` bytes. Rows without text,
     letters or language teach nothing; an empty table gives no language.
     """
-    rows = bounded_sample(labelled.where(F.col(text).rlike(r"\p{L}")), key, lang, docs_per_language).select(
+    labelled = labelled.where(F.col(text).rlike(r"\p{L}")).select(*dict.fromkeys((key, text, lang)))
+    rows = bounded_sample(labelled, key, lang, docs_per_language).select(
         F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("at"),
         F.expr(f"substring({text}, 1 + int(pmod(xxhash64({text}), greatest(1, length({text}) - {piece}))), {piece})")
         .alias("text")).collect()
@@ -37,11 +38,10 @@ def judged(learned: dict[str, bytes], text: Column, block: int = 1024, level: in
     names = sorted(learned)
 
     def judge(parts):
-        import re
-
+        import regex
         import zstandard
 
-        letter = re.compile(r"[^\W\d_]")
+        letter = regex.compile(r"\p{L}")
         coders = []
         for name in names:
             content = zstandard.ZstdCompressionDict(learned[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)

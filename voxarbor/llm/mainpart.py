@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from voxarbor.llm.common import short_batches, slices
 
-RAW = "script|style|noscript|template|iframe|textarea|svg|math|select|object|canvas|title"
+#: Elements whose content is no markup; a tag name ends at white space, ``/`` or ``>``, so ``title-card`` is none of them.
+RAW = "script|style|noscript|template|iframe|textarea|title"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"'/]++|/(?!>)|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[/a-z!?][^<>]*+>", re.S | re.I)
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -27,7 +28,11 @@ BLOCKS = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body article main section div table ul ol dl td th tr aside nav footer header form".split())
-PARTS = frozenset("head nav footer aside form button dialog input label fieldset menu".split())
+PARTS = frozenset("head nav footer aside form button dialog input fieldset menu svg select object canvas".split())
+#: Drawings and choices, which a block that begins inside ends.
+DRAWN = frozenset("svg select".split())
+#: Reader comments are containers; a paragraph or a word so named belongs to the text.
+CONTAINERS = frozenset("article aside details div dl fieldset form li main ol section table tbody td tr ul".split())
 WHOLE = frozenset("html body article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: How surely a part is furniture, by the words of its names: comments may hold articles of their own, the first
@@ -67,7 +72,9 @@ def _clutter(tag: str, attrs: str, inside: bool) -> int:
             found = max(found, PLAIN if value in ROLES else 0)
         elif tag not in HEADINGS:
             new = max(map(_marked, value.split() if name.lower() == "class" else [value]), default=0)
-            found = max(found, 0 if new == MAYBE and inside else new)
+            if inside and (new == MAYBE or new == SURE and tag not in CONTAINERS):
+                new = 0
+            found = max(found, new)
     return found
 
 
@@ -134,7 +141,7 @@ def _tree(page: str):
             closed = CLOSES.get(tag, ())
             for depth in range(len(stack) - 1, 0, -1):
                 open_tag = tags[stack[depth]]
-                if open_tag == "p" or open_tag in closed:
+                if open_tag == "p" or open_tag in DRAWN or open_tag in closed:
                     del stack[depth:]  # an open paragraph, or the item before this one, ends here
                 elif open_tag in SCOPES:
                     break
