@@ -70,3 +70,34 @@ def test_lumen_and_trunk_geometry(spark):
     assert all(abs(r.x - 12) < 0.2 and abs(r.y - 12) < 0.2 and abs(abs(r.tz) - 1) < 0.01 for r in line)
     length = centerline.line_lengths(spark.createDataFrame(line)).first().length
     assert 26 < length < 34
+
+
+def bone_contact(spark, with_cortex):
+    """A trunk, a bright stub, a dim branch and a block beside the stub's end that only a low threshold opens; with a
+    cortex of high values the block is bone, without it tissue."""
+    shape = (18, 22, 40)
+    cortex = "WHEN z BETWEEN 3 AND 14 AND y BETWEEN 5 AND 16 AND x BETWEEN 22 AND 37 AND NOT (z BETWEEN 5 AND 12 AND y BETWEEN 7 AND 14 AND x BETWEEN 24 AND 35) THEN 900" if with_cortex else ""
+    return spark.range(shape[0] * shape[1] * shape[2]).selectExpr(
+        "1L AS case_id", f"cast(id div {shape[1] * shape[2]} AS int) AS z", f"cast((id div {shape[2]}) % {shape[1]} AS int) AS y",
+        f"cast(id % {shape[2]} AS int) AS x", "id AS gid").selectExpr(
+        "*", f"""cast(CASE WHEN z BETWEEN 2 AND 15 AND (y - 11) * (y - 11) + (x - 11) * (x - 11) <= 16 THEN 300
+            WHEN z BETWEEN 8 AND 10 AND y BETWEEN 10 AND 12 AND x BETWEEN 15 AND 19 THEN 300
+            WHEN z BETWEEN 8 AND 10 AND y BETWEEN 10 AND 12 AND x BETWEEN 20 AND 21 THEN 160
+            {cortex} WHEN z BETWEEN 3 AND 14 AND y BETWEEN 5 AND 16 AND x BETWEEN 22 AND 37 THEN 160
+            WHEN z BETWEEN 8 AND 10 AND y BETWEEN 10 AND 12 AND x BETWEEN 2 AND 6 THEN 130 ELSE 0 END AS double) AS hu""",
+        "z BETWEEN 2 AND 15 AND (y - 11) * (y - 11) + (x - 11) * (x - 11) <= 16 AS in_mask")
+
+
+@pytest.mark.parametrize("with_cortex", [True, False])
+def test_bone_is_cut_and_tissue_stops_the_descent(spark, with_cortex):
+    vox = bone_contact(spark, with_cortex).cache()
+    s = cases.Settings(spacing=(1.0, 1.0, 1.0), budget=10.0, searches=1, low=0.40, high=0.70, step=0.13)
+    stats = cases.lumen(vox).cache()
+    assert stats.first().ceiling == 300.0
+    cells, chosen, _ = cases.search_threshold(vox, stats, s)
+    got = chosen.first()
+    assert not got.leak
+    reached = {(r.z, r.y, r.x) for r in cells.collect()}
+    assert (9, 11, 18) in reached and (9, 11, 30) not in reached
+    assert ((9, 11, 5) in reached) == with_cortex
+    assert (got.f < 130 / 300) == with_cortex and (got.f > 160 / 300) != with_cortex

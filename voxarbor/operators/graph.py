@@ -1,7 +1,7 @@
 """Iterative graph operators. Every round is one job whose result is written as a table.
 
-Rounds are few: components contract to stars, pointers double, and a budgeted flood needs at most
-budget / shortest edge hops, two per job.
+Rounds are few: components contract to stars, pointers double, and a budgeted flood settles in
+budget / shortest edge bands, two per job.
 """
 
 from __future__ import annotations
@@ -80,30 +80,41 @@ def flood(cells: DataFrame, sources: DataFrame, budget: float, weight, offsets=l
     ``cells`` and ``sources`` hold ``case_id, z, y, x, gid``. Sources cost nothing and are never
     entered again, so links between sources drop out. Returns ``case_id, z, y, x, gid, dist, parent,
     source``; unreached cells are absent. Of equally near sources the smallest id counts.
+
+    Distances settle in bands one shortest step wide: whatever lies in the lowest open band can no longer
+    improve. Only that band announces itself, and only the open cells and the settled ones within one longest step
+    of it are carried on, to recognise cells that were reached before; what is settled further back stays where it
+    was written. A job takes ``hops`` bands.
     """
     cell = lattice.CELL
+    steps = [float(str(weight(*o)).rstrip("D")) for o in offsets]
+    near, far = min(steps) * (1 - 1e-9), max(steps) * (1 + 1e-9)
     rounds = Rounds(cells.sparkSession, "flood")
-    open_cells = cells.select(*cell, "gid").join(sources.select(*cell), cell, "left_anti")
-    ground, _ = rounds.save(open_cells)
-    best = sources.selectExpr(
+    ground, _ = rounds.save(cells.select(*cell, "gid").join(sources.select(*cell), cell, "left_anti"))
+    state = sources.selectExpr(
         *cell, "gid", f"struct(cast(0 AS {distance}) AS dist, gid AS source, 0 AS hop, "
-        "cast(NULL AS bigint) AS parent) AS s")
-    held, hop = None, 0
+        "cast(NULL AS bigint) AS parent) AS s", "cast(NULL AS int) AS done")
+    settled, low, band, job = None, 0.0, 0, 0
     while True:
-        for _ in range(hops):
-            front = best.where(f"s.hop = {hop}")
-            moved = (lattice.announce(front, offsets, [
-                f"struct(cast(s.dist + o.w AS {distance}) AS dist, s.source AS source, {hop + 1} AS hop, "
+        for k in range(hops):
+            bound = low + (k + 1) * near
+            state = state.withColumn("done", F.expr(f"coalesce(done, CASE WHEN s.dist < {bound!r}D THEN {band} END)"))
+            moved = (lattice.announce(state.where(f"done = {band}"), offsets, [
+                f"struct(cast(s.dist + o.w AS {distance}) AS dist, s.source AS source, s.hop + 1 AS hop, "
                 "gid AS parent) AS s"], weight).where(f"s.dist <= {budget}"))
-            moved = moved.groupBy(*cell).agg(F.expr("min(s) AS s")).join(ground, cell)
-            best = (best.unionByName(moved).groupBy(*cell, "gid")
-                    .agg(F.expr("min(s) AS s")))
-            hop += 1
-        best, state = rounds.save(best, fresh=F.expr(f"count_if(s.hop = {hop})"))
-        rounds.retire(held)
-        held = best
-        if state["fresh"] == 0:
-            return best.selectExpr(*cell, "gid", "s.dist AS dist", "s.parent AS parent", "s.source AS source")
+            moved = moved.groupBy(*cell).agg(F.expr("min(s) AS s")).join(ground, cell).selectExpr(
+                *cell, "gid", "s", "cast(NULL AS int) AS done")
+            state = state.unionByName(moved).groupBy(*cell).agg(
+                F.expr("min(gid) AS gid"), F.expr("min(s) AS s"), F.expr("min(done) AS done"))
+            band += 1
+        state, now = rounds.save(state, left=F.expr("count_if(done IS NULL)"),
+                                 low=F.expr("cast(min(CASE WHEN done IS NULL THEN s.dist END) AS double)"))
+        fresh = state.where(f"done >= {job}")
+        settled = fresh if settled is None else settled.unionByName(fresh)
+        if not now["left"]:
+            return settled.selectExpr(*cell, "gid", "s.dist AS dist", "s.parent AS parent", "s.source AS source")
+        low, job = now["low"], band
+        state = state.where(f"done IS NULL OR s.dist >= {low - far!r}D")
 
 
 def tube_stems(neck: DataFrame, core: DataFrame, dist: DataFrame, weight, slack: float, budget: float,

@@ -50,6 +50,76 @@ def watershed(cells: DataFrame, height: str = "height", min_peak: float = MIN_PE
             .withColumnRenamed("root", "basin"))
 
 
+def patch_field(patch: DataFrame, shell: DataFrame, shape: tuple[int, int, int], weight, budget: float = 50.0,
+                margin: int = 3, distance: str = "double") -> DataFrame:
+    """Contact patches with their holes filled, and how wide they are: ``case_id, label, z, y, x, gid, filled, height``.
+
+    ``patch``: ``case_id, label, z, y, x``, labels unique over cases; ``shell``: the cells around the trunk. A patch is a
+    curved sheet, so its width is the way along the shell to the nearest shell cell beside the patch. Pockets of
+    shell that the patch encloses belong to it (``filled``): within the patch's box, widened by ``margin``, they don't
+    reach the border. Cells no way leads to are ``budget`` high; ``height`` is NULL where nothing of the shell is left
+    beside the patch. ``gid`` numbers the cells of all patches in order of label and place.
+    """
+    rounds = Rounds(patch.sparkSession, "patch-field")
+    top = dict(zip("zyx", (n - 1 for n in shape)))
+    box = patch.groupBy("case_id", "label").agg(
+        *[F.expr(f"greatest(min({c}) - {margin}, 0) AS {c}0") for c in "zyx"],
+        *[F.expr(f"least(max({c}) + {margin}, {top[c]}) AS {c}1") for c in "zyx"])
+    tile = 16  # boxes and shell meet by tiles of this edge
+    for c in "zyx":
+        box = box.withColumn(f"t{c}", F.explode(F.expr(f"sequence({c}0 div {tile}, {c}1 div {tile})")))
+    near = shell.selectExpr(*lattice.CELL, *[f"cast({c} div {tile} AS bigint) AS t{c}" for c in "zyx"]).join(
+        box.selectExpr("case_id", "label", *[f"{c}{k}" for c in "zyx" for k in (0, 1)],
+                       *[f"cast(t{c} AS bigint) AS t{c}" for c in "zyx"]), ["case_id", "tz", "ty", "tx"]).where(
+        " AND ".join(f"{c} BETWEEN {c}0 AND {c}1" for c in "zyx"))
+    crop = near.select("case_id", "label", "z", "y", "x", F.expr(
+        "z IN (z0, z1) OR y IN (y0, y1) OR x IN (x0, x1) AS edge")).join(
+        patch.selectExpr("label", "z", "y", "x", "true AS own"), ["label", "z", "y", "x"], "left")
+    order = ["label", "z", "y", "x"]
+    crop, _ = rounds.save(crop.repartitionByRange(*order).sortWithinPartitions(*order).selectExpr(
+        "case_id AS volume", "label AS case_id", "z", "y", "x", "monotonically_increasing_id() AS gid", "edge",
+        "coalesce(own, false) AS own"))
+    beside, _ = rounds.save(graph.label_cells(crop.where("NOT own")))
+    open_, _ = rounds.save(beside.where("edge").select("label").distinct())
+    rim = beside.join(open_, "label", "left_semi")
+    holes = beside.join(open_, "label", "left_anti")
+    closed, _ = rounds.save(crop.where("own").selectExpr("volume", *lattice.CELL, "gid", "false AS filled").unionByName(
+        holes.selectExpr("volume", *lattice.CELL, "gid", "true AS filled")))
+    way = graph.flood(closed, rim, budget, weight, distance=distance).select("gid", "dist")
+    beaten = rim.select("case_id").distinct().withColumn("some", F.lit(True))
+    return closed.join(way, "gid", "left").join(beaten, "case_id", "left").selectExpr(
+        "volume AS case_id", "case_id AS label", "z", "y", "x", "gid", "filled",
+        f"CASE WHEN some THEN coalesce(dist, cast({budget} AS {distance})) END AS height")
+
+
+def patch_origins(field: DataFrame, min_peak: float = MIN_PEAK, min_depth: float = MIN_DEPTH,
+                  depth_share: float = DEPTH_SHARE) -> tuple[DataFrame, DataFrame]:
+    """Origins on the contact patches: one per piece of a patch and per basin of a piece.
+
+    ``field``: as ``patch_field`` returns it. Returns the field's cells with ``origin`` (``gid`` of the basin's top) and
+    ``case_id, label, origin, piece, peak, saddle``. A piece is named by its first cell; ``saddle`` is the highest
+    meeting with a higher basin, NULL for the highest of a piece. A patch without a rim is one origin without a peak.
+    """
+    rounds = Rounds(field.sparkSession, "patch-origins")
+    rows, _ = rounds.save(field)
+    solo = rows.where("height IS NOT NULL").selectExpr("label AS case_id", "z", "y", "x", "gid", "cast(height AS double) AS height")
+    pieces, _ = rounds.save(graph.label_cells(solo).selectExpr(*lattice.CELL, "gid", "height", "label AS piece"))
+    basins, _ = rounds.save(watershed(pieces, "height", min_peak, min_depth, depth_share))
+    peaks = basins.groupBy(F.expr("case_id AS label"), F.expr("basin AS origin")).agg(
+        F.expr("min(piece) AS piece"), F.expr("max(height) AS peak"))
+    met = saddles(basins, "height").join(peaks.selectExpr("origin AS a", "peak AS pa"), "a").join(
+        peaks.selectExpr("origin AS b", "peak AS pb"), "b")
+    low = met.selectExpr("CASE WHEN pa >= pb THEN b ELSE a END AS origin", "at").groupBy("origin").agg(F.expr("max(at) AS saddle"))
+    whole = rows.where("height IS NULL").groupBy("label").agg(F.expr("min(gid) AS origin"))
+    origins = peaks.join(low, "origin", "left").select("label", "origin", "piece", "peak", "saddle").unionByName(
+        whole.selectExpr("label", "origin", "origin AS piece", "cast(NULL AS double) AS peak", "cast(NULL AS double) AS saddle"))
+    cells = rows.join(basins.selectExpr("gid", "basin").unionByName(
+        rows.where("height IS NULL").join(whole, "label").selectExpr("gid", "origin AS basin")), "gid")
+    owner = rows.select("case_id", "label").distinct()
+    return cells.withColumnRenamed("basin", "origin"), origins.join(owner, "label").select(
+        "case_id", "label", "origin", "piece", "peak", "saddle")
+
+
 def absorb(origins: DataFrame, joins: DataFrame, min_peak: float = MIN_PEAK) -> DataFrame:
     """Fold narrow origins into what they join first: ``id, root``.
 

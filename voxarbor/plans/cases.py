@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxarbor import schema
 from voxarbor.functions.rules import Limits, explain, rejection_reason
-from voxarbor.operators import centerline, dedupe, graph, lattice, nearest, planes, quantiles, sequence, split, trace
+from voxarbor.operators import centerline, dedupe, descent, graph, lattice, nearest, planes, quantiles, sequence, split, trace
 from voxarbor.session import Rounds
 
 CELL = lattice.CELL
@@ -27,12 +27,13 @@ class Settings:
     low: float = 0.40
     high: float = 0.90
     searches: int = 5
+    step: float = descent.STEP
     neck: float = 2.0
     contrast: float = 80.0
     merge: float = 3.0
     gap: float = 1.5
     per_case: int | None = 40  # findings a case reports at most, largest parts first; None: all
-    hops: int = 3
+    hops: int = 2
     limits: Limits = Limits()
 
     @property
@@ -53,29 +54,32 @@ class Settings:
 
 
 def lumen(vox: DataFrame) -> DataFrame:
-    """Brightness of the trunk away from its wall: ``case_id, median, mad, p25, p75, n, ref, section, mask_n``.
+    """Brightness of the trunk away from its wall: ``case_id, median, mad, p25, p75, n, ref, section, mask_n, ceiling``.
 
-    A trunk too thin to be eroded counts whole.
+    A trunk too thin to be eroded counts whole. ``ceiling`` is the 99th percentile: no vessel is brighter than that.
     """
     mask = vox.where("in_mask")
     inner = lattice.erode(mask).withColumn("inner", F.lit(True))
     rows = mask.join(inner, CELL, "left").selectExpr("case_id", "z", "hu", "coalesce(inner, false) AS inner")
     any_ = rows.groupBy("case_id").agg(F.expr("bool_or(inner) AS some"), F.expr("count(1) AS mask_n"))
     rows = rows.join(any_, "case_id")
-    stats = quantiles.robust_stats(rows.where("inner OR NOT some"), ["case_id"], "hu")
+    core = rows.where("inner OR NOT some")
+    stats = quantiles.robust_stats(core, ["case_id"], "hu").join(
+        quantiles.exact_quantiles(core, ["case_id"], "hu", {"ceiling": 0.99}).select("case_id", "ceiling"), "case_id")
     per = rows.groupBy("case_id", "z", "mask_n").agg(F.expr("count(1) AS area"))  # one row per slice
     section = per.groupBy("case_id", "mask_n").agg(F.expr("median(area) AS section"))
     return stats.join(section, "case_id").selectExpr("*", "CASE WHEN p75 - p25 > 150 THEN p75 ELSE median END AS ref")
 
 
-def flood_at(vox: DataFrame, wanted: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+def flood_at(vox: DataFrame, wanted: DataFrame, s: Settings, cut: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Flood every case at its own threshold: cells, leak report per case, traversal cells.
 
-    ``wanted``: ``case_id, f, ref, section, mask_n``.
+    ``wanted``: ``case_id, f, ref, section, mask_n``; ``cut``: cells ``gid`` that are closed.
     """
     rounds = Rounds(vox.sparkSession, "attempt")
     bright = vox.join(wanted.select("case_id", "f", "ref"), "case_id").where("hu >= f * ref")
-    opened, _ = rounds.save(lattice.opening(bright).join(vox.select(*CELL, "gid", "in_mask"), CELL))
+    opened = lattice.opening(bright).join(vox.select(*CELL, "gid", "in_mask"), CELL)
+    opened, _ = rounds.save(opened if cut is None else opened.join(cut.select("gid"), "gid", "left_anti").select(*opened.columns))
     mask = vox.join(wanted.select("case_id"), "case_id", "left_semi").where("in_mask")
     inner = lattice.erode(mask).withColumn("seed", F.lit(True))
     marked = mask.select(*CELL).join(inner, CELL, "left")
@@ -97,7 +101,8 @@ def search_threshold(vox: DataFrame, stats: DataFrame, s: Settings) -> tuple[Dat
     """Lowest threshold share at which the flood of a case does not leak: flood, ``case_id, f, leak``, traversal.
 
     All undecided cases try their next value together: the low end, then bisections, and the high end for
-    cases that leaked throughout.
+    cases that leaked throughout. Cases that settled above a leak then go on below it, with bone-like parts of the
+    leak cut out (``descent.descend``).
     """
     rounds = Rounds(vox.sparkSession, "search")
     state, _ = rounds.save(stats.selectExpr("case_id", "ref", "section", "mask_n", f"{s.low}D AS lo", f"{s.high}D AS hi", f"{s.low}D AS f",
@@ -134,7 +139,18 @@ def search_threshold(vox: DataFrame, stats: DataFrame, s: Settings) -> tuple[Dat
             out = part if out is None else out.unionByName(part)
         return out
 
-    return pick(0), chosen.select("case_id", "f", "leak"), pick(2)
+    below = log.where("leak").join(chosen.where("NOT leak").selectExpr("case_id", "f AS top"), "case_id").where(
+        "f < top").select("case_id").distinct()
+    settled, todo = rounds.save(chosen.select("case_id", "f").join(below, "case_id").join(
+        stats.select("case_id", "ref", "section", "mask_n", "ceiling"), "case_id"), n=F.expr("count(1)"))
+    if not todo["n"]:
+        return pick(0), chosen.select("case_id", "f", "leak"), pick(2)
+    cells, opened, state, _ = descent.descend(
+        settled, pick(0), pick(2), vox, lambda wanted, cut: flood_at(vox, wanted, s, cut), s.low,
+        descent.MIN_MM3 / s.volume, s.step)
+    chosen = chosen.join(state.selectExpr("case_id", "f AS lower"), "case_id", "left").selectExpr(
+        "case_id", "coalesce(lower, f) AS f", "leak")
+    return cells, chosen, opened
 
 
 def components(fl: DataFrame, s: Settings) -> DataFrame:
