@@ -149,3 +149,33 @@ def test_absorb_lowest_join_first(spark):
     joins = spark.createDataFrame([(1, 2, 4.0), (2, 3, 2.0), (1, 3, 1.0), (4, 5, 3.0)], "a long, b long, join_mm double")
     got = {r.id: r.root for r in split.absorb(origins, joins).collect()}
     assert got == {1: 1, 2: 3, 3: 3, 4: 4, 5: 4}
+
+
+def test_patch_holes_waists_and_wrapping(spark):
+    """A flat sheet of shell: an enclosed pocket belongs to its patch, a notch does not, a waist parts two mouths, pieces
+    are origins of their own, and a patch that covers its whole shell has no peak."""
+    from voxarbor.operators import split
+
+    sheet = {(1, y, x) for y in range(20) for x in range(40)}
+    hole = {(1, y, x) for y in range(4, 11) for x in range(4, 11)} - {(1, 7, 7)}
+    notch = {(1, y, x) for y in range(4, 11) for x in range(18, 25)} - {(1, y, 21) for y in range(4, 7)}
+    waist = {(1, y, x) for y in range(12, 17) for x in (*range(4, 9), *range(11, 16))} | {(1, 14, 9), (1, 14, 10)}
+    apart = {(1, y, x) for y in range(13, 16) for x in (*range(24, 27), *range(30, 33))}
+    patches = {1: hole, 2: notch, 3: waist, 4: apart}
+    small = {(1, y, x) for y in range(3) for x in range(3)}
+    rows = [(1, k, *c) for k, cells in patches.items() for c in cells] + [(2, 9, *c) for c in small]
+    patch = spark.createDataFrame(rows, "case_id long, label long, z int, y int, x int")
+    shell = spark.createDataFrame([(1, *c) for c in sheet] + [(2, *c) for c in small], "case_id long, z int, y int, x int")
+    field = split.patch_field(patch, shell, (3, 20, 40), lattice.millimetres((1.0, 1.0, 1.0)))
+    cells, origins = split.patch_origins(field, min_peak=1.5)
+    got = cells.collect()
+    assert {(r.z, r.y, r.x) for r in got if r.filled} == {(1, 7, 7)} and len(got) == len(rows) + 1
+    found = {}
+    for o in origins.collect():
+        found.setdefault(o.label, []).append(o)
+    assert [len(found[k]) for k in (1, 2, 4, 9)] == [1, 1, 2, 1]
+    assert found[1][0].peak == 4.0 and found[1][0].saddle is None
+    two = sorted(found[3], key=lambda o: o.saddle is not None)
+    assert len(two) == 2 and two[0].saddle is None and two[1].saddle == 1.0 and two[0].piece == two[1].piece
+    assert len({o.piece for o in found[4]}) == 2 and {o.peak for o in found[4]} == {2.0}
+    assert found[9][0].peak is None and {r.height for r in got if r.label == 9} == {None}

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ def test_assignment_against_permutations(spark):
     rnd = random.Random(1)
     for n, m in [(1, 1), (2, 5), (4, 4), (5, 7), (6, 6)]:
         cost = [[rnd.random() for _ in range(m)] for _ in range(n)]
-        got = sum(cost[i][j] for i, j in enumerate(matching.assign(cost)))
+        got = sum(cost[i][j] for i, j in enumerate(matching.assign(np.array(cost))[0]))
         best = min(sum(cost[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
         assert abs(got - best) < 1e-9
 
@@ -105,18 +106,38 @@ def test_fold_equals_the_walk_in_one_large_case(spark):
     assert got == want
 
 
-def test_assignment_of_a_large_case(spark):
+def test_potentials_prove_the_assignment():
     rnd = random.Random(13)
-    cost = [[rnd.random() for _ in range(70)] for _ in range(60)]
-    total = sum(cost[i][j] for i, j in enumerate(matching.assign(cost)))
-    small, matching.SMALL = matching.SMALL, 1000
-    try:
-        assert abs(total - sum(cost[i][j] for i, j in enumerate(matching.assign(cost)))) < 1e-9
-    finally:
-        matching.SMALL = small
-    side = lambda at: spark.createDataFrame([(1, at + i, float(i), 0.0, 0.0) for i in range(500)], "case_id long, id long, x double, y double, z double")
-    pairs = matching.match(side(0), side(1000), 1.0).collect()
-    assert len(pairs) == 500 and all(p.distance == 0 for p in pairs)
+    cost = np.array([[rnd.choice([1.0, 2.0, rnd.random() * 5]) for _ in range(70)] for _ in range(60)])
+    picks, u = matching.assign(cost)
+    chosen = np.array([cost[i, j] for i, j in enumerate(picks)])
+    v = np.zeros(70)
+    v[picks] = chosen - u
+    assert (v <= 1e-9).all() and (u[:, None] + v <= cost + 1e-9).all() and len(set(picks)) == 60
+
+
+def test_assignment_by_place_equals_one_part(spark):
+    rnd = random.Random(14)
+    at = lambda: (rnd.random() * 60, rnd.random() * 60, rnd.choice([0.0, 1.0, 2.0]))
+    preds = [(c, i, *at()) for c, n in ((1, 40), (2, 30), (3, 25)) for i in range(n)] + [(3, 90, 500.0, 0.0, 0.0), (4, 1, 0.0, 0.0, 0.0)]
+    refs = [(c, 100 + i, *at()) for c, n in ((1, 40), (2, 50), (3, 20)) for i in range(n)] + [(5, 1, 0.0, 0.0, 0.0)]
+    preds += [(1, 200 + i, 7.0, 7.0, 0.0) for i in range(3)]  # repeated points
+    refs += [(1, 300 + i, 7.0, 7.0, 0.0) for i in range(2)]
+    a, b = points(spark, preds), points(spark, refs)
+    for threshold in (4.0, 1000.0):
+        one = matching.match(a, b, threshold).groupBy("case_id").agg(F.expr("count(1) AS n"), F.expr("round(sum(distance), 6) AS d")).collect()
+        many = matching.match(a, b, threshold, one_part=0).groupBy("case_id").agg(
+            F.expr("count(1) AS n"), F.expr("round(sum(distance), 6) AS d")).collect()
+        assert sorted(one) == sorted(many) and len(one) == 3
+
+
+def test_assignment_of_a_large_case(spark):
+    """One case of 20,000 points on each side in places of a few: all are found, and none is matched twice."""
+    side = lambda first, shift: spark.range(20_000).selectExpr(
+        "1L AS case_id", f"id + {first} AS id", f"(id div 4) % 100 * 50D + id % 4 + {shift} AS x", "(id div 400) * 50D AS y", "0D AS z")
+    pairs = matching.match(side(0, 0.0), side(100_000, 0.25), 1.0).selectExpr(
+        "count(1) AS n", "count(DISTINCT pred_id) AS p", "count(DISTINCT ref_id) AS r", "sum(distance) AS d").first()
+    assert (pairs.n, pairs.p, pairs.r) == (20_000, 20_000, 20_000) and abs(pairs.d - 5000) < 1e-6
 
 
 def test_quantiles_match_numpy(spark):

@@ -8,56 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxarbor.operators import graph, nearest
 from voxarbor.session import Rounds
 
-SMALL = 40  # rows up to which plain lists are faster than array calls
+#: Pairs up to which a case is solved as one part; larger cases are taken apart by place.
+ONE_PART = 20_000
+FAR = 1e12  # stands for a pair that is not at hand
 
 
-def assign(cost: list[list[float]]) -> list[int]:
-    """Column of each row in a cheapest one-to-one assignment; rows must not outnumber columns.
+def assign(cost: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Column and potential of each row in a cheapest one-to-one assignment; rows must not outnumber columns.
 
-    Rows enter one at a time along a shortest augmenting path under row and column potentials. Plain
-    lists: a case is a handful of points, where array calls cost more than the arithmetic.
+    Rows enter one at a time along a shortest augmenting path under row and column potentials. Column potentials
+    are never positive, and zero for columns that stay free.
     """
-    n, m = len(cost), len(cost[0])
-    if n > SMALL:
-        return _assign_arrays(np.array(cost))
-    u, v, owner = [0.0] * n, [0.0] * m, [-1] * m
-    for row in range(n):
-        short, back, used = [float("inf")] * m, [-1] * m, [False] * m
-        at, col = row, -1
-        while True:
-            line, pu = cost[at], u[at]
-            best, nxt = float("inf"), -1
-            for j in range(m):
-                if not used[j]:
-                    d = line[j] - pu - v[j]
-                    if d < short[j]:
-                        short[j], back[j] = d, col
-                    if short[j] < best:
-                        best, nxt = short[j], j
-            u[row] += best
-            for j in range(m):
-                if used[j]:
-                    u[owner[j]] += best
-                    v[j] -= best
-                else:
-                    short[j] -= best
-            used[nxt], col = True, nxt
-            if owner[nxt] < 0:
-                break
-            at = owner[nxt]
-        while col >= 0:
-            owner[col], col = (owner[back[col]] if back[col] >= 0 else row), back[col]
-    out = [-1] * n
-    for j, i in enumerate(owner):
-        if i >= 0:
-            out[i] = j
-    return out
-
-
-def _assign_arrays(cost: np.ndarray) -> list[int]:
-    """``assign`` with one array call per step, for large cases."""
     n, m = cost.shape
     u, v, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
     for row in range(n):
@@ -83,51 +47,108 @@ def _assign_arrays(cost: np.ndarray) -> list[int]:
     for j, i in enumerate(owner.tolist()):
         if i >= 0:
             out[i] = j
-    return out
+    return out, u
 
 
-FAR = 1e12  # stands for a pair that cannot be part of the chosen optimum
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("u", T.DoubleType())])))
+def _cheapest(rows: pd.Series, cols: pd.Series, dist: pd.Series) -> pd.Series:
+    """Chosen pairs of each part as positions in its arrays, with the row's potential; empty if a row stays without."""
+    out = []
+    for r, c, d in zip(rows, cols, dist):
+        i, j = ({k: at for at, k in enumerate(dict.fromkeys(side))} for side in (r, c))
+        if len(i) > len(j):
+            out.append([])
+            continue
+        cost, where = np.full((len(i), len(j)), FAR), {}
+        for at, (a, b, value) in enumerate(zip(r, c, d)):
+            cost[i[a], j[b]] = value
+            where[i[a], j[b]] = at
+        picks, u = assign(cost)
+        whole = all(pair in where for pair in enumerate(picks))
+        out.append([{"at": where[pair], "u": float(u[pair[0]])} for pair in enumerate(picks)] if whole else [])
+    return pd.Series(out)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _cheapest(preds: pd.Series, refs: pd.Series, dist: pd.Series) -> pd.Series:
-    """Positions of the chosen pairs in the candidate arrays of each case."""
+def _solved(pairs: DataFrame, part: list[str]) -> DataFrame:
+    """Cheapest pairs of every part: its columns and ``row, col, dist, u`` and whatever else ``pairs`` holds."""
+    rest = [c for c in pairs.columns if c not in part]
+    case = pairs.groupBy(*part).agg(F.expr(f"collect_list(struct({', '.join(rest)})) AS c"))
+    pick = case.select(*part, "c", _cheapest("c.row", "c.col", "c.dist").alias("best"))
+    return pick.selectExpr(*part, "c", "inline(best)").selectExpr(*part, "c[at] AS k", "u").select(*part, "k.*", "u")
 
-    out = []
-    for p, r, d in zip(preds, refs, dist):
-        rows = {k: i for i, k in enumerate(dict.fromkeys(p))}
-        cols = {k: i for i, k in enumerate(dict.fromkeys(r))}
-        if len(rows) > len(cols):
-            p, r, rows, cols = r, p, cols, rows
-        cost = [[FAR] * len(cols) for _ in rows]
-        where = {}
-        for at, (a, b, c) in enumerate(zip(p, r, d)):
-            cost[rows[a]][cols[b]] = c
-            where[rows[a], cols[b]] = at
-        out.append([where[i, j] for i, j in enumerate(assign(cost))])
-    return pd.Series(out)
 
+def _by_place(rows: DataFrame, cols: DataFrame, reach: float) -> DataFrame:
+    """Cheapest assignment of large cases: ``case_id, row, col, dist``. Each case has at most as many rows as columns.
 
-def match(preds: DataFrame, refs: DataFrame, threshold: float) -> DataFrame:
+    Both sides hold ``case_id, id, x, y, z``. Rows look only as far as their reach, and what these pairs connect is
+    solved as a part. A part is final if every row's potential is at most its reach: column potentials are not
+    positive, so no pair beyond the reach can be worth more, and the parts' assignments together are a cheapest one
+    of the case. The rows of other parts double their reach. A reach across the whole case is always final.
+    """
+    rounds = Rounds(rows.sparkSession, "match-parts")
+    side = lambda df, odd: df.selectExpr("case_id", "id", "x", "y", "z", f"2 * monotonically_increasing_id() + {odd} AS node")
+    rows, state = rounds.save(side(rows, 0), n=F.expr("count(1)"))
+    cols, _ = rounds.save(side(cols, 1))
+    span = rows.select("case_id", "x", "y", "z").unionByName(cols.select("case_id", "x", "y", "z")).groupBy("case_id").agg(F.expr(
+        "sqrt(" + " + ".join(f"pow(max({c}) - min({c}), 2)" for c in "xyz") + ") AS span"))
+    nodes, _ = rounds.save(rows.select(F.col("node").alias("id")).unionByName(cols.select(F.col("node").alias("id"))))
+    targets = cols.selectExpr("case_id", "node AS id", "x", "y", "z")
+    changed, pairs, final = rows, None, None
+    while state["n"]:
+        near = nearest.within_distance(changed.selectExpr("case_id", "node AS id", "x", "y", "z"), targets, ["case_id"], reach).join(
+            span, "case_id").selectExpr("case_id", "id AS row", "other AS col", "dist", f"{reach!r}D AS reach", f"span <= {reach!r}D AS whole")
+        moved = changed.selectExpr("node AS row")
+        old = pairs
+        pairs, _ = rounds.save(near if pairs is None else pairs.join(moved, "row", "left_anti").unionByName(near))
+        rounds.retire(old)
+        label, _ = rounds.save(graph.components(nodes, pairs.selectExpr("row AS a", "col AS b")))
+        part = label.withColumnRenamed("id", "row")
+        again, _ = rounds.save(part.join(moved, "row").select("label").distinct())
+        mine, _ = rounds.save(rows.selectExpr("node AS row").join(part, "row").join(again, "label"))
+        solved, _ = rounds.save(_solved(pairs.join(mine, "row"), ["label"]))
+        good = solved.groupBy("label").agg(F.expr("bool_and(whole OR u <= reach) AS good")).where("good").select("label")
+        kept = solved.join(good, "label").select("case_id", "row", "col", "dist")
+        old = final
+        final, _ = rounds.save(kept if final is None else final.join(mine.select("row"), "row", "left_anti").unionByName(kept))
+        rounds.retire(old)
+        changed, state = rounds.save(rows.join(mine.join(good, "label", "left_anti").selectExpr("row AS node"), "node", "left_semi"),
+                                     n=F.expr("count(1)"))
+        reach *= 2
+        for table in (label, again, solved):
+            rounds.retire(table)
+    if final is None:
+        return rows.selectExpr("case_id", "id AS row", "id AS col", "cast(NULL AS double) AS dist").limit(0)
+    return final.join(rows.selectExpr("node AS row", "id AS r"), "row").join(cols.selectExpr("node AS col", "id AS c"), "col").selectExpr(
+        "case_id", "r AS row", "c AS col", "dist")
+
+
+def match(preds: DataFrame, refs: DataFrame, threshold: float, one_part: int = ONE_PART) -> DataFrame:
     """Pairs of the cheapest total assignment per case, those beyond ``threshold`` dropped afterwards.
 
     Both sides hold ``case_id, id, x, y, z``. The gate must not come first: a far pair can displace a
-    near one. Some optimum gives each prediction one of its nearest references, as many as the case has
-    predictions, so a case sends at most the square of its smaller side to its task. The pairs are written
-    once, so scores that use them several times do not assign again.
+    near one. A case with at most ``one_part`` pairs is solved at once, larger ones by place, part by part
+    (``_by_place``), so only what is proven to be bounded or connected meets in a task. The result is written
+    once, so scores that use it several times do not assign again.
     """
-    n = preds.groupBy("case_id").agg(F.expr("count(1) AS n"))
-    pairs = (preds.join(n, "case_id").selectExpr("case_id", "n", "id AS pred_id", "x", "y", "z")
-             .join(refs.selectExpr("case_id", "id AS ref_id", "x AS rx", "y AS ry", "z AS rz"), "case_id")
-             .selectExpr("case_id", "n", "pred_id", "ref_id",
-                         "sqrt((x-rx)*(x-rx) + (y-ry)*(y-ry) + (z-rz)*(z-rz)) AS distance"))
-    near = pairs.selectExpr(
-        "*", "row_number() OVER (PARTITION BY case_id, pred_id ORDER BY distance, ref_id) AS k",
-    ).where("k <= n").select("case_id", "pred_id", "ref_id", "distance")
-    case = near.groupBy("case_id").agg(F.expr("collect_list(struct(pred_id, ref_id, distance)) AS c"))
-    pick = case.select("case_id", "c", _cheapest("c.pred_id", "c.ref_id", "c.distance").alias("best"))
-    chosen = pick.selectExpr("case_id", "inline(transform(best, i -> c[i]))").where(f"distance <= {threshold}")
-    return Rounds(preds.sparkSession, "match").save(chosen)[0]
+    count = lambda df, name: df.groupBy("case_id").agg(F.expr(f"count(1) AS {name}"))
+    rounds = Rounds(preds.sparkSession, "match")
+    sizes, state = rounds.save(count(preds, "np").join(count(refs, "nr"), "case_id"), large=F.expr(f"count_if(np * nr > {one_part})"))
+    turned = sizes.selectExpr("case_id", "np > nr AS turned", f"np * nr > {one_part} AS large")
+    point = lambda df, name: df.selectExpr("case_id", f"id AS {name}", f"x AS {name}_x", f"y AS {name}_y", f"z AS {name}_z")
+    square = " + ".join(f"(p_{c} - r_{c}) * (p_{c} - r_{c})" for c in "xyz")
+    few = point(preds, "p").join(turned.where("NOT large"), "case_id").join(point(refs, "r"), "case_id").selectExpr(
+        "case_id", "turned", "CASE WHEN turned THEN r ELSE p END AS row", "CASE WHEN turned THEN p ELSE r END AS col",
+        f"sqrt({square}) AS dist")
+    out = _solved(few, ["case_id", "turned"]).select("case_id", "turned", "row", "col", "dist")
+    if state["large"]:
+        big = turned.where("large").select("case_id", "turned")
+        pick = lambda a, b: a.join(big.where("NOT turned"), "case_id").unionByName(b.join(big.where("turned"), "case_id")).select(
+            "case_id", "id", "x", "y", "z")
+        found = _by_place(pick(preds, refs), pick(refs, preds), float(threshold))
+        out = out.unionByName(found.join(big, "case_id").select("case_id", "turned", "row", "col", "dist"))
+    return rounds.save(out.where(f"dist <= {threshold}").selectExpr(
+        "case_id", "CASE WHEN turned THEN col ELSE row END AS pred_id", "CASE WHEN turned THEN row ELSE col END AS ref_id",
+        "dist AS distance"))[0]
 
 
 def outcome(preds: DataFrame, refs: DataFrame, pairs: DataFrame) -> DataFrame:

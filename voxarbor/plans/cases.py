@@ -165,22 +165,18 @@ def components(fl: DataFrame, s: Settings) -> DataFrame:
 def patches(members: DataFrame, vox: DataFrame, fl: DataFrame, s: Settings) -> DataFrame:
     """Contact patch cells and their origin: ``case_id, z, y, x, gid, label, origin, peak``.
 
-    The patch of a part is where its ways leave the trunk; its cells are as high as they are far from the rest of
-    the trunk's shell, and basins of that height are the origins.
+    The patch of a part is where its ways leave the trunk. Its pieces, and the basins of the width measured along the
+    trunk's shell, are the origins (``split.patch_field``, ``split.patch_origins``).
     """
-    rounds = Rounds(vox.sparkSession, "patches")
     way = split.exits(fl).join(members.select("gid", "label"), "gid").select("label", F.col("exit").alias("gid")).distinct()
-    spots = fl.select(*CELL, "gid").join(way, "gid")
+    spots, _ = Rounds(vox.sparkSession, "patches").save(fl.select(*CELL, "gid").join(way, "gid"))
     shell = lattice.rim(vox.where("in_mask").select(*CELL), lattice.FULL)
-    rest = lattice.without(shell, spots.select(*CELL))
-    at = [f"{c} * {step}D AS {c}" for c, step in zip("xyz", s.spacing)]
-    ring = rest.selectExpr("case_id", "xxhash64(z, y, x) AS id", *at)
-    high = nearest.nearest(spots.selectExpr("case_id", "gid AS id", *at), ring, ["case_id"], 2 * s.edge)
-    field, _ = rounds.save(spots.join(high.selectExpr("id AS gid", "dist AS height").distinct(), "gid"))
-    floor = split.MIN_PEAK + 0.5 * sum(s.spacing) / 3
-    solo = field.selectExpr("label AS case_id", "z", "y", "x", "gid", "coalesce(height, 0D) AS height", "case_id AS own")
-    basins = split.watershed(solo, "height", floor)
-    return basins.selectExpr("own AS case_id", "z", "y", "x", "gid", "case_id AS label", "basin AS origin", "height AS peak")
+    shape = vox.agg(*[F.expr(f"max({c}) + 1 AS {c}") for c in "zyx"]).first()
+    field = split.patch_field(spots.select("case_id", "label", "z", "y", "x"), shell, tuple(shape), lattice.millimetres(s.spacing))
+    cells, origins = split.patch_origins(field, split.MIN_PEAK + 0.5 * sum(s.spacing) / 3)
+    own = cells.where("NOT filled").select("label", "z", "y", "x", "origin")
+    return spots.join(own, ["label", "z", "y", "x"]).join(origins.select("origin", "peak"), "origin").select(
+        *CELL, "gid", "label", "origin", "peak")
 
 
 def analyse(vox: DataFrame, s: Settings = Settings()) -> DataFrame:
