@@ -16,7 +16,7 @@ def test_assignment_against_permutations(spark):
     rnd = random.Random(1)
     for n, m in [(1, 1), (2, 5), (4, 4), (5, 7), (6, 6)]:
         cost = [[rnd.random() for _ in range(m)] for _ in range(n)]
-        got = sum(cost[i][j] for i, j in enumerate(matching.assign(np.array(cost))[0]))
+        got = sum(cost[i][j] for i, j in enumerate(matching.assign(cost)[0]))
         best = min(sum(cost[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
         assert abs(got - best) < 1e-9
 
@@ -109,7 +109,8 @@ def test_fold_equals_the_walk_in_one_large_case(spark):
 def test_potentials_prove_the_assignment():
     rnd = random.Random(13)
     cost = np.array([[rnd.choice([1.0, 2.0, rnd.random() * 5]) for _ in range(70)] for _ in range(60)])
-    picks, u = matching.assign(cost)
+    picks, u = matching.assign(cost.tolist())
+    u = np.array(u)
     chosen = np.array([cost[i, j] for i, j in enumerate(picks)])
     v = np.zeros(70)
     v[picks] = chosen - u

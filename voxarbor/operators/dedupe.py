@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,19 +19,24 @@ def first_per_case(df: DataFrame, order: str, limit: int) -> DataFrame:
             .where(f"_k <= {limit}").drop("_k"))
 
 
+HALF = [o for o in product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
+
+
 def conflicts(rows: DataFrame, conflict: str, reach: float) -> DataFrame:
     """``case_id, id, k_id, k_rank``: every row with the better-ranked rows it conflicts with.
 
-    Only rows in neighbouring cells of ``reach`` meet, whatever the case holds.
+    Only rows in neighbouring cells of ``reach`` meet, whatever the case holds, and each two cells meet once: which
+    of two rows is the better one is seen when they have met. Rows travel with what the conflict reads.
     """
-    cells = [F.expr(f"cast(floor({c} / {reach!r}D) AS bigint)").alias(f"_{c}") for c in "xyz"]
-    own = rows.select("*", *cells)
-    other = own
-    for c in "xyz":
-        other = other.withColumn(f"_{c}", F.explode(F.expr(f"array(_{c} - 1, _{c}, _{c} + 1)")))
-    on = [F.col(f"k.{c}") == F.col(f"x.{c}") for c in ("case_id", "_x", "_y", "_z")]
-    return own.alias("x").join(other.alias("k"), on).where(f"k._rank < x._rank AND ({conflict})").selectExpr(
-        "x.case_id", "x.id", "k.id AS k_id", "k._rank AS k_rank")
+    read = dict.fromkeys(["id", "_rank", *re.findall(r"\b[kx]\.(\w+)", conflict)])
+    own = rows.select("case_id", F.expr(f"struct({', '.join(read)}) AS r"),
+                      *[F.expr(f"cast(floor({c} / {reach!r}D) AS bigint)").alias(f"_{c}") for c in "xyz"])
+    moves = ", ".join(f"struct({a} AS a, {b} AS b, {c} AS c)" for a, b, c in HALF)
+    told = own.select("case_id", F.col("r").alias("s"), F.explode(F.expr(f"array({moves})")).alias("o"), "_x", "_y", "_z").selectExpr(
+        "case_id", "s", "o.a = 0 AND o.b = 0 AND o.c = 0 AS home", "_x + o.a AS _x", "_y + o.b AS _y", "_z + o.c AS _z")
+    met = own.join(told, ["case_id", "_x", "_y", "_z"]).where("NOT home OR r._rank < s._rank").selectExpr(
+        "case_id", "CASE WHEN r._rank < s._rank THEN r ELSE s END AS k", "CASE WHEN r._rank < s._rank THEN s ELSE r END AS x")
+    return met.where(f"k._rank < x._rank AND ({conflict})").selectExpr("case_id", "x.id AS id", "k.id AS k_id", "k._rank AS k_rank")
 
 
 def fold(df: DataFrame, rank: str, conflict: str, reach: float, accept: str = "true") -> DataFrame:
@@ -41,6 +49,7 @@ def fold(df: DataFrame, rank: str, conflict: str, reach: float, accept: str = "t
     """
     rounds = Rounds(df.sparkSession, "fold")
     rows, _ = rounds.save(df.where(accept).withColumn("_rank", F.expr(rank)))
+    # decisions read the pairs alone; the other columns come back at the end
     pairs, state = rounds.save(conflicts(rows, conflict, reach), n=F.expr("count(1)"))
     if not state["n"]:
         return rows.drop("_rank").withColumn("folded_into", F.lit(None).cast(dict(df.dtypes)["id"]))
@@ -48,12 +57,15 @@ def fold(df: DataFrame, rank: str, conflict: str, reach: float, accept: str = "t
     top = pairs.selectExpr("case_id", "k_id AS id").distinct().join(below, KEY, "left_anti").selectExpr(*KEY, "true AS kept")
     now, state = rounds.save(below.unionByName(top), left=F.expr("count_if(kept IS NULL)"))
     while state["left"]:
-        told = now.selectExpr("case_id", "id AS k_id", "kept AS k_kept")
-        open_ = now.where("kept IS NULL").select(*KEY)
-        news = pairs.join(open_, KEY, "left_semi").join(told, ["case_id", "k_id"]).groupBy(*KEY).agg(F.expr(
-            "CASE WHEN bool_or(k_kept) THEN false WHEN count(k_kept) = count(1) THEN true END AS kept"))
+        step = now
+        for _ in range(2):
+            told = step.selectExpr("case_id", "id AS k_id", "kept AS k_kept")
+            open_ = step.where("kept IS NULL").select(*KEY)
+            news = pairs.join(open_, KEY, "left_semi").join(told, ["case_id", "k_id"]).groupBy(*KEY).agg(F.expr(
+                "CASE WHEN bool_or(k_kept) THEN false WHEN count(k_kept) = count(1) THEN true END AS kept"))
+            step = step.where("kept IS NOT NULL").unionByName(news)
         old = now
-        now, state = rounds.save(now.where("kept IS NOT NULL").unionByName(news), left=F.expr("count_if(kept IS NULL)"))
+        now, state = rounds.save(step, left=F.expr("count_if(kept IS NULL)"))
         rounds.retire(old)
     kept = now.where("kept").selectExpr("case_id", "id AS k_id")
     into = (pairs.join(now.where("NOT kept").select(*KEY), KEY, "left_semi").join(kept, ["case_id", "k_id"], "left_semi")

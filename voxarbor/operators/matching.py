@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,27 +15,35 @@ ONE_PART = 20_000
 FAR = 1e12  # stands for a pair that is not at hand
 
 
-def assign(cost: np.ndarray) -> tuple[list[int], np.ndarray]:
+def assign(cost: list[list[float]]) -> tuple[list[int], list[float]]:
     """Column and potential of each row in a cheapest one-to-one assignment; rows must not outnumber columns.
 
     Rows enter one at a time along a shortest augmenting path under row and column potentials. Column potentials
-    are never positive, and zero for columns that stay free.
+    are never positive, and zero for columns that stay free. Plain lists: a part is a handful of points, where
+    array calls cost more than the arithmetic.
     """
-    n, m = cost.shape
-    u, v, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
+    n, m = len(cost), len(cost[0])
+    u, v, owner = [0.0] * n, [0.0] * m, [-1] * m
     for row in range(n):
-        short, back, used = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        short, back, used = [float("inf")] * m, [-1] * m, [False] * m
         at, col = row, -1
         while True:
-            d = cost[at] - u[at] - v
-            better = ~used & (d < short)
-            short[better], back[better] = d[better], col
-            nxt = int(np.argmin(np.where(used, np.inf, short)))
-            best = short[nxt]
+            line, pu = cost[at], u[at]
+            best, nxt = float("inf"), -1
+            for j in range(m):
+                if not used[j]:
+                    d = line[j] - pu - v[j]
+                    if d < short[j]:
+                        short[j], back[j] = d, col
+                    if short[j] < best:
+                        best, nxt = short[j], j
             u[row] += best
-            u[owner[used]] += best
-            v[used] -= best
-            short[~used] -= best
+            for j in range(m):
+                if used[j]:
+                    u[owner[j]] += best
+                    v[j] -= best
+                else:
+                    short[j] -= best
             used[nxt], col = True, nxt
             if owner[nxt] < 0:
                 break
@@ -44,7 +51,7 @@ def assign(cost: np.ndarray) -> tuple[list[int], np.ndarray]:
         while col >= 0:
             owner[col], col = (owner[back[col]] if back[col] >= 0 else row), back[col]
     out = [-1] * n
-    for j, i in enumerate(owner.tolist()):
+    for j, i in enumerate(owner):
         if i >= 0:
             out[i] = j
     return out, u
@@ -59,13 +66,13 @@ def _cheapest(rows: pd.Series, cols: pd.Series, dist: pd.Series) -> pd.Series:
         if len(i) > len(j):
             out.append([])
             continue
-        cost, where = np.full((len(i), len(j)), FAR), {}
+        cost, where = [[FAR] * len(j) for _ in i], {}
         for at, (a, b, value) in enumerate(zip(r, c, d)):
-            cost[i[a], j[b]] = value
+            cost[i[a]][j[b]] = float(value)
             where[i[a], j[b]] = at
         picks, u = assign(cost)
         whole = all(pair in where for pair in enumerate(picks))
-        out.append([{"at": where[pair], "u": float(u[pair[0]])} for pair in enumerate(picks)] if whole else [])
+        out.append([{"at": where[pair], "u": u[pair[0]]} for pair in enumerate(picks)] if whole else [])
     return pd.Series(out)
 
 
