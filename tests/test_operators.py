@@ -325,3 +325,34 @@ def test_long_lines_are_placed_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(trace, "at_arcs", whole)
     out = load().QUERIES["arc_positions"](spark, "/root/testdata/sf0.001")
     assert out.count() == 3 * spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id").distinct().count()
+
+
+def test_distance_transform_against_all_pairs(spark):
+    from voxarbor.operators import distance
+
+    rnd = random.Random(21)
+    shape, spacing = (7, 9, 600), (0.5, 1.0, 2.0)
+    rows = [(c, z, y, x, rnd.random() < 0.002 * c) for c in (0, 1, 2) for z in range(shape[0]) for y in range(shape[1])
+            for x in range(shape[2] if c == 2 else 8)]
+    grid = spark.createDataFrame(rows, "case_id long, z int, y int, x int, seed boolean")
+    got = {(r.case_id, r.z, r.y, r.x): r.d2 for r in distance.squared_distances(grid, "seed", spacing).collect()}
+    for c in (0, 1, 2):
+        cells = np.array([r[1:4] for r in rows if r[0] == c]) * np.array(spacing[::-1])
+        seeds = np.array([r[1:4] for r in rows if r[0] == c and r[4]]).reshape(-1, 3) * np.array(spacing[::-1])
+        for r, at in zip((r for r in rows if r[0] == c), cells):
+            want = ((seeds - at) ** 2).sum(axis=1).min() if len(seeds) else None
+            assert got[r[:4]] == (want if want is None else pytest.approx(want, abs=1e-9))
+
+
+def test_signed_distance_and_half_steps(spark):
+    from voxarbor.operators import distance
+
+    ball = spark.range(15 * 15 * 15).selectExpr(
+        "1L AS case_id", "cast(id div 225 AS int) AS z", "cast((id div 15) % 15 AS int) AS y", "cast(id % 15 AS int) AS x").selectExpr(
+        "*", "4.6 - sqrt(pow(z - 7, 2) + pow(y - 7, 2) + pow(x - 7, 2)) AS hu", "z > 9 AS trunk")
+    at = {(r.z, r.y, r.x): r.signed for r in distance.signed_distances(ball, "hu >= 0").collect()}
+    assert at[7, 7, 7] == 4.0 and at[7, 7, 11] == 0.0 and at[7, 7, 14] == -3.0 and at[7, 7, 9] == 2.0
+    fine = {(r.z, r.y, r.x): r.inside for r in distance.half_steps(ball, "hu", "0").collect()}
+    assert len(fine) == 29 ** 3 and fine[14, 14, 23] and not fine[14, 14, 24]
+    shut = {(r.z, r.y, r.x): r.inside for r in distance.half_steps(ball, "hu", "0", "trunk").collect()}
+    assert shut[18, 14, 14] and not shut[19, 14, 14] and not shut[20, 14, 14]

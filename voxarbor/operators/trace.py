@@ -106,19 +106,16 @@ def walk_back(ends: DataFrame, parents: DataFrame, hops: int = 4) -> DataFrame:
     """
     rounds = Rounds(ends.sparkSession, "walk")
     links, _ = rounds.save(parents.where("parent IS NOT NULL").select("gid", "parent"))
-    seen, step = [ends.selectExpr("trace_id", "0 AS back", "gid")], 0
-    head, state = rounds.save(seen[0], n=F.expr("count(1)"))
-    while state["n"]:
-        now = head
+    every, now = rounds.save(ends.selectExpr("trace_id", "0 AS back", "gid"), n=F.expr("count(1)"))
+    head, step = every, 0
+    while now["n"]:
+        steps = None
         for _ in range(hops):
             step += 1
-            now = now.join(links, "gid").selectExpr("trace_id", f"{step} AS back", "parent AS gid", "1 AS live")
-            seen.append(now.select("trace_id", "back", "gid"))
-            now = now.select("trace_id", "back", "gid")
-        head, state = rounds.save(now, n=F.expr("count(1)"))
-    every = seen[0]
-    for more in seen[1:]:
-        every = every.unionByName(more)
+            head = head.join(links, "gid").selectExpr("trace_id", f"{step} AS back", "parent AS gid")
+            steps = head if steps is None else steps.unionByName(head)
+        walked, now = rounds.save(steps, n=F.expr(f"count_if(back = {step})"))
+        every, head = every.unionByName(walked), walked.where(f"back = {step}")
     return every.selectExpr("trace_id", "cast(max(back) OVER (PARTITION BY trace_id) - back AS int) AS seq", "gid")
 
 

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from voxarbor import schema
 from voxarbor.functions import scalar
-from voxarbor.operators import lattice, matching, sequence, studies, trace
+from voxarbor.operators import distance, lattice, matching, sequence, studies, trace
 from voxarbor.plans import detection as det
 from voxarbor.plans.points import order_points
 from voxarbor.plans.registry import query
 from voxarbor.plans.volumes import bright, bright_sql, flood_sql, near_sql, trunk_flood
 from voxarbor.sources.predictions import write_predictions
 from voxarbor.session import Rounds
-from voxarbor.sources.tables import NX, NY, VOXELS_SQL, table, voxels
+from voxarbor.sources.tables import NX, NY, NZ, VOXELS_SQL, table, voxels
 
 # A grid of its own for each case: spacing, origin and a quarter turn for odd cases.
 GRID = ("array(0.5D + (case_id % 3) * 0.25D, 1.0D, 1.5D) AS spacing", "array(cast(case_id AS double), -case_id / 2D, 10.0D) AS origin",
@@ -148,6 +148,25 @@ def cell_depth(spark, sf):
     return trace.depths(own, ring, 1.0).selectExpr("id AS gid", "round(depth, 6) AS depth")
 
 
+@query("signed_distance", f"""
+WITH {bright_sql(1.1)},
+box AS (SELECT c.case_id, z.z, y.y, x.x FROM (SELECT DISTINCT case_id FROM vox) c, range({NZ}) z(z), range({NY}) y(y), range({NX}) x(x)),
+g AS (SELECT box.*, br.gid IS NOT NULL AS inside FROM box LEFT JOIN br USING (case_id, z, y, x)),
+edge AS (SELECT DISTINCT a.case_id, a.z, a.y, a.x FROM {near_sql('g', 'g', 'off')} WHERE o.s = 1 AND a.inside AND NOT b.inside)
+SELECT CAST(g.case_id * {NZ * NY * NX} + (g.z * {NY} + g.y) * {NX} + g.x AS BIGINT) AS gid,
+  round(CASE WHEN any_value(inside) THEN 1 ELSE -1 END * sqrt(min((g.z-e.z)*(g.z-e.z)*2.25 + (g.y-e.y)*(g.y-e.y) + (g.x-e.x)*(g.x-e.x)*0.25)), 6) + 0.0 AS signed
+FROM g LEFT JOIN edge e USING (case_id) GROUP BY g.case_id, g.z, g.y, g.x""")
+def signed_distance(spark, sf):
+    """Signed distance to the border of the bright cells, for every cell of every lattice, on uneven spacing."""
+    vox = voxels(spark, sf)
+    grid = vox.select("case_id").distinct().selectExpr("case_id", f"explode(sequence(0, {NZ * NY * NX - 1})) AS v").selectExpr(
+        "case_id", f"cast(v div {NY * NX} AS int) AS z", f"cast((v div {NX}) % {NY} AS int) AS y", f"cast(v % {NX} AS int) AS x",
+        f"cast(case_id * {NZ * NY * NX} + v AS bigint) AS gid")
+    lit = bright(spark, sf, 1.1).selectExpr("gid", "true AS lit")
+    marked = grid.join(lit, "gid", "left").selectExpr(*lattice.CELL, "gid", "coalesce(lit, false) AS inside")
+    return distance.signed_distances(marked, "inside", (0.5, 1.0, 1.5)).selectExpr("gid", "round(signed, 6) + 0D AS signed")
+
+
 @query("trace_limits", f"""
 WITH {flood_sql(1.1, 60)},
 f AS (SELECT case_id, dist / 10.0 AS d FROM fl JOIN vox USING (gid) WHERE dist > 0),
@@ -206,14 +225,15 @@ def budget_sweep(spark, sf):
 @query("path_walk_back", f"""
 WITH RECURSIVE {bright_sql(1.2)},
 up AS (SELECT a.gid AS id, min(b.gid) AS parent FROM {near_sql('br', 'br', 'off')} WHERE b.gid < a.gid GROUP BY 1),
-w AS (SELECT gid AS trace_id, 0 AS back, gid FROM br WHERE gid % 11 = 0
+w AS (SELECT gid AS trace_id, 0 AS back, gid FROM br WHERE gid NOT IN (SELECT parent FROM up)
       UNION ALL SELECT w.trace_id, w.back + 1, up.parent FROM w JOIN up ON up.id = w.gid)
 SELECT trace_id, CAST(max(back) OVER (PARTITION BY trace_id) - back AS INT) AS seq, gid FROM w""")
 def path_walk_back(spark, sf):
-    """Cells from the end of the pointers to every eleventh cell."""
+    """Cells from the end of the pointers to every true end, a cell no other one points to."""
     br = bright(spark, sf, 1.2)
     links = lattice.edges(br).groupBy(F.expr("dst AS gid")).agg(F.expr("min(src) AS parent"))
-    return trace.walk_back(br.where("gid % 11 = 0").selectExpr("gid AS trace_id", "gid"), links)
+    ends = br.select("gid").join(links.selectExpr("parent AS gid"), "gid", "left_anti")
+    return trace.walk_back(ends.selectExpr("gid AS trace_id", "gid"), links)
 
 
 LINE = """ln AS (SELECT user_id AS trace_id, CAST(row_number() OVER w - 1 AS INT) AS seq, value / 10.0 AS x,
