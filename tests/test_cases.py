@@ -88,7 +88,8 @@ def bone_contact(spark, with_cortex):
         "z BETWEEN 2 AND 15 AND (y - 11) * (y - 11) + (x - 11) * (x - 11) <= 16 AS in_mask")
 
 
-@pytest.mark.parametrize("with_cortex", [True, False])
+@pytest.mark.parametrize("with_cortex", [True, pytest.param(False, marks=pytest.mark.skipif(
+    not os.environ.get("VOXARBOR_SLOW"), reason="minutes long; set VOXARBOR_SLOW=1"))])
 def test_bone_is_cut_and_tissue_stops_the_descent(spark, with_cortex):
     vox = bone_contact(spark, with_cortex).cache()
     s = cases.Settings(spacing=(1.0, 1.0, 1.0), budget=10.0, searches=1, low=0.40, high=0.70, step=0.13)
