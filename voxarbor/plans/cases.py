@@ -6,15 +6,18 @@ cluster like many small ones. Positions are millimetres in the grid's own axes u
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import os
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxarbor import schema
 from voxarbor.functions.rules import Limits, explain, rejection_reason
-from voxarbor.operators import centerline, dedupe, descent, graph, lattice, nearest, planes, quantiles, sequence, split, trace
-from voxarbor.session import Rounds
+from voxarbor.operators import centerline, dedupe, descent, graph, grids, lattice, nearest, planes, quantiles, sequence, split, trace
+from voxarbor.session import Rounds, Stages
+from voxarbor.sources import volumes
 
 CELL = lattice.CELL
 
@@ -179,27 +182,35 @@ def patches(members: DataFrame, vox: DataFrame, fl: DataFrame, s: Settings) -> D
         *CELL, "gid", "label", "origin", "peak")
 
 
-def analyse(vox: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Features of every traced instance. ``vox``: ``case_id BIGINT, z, y, x, gid, hu, in_mask``; ids unique over cases."""
-    spark = vox.sparkSession
-    rounds = Rounds(spark, "cases")
-    stats, _ = rounds.save(lumen(vox))
+def analyse(vox: DataFrame, s: Settings = Settings(), run: Stages | None = None) -> DataFrame:
+    """Features of every traced instance. ``vox``: ``case_id BIGINT, z, y, x, gid, hu, in_mask``; ids unique over cases.
+
+    With ``run`` finished stages of an earlier call under the same folder are taken from there.
+    """
+    run = run or Stages.fresh(vox.sparkSession, "cases")
+    return run.one("features", lambda: _analysed(vox, s, run))
+
+
+def _analysed(vox: DataFrame, s: Settings, run: Stages) -> DataFrame:
+    stats = run.one("lumen", lambda: lumen(vox))
     lit_ = stats.where(f"ref >= {s.contrast}")
-    fl, chosen, opened = search_threshold(vox.join(lit_.select("case_id"), "case_id", "left_semi"), lit_, s)
-    fl, _ = rounds.save(fl)
-    chosen, _ = rounds.save(chosen.join(lit_.select("case_id", "ref"), "case_id"))
-    opened, _ = rounds.save(opened)
-    members, _ = rounds.save(components(fl, s))
-    patch, _ = rounds.save(patches(members, vox, fl, s))
+
+    def searched():
+        fl, chosen, opened = search_threshold(vox.join(lit_.select("case_id"), "case_id", "left_semi"), lit_, s)
+        return fl, chosen.join(lit_.select("case_id", "ref"), "case_id"), opened
+
+    fl, chosen, opened = run.save(["flood", "chosen", "opened"], searched)
+    members = run.one("components", lambda: components(fl, s))
+    patch = run.one("patches", lambda: patches(members, vox, fl, s))
 
     # trunk geometry
-    trunk, _ = rounds.save(centerline.trunk_parts(vox.where("in_mask").select(*CELL, "gid"), s.volume).where("kept").selectExpr(
+    trunk = run.one("trunk", lambda: centerline.trunk_parts(vox.where("in_mask").select(*CELL, "gid"), s.volume).where("kept").selectExpr(
         "case_id", "z", "y", "x", "gid", "label", *s.mm()))
-    line, _ = rounds.save(centerline.centreline(trunk.selectExpr("case_id", "label", "px AS x", "py AS y", "pz AS z"), min(s.spacing)))
-    wall, _ = rounds.save(lattice.outward_normals(trunk, s.spacing).join(trunk.select(*CELL, "gid"), CELL).selectExpr(
+    line = run.one("line", lambda: centerline.centreline(trunk.selectExpr("case_id", "label", "px AS x", "py AS y", "pz AS z"), min(s.spacing)))
+    wall = run.one("wall", lambda: lattice.outward_normals(trunk, s.spacing).join(trunk.select(*CELL, "gid"), CELL).selectExpr(
         "case_id", "z AS cz", "gid AS id", *[f"{c} * {step}D AS {c}" for c, step in zip("xyz", s.spacing)], "nx", "ny", "nz"))
-    caps, _ = rounds.save(centerline.end_caps(trunk, wall, line, s.spacing[0] * s.spacing[1], s.spacing[2], 2 * s.edge))
-    grown, _ = rounds.save(centerline.cap_cells(trunk, caps, 2.5, s.spacing))
+    caps = run.one("caps", lambda: centerline.end_caps(trunk, wall, line, s.spacing[0] * s.spacing[1], s.spacing[2], 2 * s.edge))
+    grown = run.one("cap_cells", lambda: centerline.cap_cells(trunk, caps, 2.5, s.spacing))
 
     # reject whole parts, then split the rest
     size = members.groupBy("case_id", "label").agg(F.expr("max(dist) AS max_distance_mm"), F.expr("count(1) AS n"))
@@ -213,24 +224,28 @@ def analyse(vox: DataFrame, s: Settings = Settings()) -> DataFrame:
     beside = centerline.on_centreline(tips.selectExpr("case_id", "label AS id", "fx AS x", "fy AS y", "fz AS z"), line, 8.0)
     tilt = axis.join(beside.withColumnRenamed("id", "label"), ["case_id", "label"]).selectExpr(
         "case_id", "label", "degrees(acos(least(1D, abs(ax * tx + ay * ty + az * tz)))) AS angle_to_centerline_deg")
-    judged = (size.join(n_patch, ["case_id", "label"], "left").join(facing, ["case_id", "label"], "left").join(tilt, ["case_id", "label"], "left")
+    judging = (size.join(n_patch, ["case_id", "label"], "left").join(facing, ["case_id", "label"], "left").join(tilt, ["case_id", "label"], "left")
               .selectExpr("*", "coalesce(cap_face_fraction, 0D) > 0 AS touches_cap").fillna({"n_patch_voxels": 0, "cap_face_fraction": 0.0})
               .withColumn("reason", rejection_reason(s.limits)))
-    judged, _ = rounds.save(judged)
+    judged = run.one("judged", lambda: judging)
     fit = judged.where("reason IS NULL").select("label")
     kept = members.join(fit, "label", "left_semi")
-    table, cells = split.instances(kept.select(*CELL, "gid", "dist", "parent").unionByName(
-        fl.where("dist = 0").select(*CELL, "gid", "dist", "parent")), patch.join(fit, "label", "left_semi"), s.limits.min_length,
-        split.MIN_PEAK + 0.5 * sum(s.spacing) / 3)
-    part = members.groupBy("label").agg(F.expr("count(1) AS part_cells"))
-    owner = cells.select("gid", "instance_id").join(members.select("gid", "label"), "gid").select("instance_id", "label").distinct()
-    table = table.join(owner, "instance_id").join(part, "label")
-    if s.per_case is not None:
-        table = dedupe.first_per_case(table, "part_cells DESC, label, instance_id", s.per_case)
-    table, _ = rounds.save(table.drop("label", "part_cells"))
-    cells, _ = rounds.save(cells.join(table.select("instance_id"), "instance_id", "left_semi").selectExpr(
+
+    def parted():
+        table, cells = split.instances(kept.select(*CELL, "gid", "dist", "parent").unionByName(
+            fl.where("dist = 0").select(*CELL, "gid", "dist", "parent")), patch.join(fit, "label", "left_semi"), s.limits.min_length,
+            split.MIN_PEAK + 0.5 * sum(s.spacing) / 3)
+        part = members.groupBy("label").agg(F.expr("count(1) AS part_cells"))
+        owner = cells.select("gid", "instance_id").join(members.select("gid", "label"), "gid").select("instance_id", "label").distinct()
+        table = table.join(owner, "instance_id").join(part, "label")
+        if s.per_case is not None:
+            table = dedupe.first_per_case(table, "part_cells DESC, label, instance_id", s.per_case)
+        return table.drop("label", "part_cells"), cells
+
+    table, all_cells = run.save(["instances", "instance_cells"], parted)
+    cells = run.one("traced_cells", lambda: all_cells.join(table.select("instance_id"), "instance_id", "left_semi").selectExpr(
         "*", *s.mm()).join(vox.select("gid", "hu"), "gid").join(members.select("gid", "label"), "gid"))
-    return measure(vox, s, rounds, stats, fl, chosen, opened, trunk, line, wall, caps, grown, table, cells)
+    return measure(vox, s, Rounds(vox.sparkSession, "measure"), stats, fl, chosen, opened, trunk, line, wall, caps, grown, table, cells)
 
 
 def measure(vox, s, rounds, stats, fl, chosen, opened, trunk, line, wall, caps, grown, table, cells) -> DataFrame:
@@ -388,3 +403,45 @@ def report(features: DataFrame, cases: DataFrame, s: Settings = Settings(), grid
     if grids is not None:
         rows = in_patient_space(rows, grids, ["ostium_xyz_mm", "seed_xyz_mm"], ["direction_xyz"])
     return schema.assemble(rows, cases, s.per_case)
+
+
+def prepare(slices: DataFrame, target: float = grids.TARGET, margin: float = grids.MARGIN) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decoded files on one working grid: voxels for ``analyse``, cases as ``grids.numbered`` gives them, problems.
+
+    Image and mask of a case must share a grid; cases may differ in shape, spacing and axes. Each is cropped to its
+    trunk before it is resampled. Problems (``case_id, problem``) name every case that is left out and why.
+    """
+    rounds = Rounds(slices.sparkSession, "intake")
+    good, bad = volumes.load_pairs(slices)
+    vox, _ = rounds.save(volumes.voxels(slices, good).drop("vid"))
+    own, _ = rounds.save(good.select("case_id", "grid.*"))
+    cut, box = grids.crop_to_mask(vox, own, margin)
+    box, _ = rounds.save(box)
+    cases, _ = rounds.save(grids.numbered(grids.target_grids(box, target)))
+    empty = own.join(box, "case_id", "left_anti").selectExpr("case_id", "'empty mask' AS problem")
+    return grids.with_numbers(grids.resample_cases(cut, box, target), cases), cases, bad.unionByName(empty)
+
+
+def run_key(files: DataFrame, s: Settings, target: float, margin: float) -> str:
+    """Name of a run: its settings and the paths, sizes and times of its files, whose contents are not read."""
+    seen = files.agg(F.expr("count(1) AS n"), F.expr("bit_xor(xxhash64(path, length, modificationTime)) AS h")).first()
+    return hashlib.sha256(repr((s, target, margin, seen.n, seen.h)).encode()).hexdigest()[:32]
+
+
+def detect(spark: SparkSession, root: str, s: Settings = Settings(), target: float = grids.TARGET, margin: float = grids.MARGIN,
+           runs: str | None = None, wanted: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """From files to records: predictions of all cases below ``root`` in patient space, and a problem per case left out.
+
+    With ``runs``, a shared folder, a call that was cut off goes on after its last finished stage as long as files and
+    settings are the same.
+    """
+    s = replace(s, spacing=(target, target, target))
+    if runs is None:
+        run = Stages.fresh(spark, "detect")
+    else:
+        run = Stages(spark, os.path.join(runs, run_key(volumes.list_files(spark, root, wanted), s, target, margin)))
+    vox, cases, problems = run.save(["voxels", "cases", "problems"], lambda: prepare(
+        volumes.read_slices(volumes.list_cases(spark, root, wanted)), target, margin))
+    made = report(analyse(vox, s, run), cases.select("case_id"), s, cases.select("case_id", "origin", "direction"))
+    named = made.join(cases.selectExpr("cast(case_id AS string) AS case_id", "name"), "case_id")
+    return named.select(F.col("name").alias("case_id"), "parent", "daughters"), problems

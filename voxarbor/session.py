@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -77,3 +78,32 @@ class Rounds:
         target = jvm.org.apache.hadoop.fs.Path(path)
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         target.getFileSystem(conf).delete(target, True)
+
+
+class Stages:
+    """Named tables of one run, which a restart under the same folder finds again.
+
+    The tables of a stage are written together; when the writes of all of them are committed they are read back and
+    ``build`` is not called. Tables of a stage that was cut off are written anew. A run's folder must belong to one
+    input and one set of parameters: name it by them.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    @classmethod
+    def fresh(cls, spark: SparkSession, name: str) -> Stages:
+        return cls(spark, os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}"))
+
+    def finished(self, name: str) -> bool:
+        mark = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(self.root, name, "_SUCCESS"))
+        return mark.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+    def save(self, names: Sequence[str], build: Callable[[], Sequence[DataFrame]]) -> list[DataFrame]:
+        if not all(self.finished(n) for n in names):
+            for name, df in zip(names, build(), strict=True):
+                df.write.mode("overwrite").parquet(os.path.join(self.root, name))
+        return [self.spark.read.parquet(os.path.join(self.root, n)) for n in names]
+
+    def one(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return self.save([name], lambda: [build()])[0]

@@ -100,17 +100,22 @@ def _slices(batches):
                 yield pd.DataFrame([{**base, "error": str(e)}])
 
 
-def list_cases(spark: SparkSession, root: str, cases: list[str] | None = None) -> DataFrame:
-    """Image and mask files below ``root``: ``case_id, kind, path, content`` by the name prefixes orig and mask."""
+def list_files(spark: SparkSession, root: str, cases: list[str] | None = None) -> DataFrame:
+    """Image and mask files below ``root`` by the name prefixes orig and mask: ``case_id, kind`` and what the file source tells."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.nii*")
              .load(root))
     name = F.element_at(F.split("path", "/"), -1)
     found = files.select(case_id_from_path(F.col("path")).alias("case_id"),
                          F.when(name.startswith("orig"), "image").when(name.startswith("mask"), "mask").alias("kind"),
-                         "path", "content").where("kind IS NOT NULL")
+                         "path", "length", "modificationTime", "content").where("kind IS NOT NULL")
     return found.where(F.col("case_id").isin(cases)) if cases else found
 
 
+def list_cases(spark: SparkSession, root: str, cases: list[str] | None = None) -> DataFrame:
+    """Contents of the files to read: ``case_id, kind, path, content``."""
+    return list_files(spark, root, cases).select("case_id", "kind", "path", "content")
+
+
 def read_slices(files: DataFrame) -> DataFrame:
     """Decoded slices; a file that cannot be read gives one row with ``error`` and no slices."""
     return files.mapInPandas(_slices, SLICES)
