@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxarbor.operators import matching
 from voxarbor.operators.quantiles import exact_quantiles, modified_z, robust_stats
 
 # Fixed values of the studies.
@@ -15,6 +16,8 @@ BUDGET_FRACTIONS = (0.5, 0.7, 0.85, 1.0, 1.3, 1.6, 2.0)
 PERTURBATIONS = (-0.20, -0.10, 0.10, 0.20)
 NOISE_SIGMAS = (15.0, 30.0, 50.0)
 LOCAL_DELTA, STEP_TOLERANCE, STABILITY_FLOOR = 0.02, 0.20, 0.9
+SAME_POINT, MOVED = 5.0, 2.0  # millimetres
+FRACTION_FLOOR, FRACTION_CEILING = 0.05, 0.95
 OUTLIER_Z, PLAUSIBLE_RADIUS = 3.5, (0.5, 15.0)
 
 
@@ -86,6 +89,68 @@ def perturbations(base: dict[str, float], fractions: Sequence[float] = PERTURBAT
     return runs
 
 
+def stability_runs(budget: float, low: float, high: float, min_length: float, threshold: float,
+                   fractions: Sequence[float] = PERTURBATIONS, sigmas: Sequence[float] = NOISE_SIGMAS) -> list[dict]:
+    """All runs of a stability study: ``run`` from 1, ``name``, the five parameters and ``sigma`` of the added noise.
+
+    A run changes one parameter by one fraction, both ends of the threshold range together and within fixed limits, or
+    none of them and adds noise.
+    """
+    base = {"budget": budget, "low": low, "high": high, "min_length": min_length, "threshold": threshold, "sigma": 0.0}
+    clip = lambda v: min(FRACTION_CEILING, max(FRACTION_FLOOR, v))
+    changes = [(f"budget{f:+.0%}", {"budget": budget * (1 + f)}) for f in fractions]
+    changes += [(f"range{f:+.0%}", {"low": clip(low * (1 + f)), "high": clip(high * (1 + f))}) for f in fractions]
+    changes += [(f"min_length{f:+.0%}", {"min_length": min_length * (1 + f)}) for f in fractions]
+    changes += [(f"threshold{f:+.0%}", {"threshold": threshold * (1 + f)}) for f in fractions]
+    changes += [(f"noise_{s:g}", {"sigma": float(s)}) for s in sigmas]
+    return [{"run": i, "name": name, **base, **change} for i, (name, change) in enumerate(changes, 1)]
+
+
+def compare_runs(base: DataFrame, other: DataFrame, names: Sequence[str], reach: float = SAME_POINT,
+                 moved: float = MOVED) -> tuple[DataFrame, DataFrame]:
+    """What every run of a study did to the findings: fates of the baseline, and how many findings were new.
+
+    ``base``: ``case_id, id, x, y, z``; ``other`` the same with ``run``, a position in ``names`` counted from 1. Runs meet the
+    baseline by one-to-one assignment within ``reach``; (run, case) is the unit of it, so all runs are one plan. Fates:
+    ``case_id, id, run, present, distance, moved``, one row for each finding and run. New: ``case_id, run, appeared``, where any.
+    """
+    runs = f"explode(sequence(1, {len(names)})) AS run"
+    cols = ["named_struct('case_id', case_id, 'run', run) AS case_id", "id", "x", "y", "z"]
+    every = base.selectExpr("case_id", "id", "x", "y", "z", runs)
+    found = other.selectExpr("case_id", "cast(run AS int) AS run", "id", "x", "y", "z")
+    pairs = matching.match(found.selectExpr(*cols), every.selectExpr(*cols), reach).selectExpr("case_id.*", "pred_id", "ref_id", "distance")
+    fates = every.selectExpr("case_id", "id", "run").join(
+        pairs.selectExpr("case_id", "run", "ref_id AS id", "distance"), ["case_id", "run", "id"], "left").selectExpr(
+        "case_id", "id", "run", "distance IS NOT NULL AS present", "distance", f"coalesce(distance > {moved}D, false) AS moved")
+    new = found.join(pairs.selectExpr("case_id", "run", "pred_id AS id"), ["case_id", "run", "id"], "left_anti").groupBy(
+        "case_id", "run").agg(F.expr("count(1) AS appeared"))
+    return fates, new
+
+
+def finding_stability(fates: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``case_id, id, stability`` and the names of the runs in which a finding went or moved, in the order of the runs."""
+    listed = ", ".join("'" + n.replace("'", "\\'") + "'" for n in names)
+
+    def where(rule):
+        return f"transform(array_sort(collect_list(CASE WHEN {rule} THEN run END)), r -> element_at(array({listed}), r))"
+
+    return fates.groupBy("case_id", "id").agg(
+        F.expr(f"count_if(present AND NOT moved) / {float(len(names))}D AS stability"),
+        F.expr(f"{where('NOT present')} AS disappeared_in"), F.expr(f"{where('moved')} AS moved_in"))
+
+
+def case_stability(cases: DataFrame, findings: DataFrame, new: DataFrame, runs: int) -> DataFrame:
+    """Per case: findings, their mean stability, runs with new findings; the share of those only where nothing was to be found.
+
+    ``cases``: ``case_id``; ``findings``: ``case_id, stability``; ``new``: ``case_id, run, appeared``.
+    """
+    mean = findings.groupBy("case_id").agg(F.expr("count(1) AS n"), F.expr("avg(stability) AS mean"))
+    events = new.groupBy("case_id").agg(F.expr("count(1) AS events"), F.expr("sum(appeared) AS appeared"))
+    return cases.select("case_id").join(mean, "case_id", "left").join(events, "case_id", "left").selectExpr(
+        "case_id", "coalesce(n, 0) AS n_baseline", "mean AS case_stability", "coalesce(events, 0) AS appearance_events",
+        "coalesce(appeared, 0) AS appeared", f"CASE WHEN n IS NULL THEN coalesce(events, 0) / {float(runs)}D END AS spurious_rate")
+
+
 def with_noise(vox: DataFrame, value: str, sigma: float, seed: int = 0) -> DataFrame:
     """Add seeded Gaussian noise to a voxel value."""
     return vox.withColumn(value, F.col(value) + F.randn(seed) * float(sigma))

@@ -8,7 +8,7 @@ from voxarbor.functions.rules import Limits, explain
 from voxarbor.functions.scalar import case_id_from_path
 from voxarbor.operators import nearest, studies
 from voxarbor.plans import detection as det
-from voxarbor.plans.points import SIDES, order_sides
+from voxarbor.plans.points import SIDES, best_sql, order_sides
 from voxarbor.plans.registry import query
 from voxarbor.sources.tables import NZ, VOXELS_SQL, table, voxels
 
@@ -91,6 +91,81 @@ def stability_share(spark, sf):
     return per.where("base").selectExpr("case_id", "id", f"round(n / {float(len(RUNS))}D, 6) AS stability")
 
 
+# --- a study whose runs lose, move and add findings: dear orders of a customer ------------------------
+
+STUDY = studies.stability_runs(15.0, 0.40, 0.90, 5.0, 0.65)
+STUDY_NAMES = [r["name"] for r in STUDY]
+PARAMETERS = ("budget", "low", "high", "min_length", "threshold", "sigma")
+BASELINE = {"run": 0, "budget": 15.0, "low": 0.40, "high": 0.90, "min_length": 5.0, "threshold": 0.65, "sigma": 0.0}
+
+
+def study_points(spark, sf):
+    """Every order that a run reports, where the run sees it; run 0 is the baseline. One scan serves all runs."""
+    rows = "inline(array(" + ", ".join(
+        "struct(" + ", ".join([f"{r['run']} AS run", *[f"{r[p]!r}D AS {p}" for p in PARAMETERS]]) + ")" for r in [BASELINE, *STUDY]) + "))"
+    o = table(spark, sf, "orders").selectExpr(
+        "o_custkey AS case_id", "o_orderkey AS id", "o_totalprice / 400000.0D AS confidence", "3 + o_orderkey % 9 AS length",
+        "10 + o_orderkey % 8 AS way", "(o_orderkey % 100) / 100D AS share", "cast(datediff(o_orderdate, date'1995-01-01') AS double) / 100 AS x",
+        "o_totalprice / 25000.0D AS y", "cast(substring(o_orderpriority, 1, 1) AS double) AS z")
+    return o.selectExpr("*", rows).where(
+        "confidence >= threshold AND length >= min_length AND way <= budget AND share >= low - 0.2D AND share <= high").selectExpr(
+        "run", "case_id", "id", "x + sigma / 50D * ((id * run) % 11 - 5) AS x", "y", "z")
+
+
+def study(spark, sf):
+    from voxarbor.session import Rounds
+
+    seen, _ = Rounds(spark, "study").save(study_points(spark, sf))
+    return studies.compare_runs(seen.where("run = 0").drop("run"), seen.where("run > 0"), STUDY_NAMES)
+
+
+STUDY_SIDES = f"""rn(run, {", ".join(PARAMETERS)}) AS (VALUES {", ".join("(" + ", ".join([str(r["run"]), *[f"{r[p]!r}::DOUBLE" for p in PARAMETERS]]) + ")" for r in [BASELINE, *STUDY])}),
+sp AS (SELECT run, o_custkey AS cust, o_orderkey AS id,
+  date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::DOUBLE / 100 + sigma / 50 * ((o_orderkey * run) % 11 - 5) AS x,
+  o_totalprice / 25000.0 AS y, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS z
+  FROM orders, rn WHERE o_totalprice / 400000.0 >= threshold AND 3 + o_orderkey % 9 >= min_length AND 10 + o_orderkey % 8 <= budget
+    AND (o_orderkey % 100) / 100.0::DOUBLE >= low - 0.2 AND (o_orderkey % 100) / 100.0::DOUBLE <= high),
+ev AS (SELECT b.cust, b.id, n.run, b.cust * 32 + n.run AS case_id, b.x, b.y, b.z FROM sp b, rn n WHERE b.run = 0 AND n.run > 0),
+p AS (SELECT cust * 32 + run AS case_id, id, x, y, z, row_number() OVER (PARTITION BY cust, run ORDER BY id) - 1 AS k FROM sp WHERE run > 0),
+r AS (SELECT case_id, id, x, y, z, row_number() OVER (PARTITION BY case_id ORDER BY id) - 1 AS k FROM ev),
+pt AS (SELECT case_id FROM p UNION ALL SELECT case_id FROM r)"""
+
+STUDY_SQL = f"""{best_sql(STUDY_SIDES, studies.SAME_POINT)},
+ft AS (SELECT ev.cust, ev.id, ev.run, hit.distance FROM ev LEFT JOIN hit ON hit.case_id = ev.case_id AND hit.ref_id = ev.id),
+nm(run, name) AS (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(STUDY_NAMES, 1))}),
+fs AS (SELECT cust AS case_id, id, count(*) FILTER (WHERE distance <= {studies.MOVED}) / {float(len(STUDY))}::DOUBLE AS stability,
+  coalesce(string_agg(name, ',' ORDER BY run) FILTER (WHERE distance IS NULL), '') AS disappeared_in,
+  coalesce(string_agg(name, ',' ORDER BY run) FILTER (WHERE distance > {studies.MOVED}), '') AS moved_in FROM ft JOIN nm USING (run) GROUP BY ALL)"""
+
+
+@query("finding_stability", f"""
+WITH RECURSIVE {STUDY_SQL}
+SELECT case_id, id, round(stability, 6) AS stability, disappeared_in, moved_in FROM fs""")
+def finding_stability(spark, sf):
+    """Share of nineteen runs in which a finding stays where it was, and the runs in which it went or moved."""
+    fates, _ = study(spark, sf)
+    return studies.finding_stability(fates, STUDY_NAMES).selectExpr(
+        "case_id", "id", "round(stability, 6) AS stability", "array_join(disappeared_in, ',') AS disappeared_in", "array_join(moved_in, ',') AS moved_in")
+
+
+@query("case_stability", f"""
+WITH RECURSIVE {STUDY_SQL},
+nw AS (SELECT case_id // 32 AS cust, case_id % 32 AS run, count(*) AS appeared FROM p
+       WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.case_id = p.case_id AND hit.pred_id = p.id) GROUP BY ALL),
+ne AS (SELECT cust, count(*) AS events, sum(appeared) AS appeared FROM nw GROUP BY 1),
+m AS (SELECT case_id, count(*) AS n, avg(stability) AS mean FROM fs GROUP BY 1)
+SELECT c_custkey AS case_id, coalesce(n, 0) AS n_baseline, round(mean, 6) AS case_stability, coalesce(events, 0) AS appearance_events,
+  CAST(coalesce(appeared, 0) AS BIGINT) AS appeared, round(CASE WHEN n IS NULL THEN coalesce(events, 0) / {float(len(STUDY))}::DOUBLE END, 6) AS spurious_rate
+FROM customer LEFT JOIN m ON m.case_id = c_custkey LEFT JOIN ne ON ne.cust = c_custkey""")
+def case_stability(spark, sf):
+    """Stability of every customer, new findings under the runs, and their share where the baseline was empty."""
+    fates, new = study(spark, sf)
+    out = studies.case_stability(table(spark, sf, "customer").selectExpr("c_custkey AS case_id"),
+                                 studies.finding_stability(fates, STUDY_NAMES), new, len(STUDY))
+    return out.selectExpr("case_id", "n_baseline", "round(case_stability, 6) AS case_stability", "appearance_events", "appeared",
+                          "round(spurious_rate, 6) AS spurious_rate")
+
+
 @query("plausibility_flags", f"""
 WITH RECURSIVE {det.kept_sql()},
 s AS (SELECT median(radius_at_seed_mm) AS med FROM rp),

@@ -121,8 +121,10 @@ SIDES = """pt AS (SELECT o_custkey AS case_id, o_orderkey AS id, o_orderstatus A
 p AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY id) - 1 AS k FROM pt WHERE kind = 'F'),
 r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY id) - 1 AS k FROM pt WHERE kind = 'O')"""
 
-# optimum by dynamic programming over subsets of the smaller side
-BEST = f"""{SIDES},
+
+def best_sql(sides: str, gate: float) -> str:
+    """Optimum by dynamic programming over subsets of the smaller side."""
+    return f"""{sides},
 cnt AS (SELECT case_id, (SELECT count(*) FROM p WHERE p.case_id = c.case_id) AS np,
                (SELECT count(*) FROM r WHERE r.case_id = c.case_id) AS nr
         FROM (SELECT DISTINCT case_id FROM pt) c),
@@ -144,7 +146,10 @@ dp AS (SELECT case_id, 0::BIGINT AS step, 0::BIGINT AS mask, 0.0::DOUBLE AS tota
    GROUP BY case_id, step, mask),
 fin AS (SELECT * FROM dp WHERE step = steps AND mask = (1::BIGINT << need) - 1),
 pair AS (SELECT case_id, unnest(pids) AS pred_id, unnest(rids) AS ref_id FROM fin),
-hit AS (SELECT pair.*, cost.d AS distance FROM pair JOIN cost ON cost.pid = pred_id AND cost.rid = ref_id WHERE cost.d <= 10)"""
+hit AS (SELECT pair.*, cost.d AS distance FROM pair JOIN cost ON cost.case_id = pair.case_id AND cost.pid = pred_id AND cost.rid = ref_id WHERE cost.d <= {gate})"""
+
+
+BEST = best_sql(SIDES, 10)
 
 
 @query("assignment_match", f"""
