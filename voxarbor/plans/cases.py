@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from voxarbor import schema
 from voxarbor.functions.rules import Limits, explain, rejection_reason
-from voxarbor.operators import centerline, dedupe, descent, graph, grids, lattice, nearest, planes, quantiles, sequence, split, trace
+from voxarbor.operators import centerline, dedupe, descent, graph, grids, lattice, nearest, planes, quantiles, sequence, split, studies, trace
 from voxarbor.session import Rounds, Stages
 from voxarbor.sources import volumes
 
@@ -445,3 +445,37 @@ def detect(spark: SparkSession, root: str, s: Settings = Settings(), target: flo
     made = report(analyse(vox, s, run), cases.select("case_id"), s, cases.select("case_id", "origin", "direction"))
     named = made.join(cases.selectExpr("cast(case_id AS string) AS case_id", "name"), "case_id")
     return named.select(F.col("name").alias("case_id"), "parent", "daughters"), problems
+
+
+def perturbed(s: Settings, change: dict) -> Settings:
+    """Settings of one run of ``studies.stability_runs``."""
+    limits = replace(s.limits, min_length=change["min_length"], threshold=change["threshold"])
+    return replace(s, budget=change["budget"], low=change["low"], high=change["high"], limits=limits)
+
+
+def stability(vox: DataFrame, cases: DataFrame, s: Settings = Settings(), runs: str | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """How findings bear changed parameters and added noise: findings and cases as ``studies`` gives them.
+
+    ``cases``: ``case_id``. Every run analyses all cases together. Runs that differ from an earlier one only in what is
+    reported share its features, and with ``runs``, a shared folder named by input and settings, a study that was cut off
+    goes on after its last finished stage. Noise is drawn once per level and kept, so a lost task cannot draw it anew.
+    """
+    spark = vox.sparkSession
+    root = runs or Stages.fresh(spark, "stability").root
+    base = {"run": 0, "budget": s.budget, "low": s.low, "high": s.high, "min_length": s.limits.min_length,
+            "threshold": s.limits.threshold, "sigma": 0.0}
+    plan = studies.stability_runs(*[base[k] for k in ("budget", "low", "high", "min_length", "threshold")])
+    seen = None
+    for one in [base, *plan]:
+        setting = perturbed(s, one)
+        traced = {k: v for k, v in one.items() if k not in ("run", "name", "threshold")}
+        run = Stages(spark, os.path.join(root, hashlib.sha256(repr(sorted(traced.items())).encode()).hexdigest()[:16]))
+        own = vox if not one["sigma"] else run.one("voxels", lambda sigma=one["sigma"]: studies.with_noise(vox, "hu", sigma, seed))
+        found = schema.explode_daughters(report(analyse(own, setting, run), cases, setting)).selectExpr(
+            f"{one['run']} AS run", "case_id", "cast(position AS bigint) AS id", *[f"ostium_xyz_mm[{i}] AS {c}" for i, c in enumerate("xyz")])
+        seen = found if seen is None else seen.unionByName(found)
+    seen = Stages(spark, root).one("reported", lambda: seen)
+    names = [r["name"] for r in plan]
+    fates, new = studies.compare_runs(seen.where("run = 0").drop("run"), seen.where("run > 0"), names)
+    findings = studies.finding_stability(fates, names)
+    return findings, studies.case_stability(cases.selectExpr("cast(case_id AS string) AS case_id"), findings, new, len(names))
