@@ -139,15 +139,17 @@ def cap_cells(cells: DataFrame, caps: DataFrame, reach: float, spacing: tuple[fl
     return lattice.dilate(own, lattice.ball(reach, spacing)).selectExpr("case_id.*", "z", "y", "x")
 
 
-def cap_overlap(patch: DataFrame, grown: DataFrame, caps: DataFrame) -> DataFrame:
-    """Cap that holds most of each patch: ``case_id, instance_id, side, share, ratio``; the first cap wins a tie.
+def cap_contact(patch: DataFrame, grown: DataFrame, caps: DataFrame) -> DataFrame:
+    """Cap that holds most of each patch: ``case_id, id, label, side, touched, face, local_radius``; the first cap wins a tie.
 
-    ``patch``: ``case_id, instance_id, z, y, x``; a patch away from every cap has no row.
+    ``patch``: ``case_id, id, z, y, x``; ``touched`` is the share of the patch in the grown cap, ``face`` the share that
+    lies beyond the trunk's last slice on that side. A patch away from every cap has no row.
     """
-    total = patch.groupBy("case_id", "instance_id").agg(F.expr("count(1) AS n"))
-    hit = patch.join(grown, lattice.CELL).groupBy("case_id", "instance_id", "label", "side").agg(F.expr("count(1) AS k"))
-    hit = hit.join(caps.select("case_id", "label", "side", "ratio"), ["case_id", "label", "side"])
-    best = hit.groupBy("case_id", "instance_id").agg(F.expr(
-        "min_by(struct(side, ratio, k), struct(-k, label, CASE side WHEN 'low' THEN 0 ELSE 1 END)) AS m"))
-    return best.join(total, ["case_id", "instance_id"]).selectExpr(
-        "case_id", "instance_id", "m.side AS side", "m.k / cast(n AS double) AS share", "m.ratio AS ratio")
+    keys = ["case_id", "id"]
+    hit = patch.join(grown, lattice.CELL).groupBy(*keys, "label", "side").agg(F.expr("count(1) AS k"))
+    best = hit.groupBy(*keys).agg(F.expr("min_by(struct(label, side, k), struct(-k, label, CASE side WHEN 'low' THEN 0 ELSE 1 END)) AS m"))
+    known = best.selectExpr(*keys, "m.label AS label", "m.side AS side", "m.k AS k").join(
+        caps.select("case_id", "label", "side", "z_from", "z_to", "local_radius"), ["case_id", "label", "side"])
+    facing = patch.select(*keys, "z").join(known, keys).groupBy(*keys, "label", "side", "k", "local_radius").agg(
+        F.expr("count(1) AS n"), F.expr("count_if(CASE side WHEN 'low' THEN z < z_from ELSE z > z_to END) AS beyond"))
+    return facing.selectExpr(*keys, "label", "side", "k / cast(n AS double) AS touched", "beyond / cast(n AS double) AS face", "local_radius")

@@ -269,6 +269,23 @@ def radius_in_band(at: float | str, window: float, volume: float) -> Column:
     return F.expr(f"sqrt(count_if(dist >= {at} - {window / 2}D AND dist < {at} + {window / 2}D) * {volume}D / ({window}D * pi()))")
 
 
+def first_radius(cells: DataFrame, neck: float, length: float, volume: float, window: float = 2.0, step: float = 0.5) -> DataFrame:
+    """Median front radius of every part over its first stretch past the neck, up to ``length``: ``label, radius``.
+
+    ``cells``: ``label, dist``. A part too short for one window is taken as one slab from the neck to its end.
+    """
+    half = window / 2
+    spots = [neck + half + k * step for k in range(int((length - neck - half + 1e-9) / step) + 1)]
+    held = lambda at: F.expr(f"coalesce(sum(CASE WHEN dist >= {at - half}D AND dist < {at + half}D THEN n END), 0) AS n{spots.index(at)}")
+    disc = lambda n, w: f"sqrt({n} * {volume}D / ({w} * pi()))"
+    per = cells.where(f"dist > {neck}").groupBy("label", "dist").agg(F.expr("count(1) AS n")).groupBy("label").agg(
+        F.expr("cast(max(dist) AS double) AS far"), F.expr("sum(n) - max_by(n, dist) AS inside"), *[held(at) for at in spots])
+    rs = ", ".join(f"CASE WHEN {at}D <= far - {half}D + 1e-9D THEN {disc(f'n{i}', f'{window}D')} END" for i, at in enumerate(spots))
+    return per.selectExpr("label", "inside", "far", f"array_sort(filter(array({rs}), r -> r IS NOT NULL)) AS rs").selectExpr(
+        "label", f"CASE WHEN size(rs) = 0 THEN {disc('inside', f'greatest(far - {neck}D, 1e-6D)')} "
+        "ELSE (get(rs, (size(rs) - 1) div 2) + get(rs, size(rs) div 2)) / 2 END AS radius")
+
+
 def radius_check(distance_radius: Column, front_radius: Column, limit: float = 0.5) -> tuple[Column, Column]:
     """Relative disagreement of two radius readings and whether it is flagged."""
     most = F.greatest(distance_radius, front_radius)

@@ -1,88 +1,166 @@
-"""Multi-scale tubular response: separable smoothing, second differences, closed-form eigenvalues.
+"""Multi-scale tubular response: smoothing and second differences line by line, eigenvalues cell by cell.
 
-Every step is an announce-and-aggregate over cells, so no volume is ever held by one task.
+One shuffle per axis serves all scales and all derivatives, and a task holds single grid lines, so no volume is ever
+held by one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxarbor.operators import lattice
-from voxarbor.operators.sequence import gaussian_weights
+from voxarbor.operators.quantiles import exact_quantiles
 from voxarbor.session import Rounds
 
 SIGMAS = (0.8, 1.2, 1.8, 2.6, 3.6)  # fixed values, millimetres
 RADIUS_PER_SIGMA = 1.85
+REACH = 10.0  # cells of a part up to this far along it are summarised
 
+# Orders of difference along x, y and z of the fields that are left after each axis.
+AFTER = {"x": [(0,), (1,), (2,)],
+         "y": [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (2, 0)],
+         "z": [(0, 0, 2), (0, 1, 1), (0, 2, 0), (1, 0, 1), (1, 1, 0), (2, 0, 0)]}
 
-def blur(vox: DataFrame, sigma: float, spacing: Sequence[float], value: str = "v") -> DataFrame:
-    """Gaussian smoothing of present cells, one axis after the other; weights are renormalised at borders."""
-    out = vox.select(*lattice.CELL, F.expr(f"cast({value} AS double) AS v"))
-    for axis, s in zip("zyx", reversed(spacing)):
-        w = gaussian_weights(sigma / s)
-        r = len(w) // 2
-        kernel = "array(" + ", ".join(f"struct({k - r} AS o, {x!r}D AS w)" for k, x in enumerate(w)) + ")"
+
+@lru_cache(maxsize=256)
+def _operators(places: bytes, sigma: float, step: float) -> tuple[np.ndarray, ...]:
+    """Smoothing, first and second difference of the smoothed line as matrices over a line's present places.
+
+    Weights reach to four sigma and are renormalised over what is present; a missing neighbour repeats the cell.
+    """
+    at = np.frombuffer(places, np.int64)
+    off = np.abs(at[:, None] - at)
+    wide = sigma / step
+    weight = np.where(off <= int(4 * wide + 0.5), np.exp(-0.5 * (off / wide) ** 2), 0.0)
+    smooth = weight / weight.sum(axis=1, keepdims=True)
+    n = len(at)
+    own, gap = np.arange(n), np.diff(at) == 1
+    after = np.where(np.append(gap, False), own + 1, own)
+    before = np.where(np.append(False, gap), own - 1, own)
+    return (smooth, (smooth[after] - smooth[before]) / (2 * step), (smooth[after] - 2 * smooth + smooth[before]) / step ** 2)
+
+
+def _along(line: DataFrame, axis: str, fields: int, sigmas: Sequence[float], step: float) -> DataFrame:
+    """Fields of every cell after one axis: per line ``places`` and ``out``, one array of all scales' fields per cell."""
+    before = [()] if axis == "x" else AFTER[chr(ord(axis) - 1)]
+    plan = [(before.index(o[:-1]), o[-1]) for o in AFTER[axis]]
+
+    def run(batches):
+        for pdf in batches:
+            alike, out = {}, [None] * len(pdf)  # lines with the same places are worked on together
+            for row, (places, values) in enumerate(zip(pdf["places"], pdf["vals"])):
+                at = np.asarray(places, np.int64)
+                order = np.argsort(at)
+                alike.setdefault((at[order] - at[order[0]]).tobytes(), []).append((row, order, np.stack(values)[order]))
+            for places, lines in alike.items():
+                held = np.stack([values for _, _, values in lines], axis=1)  # place, line, field
+                made = np.empty((*held.shape[:2], len(sigmas) * len(plan)))
+                for k, sigma in enumerate(sigmas):
+                    ops = _operators(places, sigma, step)
+                    base = 0 if axis == "x" else k * fields
+                    for m, (i, d) in enumerate(plan):
+                        made[:, :, k * len(plan) + m] = ops[d] @ held[:, :, base + i]
+                for n, (row, order, _) in enumerate(lines):
+                    back = np.empty(made[:, n].shape)
+                    back[order] = made[:, n]
+                    out[row] = list(back)
+            pdf["out"] = out
+            yield pdf.drop(columns="vals")
+
+    kinds = dict(line.dtypes)
+    others = [c for c in line.columns if c not in ("places", "vals")]
+    return line.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in others) + ", places array<int>, out array<array<double>>")
+
+
+def second_differences(vox: DataFrame, spacing: Sequence[float], value: str = "v", sigmas: Sequence[float] = SIGMAS) -> DataFrame:
+    """Second differences of the smoothed values at every scale: ``case_id, z, y, x, scale, zz, zy, yy, zx, yx, xx``.
+
+    ``vox``: ``case_id, z, y, x`` and the value; spacing is (x, y, z). Axes are taken in the order x, y, z; on a full
+    box the order doesn't matter. ``scale`` counts the sigmas from 0.
+    """
+    now = vox.selectExpr(*lattice.CELL, f"array(cast({value} AS double)) AS v")
+    fields = 1
+    for axis, step in zip("xyz", spacing):
         others = [c for c in lattice.CELL if c != axis]
-        told = out.selectExpr(*lattice.CELL, "v", f"explode({kernel}) AS k").selectExpr(
-            *others, f"cast({axis} + k.o AS int) AS {axis}", "v * k.w AS p", "k.w AS w", "k.o = 0 AS own")
-        out = told.groupBy(*lattice.CELL).agg(F.expr("sum(p) / sum(w) AS v"), F.expr("bool_or(own) AS own")).where("own").drop("own")
-    return out
-
-
-def hessian(vox: DataFrame, spacing: Sequence[float]) -> DataFrame:
-    """Second differences of ``v``: ``zz, yy, xx, zy, zx, yx``; a missing neighbour repeats the cell's value."""
-    sx, sy, sz = spacing
-    step = {"z": sz, "y": sy, "x": sx}
-    near = [o for o in lattice.FULL if sum(map(abs, o)) <= 2]
-    told = lattice.announce(vox, [(0, 0, 0), *near], ["-o.dz AS dz", "-o.dy AS dy", "-o.dx AS dx", "v"])
-    get = lambda o: f"max(CASE WHEN dz = {o[0]} AND dy = {o[1]} AND dx = {o[2]} THEN v END)"
-    wide = told.groupBy(*lattice.CELL).agg(*[F.expr(f"{get(o)} AS n{i}") for i, o in enumerate([(0, 0, 0), *near])]).where("n0 IS NOT NULL")
-    name = {o: f"coalesce(n{i}, n0)" for i, o in enumerate([(0, 0, 0), *near])}
-    unit = {"z": (1, 0, 0), "y": (0, 1, 0), "x": (0, 0, 1)}
-    neg = lambda o: tuple(-c for c in o)
-    add = lambda a, b: tuple(p + q for p, q in zip(a, b))
-    parts = [f"({name[unit[a]]} - 2 * n0 + {name[neg(unit[a])]}) / {step[a] ** 2!r}D AS {a}{a}" for a in "zyx"]
-    for a, b in (("z", "y"), ("z", "x"), ("y", "x")):
-        p, q = unit[a], unit[b]
-        parts.append(f"({name[add(p, q)]} - {name[add(p, neg(q))]} - {name[add(neg(p), q)]} + {name[add(neg(p), neg(q))]})"
-                     f" / {4 * step[a] * step[b]!r}D AS {a}{b}")
-    return wide.selectExpr(*lattice.CELL, *parts)
+        line = now.groupBy(*others).agg(F.expr(f"collect_list(struct({axis}, v)) AS s")).selectExpr(
+            *others, f"s.{axis} AS places", "s.v AS vals")
+        now = _along(line, axis, fields, sigmas, float(step)).select(
+            *others, F.expr("inline(arrays_zip(places, out))")).withColumnsRenamed({"places": axis, "out": "v"})
+        fields = len(AFTER[axis])
+    part = lambda i: f"get(v, k * {fields} + {i})"
+    return now.selectExpr(*lattice.CELL, "v", f"explode(sequence(0, {len(sigmas) - 1})) AS k").selectExpr(
+        *lattice.CELL, "k AS scale", *[f"{part(i)} AS {c}" for i, c in enumerate(("zz", "zy", "yy", "zx", "yx", "xx"))])
 
 
 def eigenvalues(h: DataFrame) -> DataFrame:
-    """Eigenvalues of the symmetric matrix by falling value ``e1 >= e2 >= e3`` (trigonometric form)."""
+    """Input with the eigenvalues of its symmetric matrix, ``e1 >= e2 >= e3`` (trigonometric form)."""
+    keep = [c for c in h.columns if c not in ("zz", "zy", "yy", "zx", "yx", "xx")]
     one = h.selectExpr("*", "(xx + yy + zz) / 3 AS q", "zy*zy + zx*zx + yx*yx AS off")
     two = one.selectExpr("*", "sqrt(greatest(0D, ((xx-q)*(xx-q) + (yy-q)*(yy-q) + (zz-q)*(zz-q) + 2*off) / 6)) AS p")
     det = "((xx-q)*((yy-q)*(zz-q) - zy*zy) - yx*(yx*(zz-q) - zy*zx) + zx*(yx*zy - (yy-q)*zx))"
     three = two.selectExpr("*", f"CASE WHEN p > 0 THEN acos(greatest(-1D, least(1D, {det} / (2*p*p*p)))) / 3 ELSE 0D END AS phi")
-    return three.selectExpr(*lattice.CELL, "q + 2*p*cos(phi) AS e1", "3*q - (q + 2*p*cos(phi)) - (q + 2*p*cos(phi + 2*pi()/3)) AS e2",
+    return three.selectExpr(*keep, "q + 2*p*cos(phi) AS e1", "3*q - (q + 2*p*cos(phi)) - (q + 2*p*cos(phi + 2*pi()/3)) AS e2",
                             "q + 2*p*cos(phi + 2*pi()/3) AS e3")
 
 
-def tube_response(sigma: float, alpha: float = 0.5, beta: float = 0.5, gamma: float = 5.0) -> str:
-    """Bright-tube measure of the eigenvalues by size |a| <= |b| <= |c|, times |c| and the squared scale."""
+def tube_response(alpha: float = 0.5, beta: float = 0.5, gamma: float = 5.0) -> str:
+    """Bright-tube measure of the eigenvalues by size |a| <= |b| <= |c|, times |c| and the squared scale ``sigma``."""
     s = "array_sort(array(struct(abs(e1) AS m, e1 AS e), struct(abs(e2) AS m, e2 AS e), struct(abs(e3) AS m, e3 AS e)))"
     a, b, c = (f"get({s}, {i})" for i in range(3))
     return (f"CASE WHEN {b}.e < 0 AND {c}.e < 0 THEN (1 - exp(-0.5D * power({b}.m / {c}.m / {alpha}D, 2))) "
             f"* exp(-0.5D * power({a}.m / sqrt({b}.m * {c}.m) / {beta}D, 2)) "
-            f"* (1 - exp(-0.5D * (e1*e1 + e2*e2 + e3*e3) / {gamma * gamma}D)) * {c}.m * {sigma * sigma}D ELSE 0D END")
+            f"* (1 - exp(-0.5D * (e1*e1 + e2*e2 + e3*e3) / {gamma * gamma}D)) * {c}.m * sigma * sigma ELSE 0D END")
 
 
 def vesselness(vox: DataFrame, spacing: Sequence[float], reference: str, value: str = "hu",
                sigmas: Sequence[float] = SIGMAS) -> DataFrame:
     """Best response over the scales and its scale: ``case_id, z, y, x, response, sigma``.
 
-    Intensities are taken relative to the reference and clipped; the smallest scale wins a tie.
+    Intensities are taken relative to the reference and clipped; the smallest scale wins a tie and ``sigma`` is 0
+    where nothing answers.
     """
-    rounds = Rounds(vox.sparkSession, "vesselness")
-    base, _ = rounds.save(vox.selectExpr(*lattice.CELL, f"greatest(-0.2D, least(1D, {value} / greatest(cast({reference} AS double), 1D))) AS v"))
-    every = None
-    for s in sigmas:
-        eig = eigenvalues(hessian(blur(base, s, spacing), spacing))
-        one, _ = rounds.save(eig.selectExpr(*lattice.CELL, f"{tube_response(s)} AS response", f"{s}D AS sigma"))
-        every = one if every is None else every.unionByName(one)
+    base = vox.selectExpr(*lattice.CELL, f"greatest(-0.2D, least(1D, {value} / greatest(cast({reference} AS double), 1D))) AS v")
+    at = f"get(array({', '.join(f'{float(s)!r}D' for s in sigmas)}), scale)"
+    every = eigenvalues(second_differences(base, spacing, "v", sigmas)).withColumn("sigma", F.expr(at)).selectExpr(
+        *lattice.CELL, f"{tube_response()} AS response", "sigma")
     best = every.groupBy(*lattice.CELL).agg(F.expr("max(struct(response, -sigma AS s)) AS m"))
     return best.selectExpr(*lattice.CELL, "m.response AS response", "CASE WHEN m.response > 0 THEN -m.s ELSE 0D END AS sigma")
+
+
+def crops(parts: DataFrame, image: DataFrame, spacing: Sequence[float], sigmas: Sequence[float] = SIGMAS, tile: int = 32) -> DataFrame:
+    """Image cells in the box around every part, widened by two of the largest sigma: the image with ``label``.
+
+    ``parts``: ``case_id, label, z, y, x``, labels unique over cases. Boxes and image meet by tiles.
+    """
+    margin = math.ceil(2 * max(sigmas) / min(spacing))
+    box = parts.groupBy("case_id", "label").agg(*[F.expr(f"min({c}) - {margin} AS {c}0") for c in "zyx"],
+                                                *[F.expr(f"max({c}) + {margin} AS {c}1") for c in "zyx"])
+    for c in "zyx":
+        box = box.withColumn(f"t{c}", F.explode(F.expr(f"sequence(cast(floor({c}0 / {tile}) AS int), cast(floor({c}1 / {tile}) AS int))")))
+    keys = ["case_id", "tz", "ty", "tx"]
+    cells = image.selectExpr("*", *[f"cast(floor({c} / {tile}) AS int) AS t{c}" for c in "zyx"])
+    return cells.join(box, keys).where(" AND ".join(f"{c} BETWEEN {c}0 AND {c}1" for c in "zyx")).select(*image.columns, "label")
+
+
+def tubularity(parts: DataFrame, image: DataFrame, spacing: Sequence[float], neck: float, reach: float = REACH,
+               sigmas: Sequence[float] = SIGMAS) -> DataFrame:
+    """How tubular the beginning of every part is: ``case_id, label, median_response, median_radius``.
+
+    ``parts``: ``case_id, label, z, y, x, dist``; ``image``: ``case_id, z, y, x, hu, ref``. Every part is looked at in a
+    crop of its own, and its cells beyond the neck up to ``reach`` count. A part without such cells has zeros.
+    """
+    rounds = Rounds(parts.sparkSession, "tubularity")
+    near = crops(parts, image, spacing, sigmas).selectExpr("label AS case_id", "z", "y", "x", "hu", "ref")
+    core = parts.where(f"dist > {neck} AND dist <= {reach}").selectExpr("label AS case_id", "z", "y", "x")
+    seen, _ = rounds.save(vesselness(near, spacing, "ref", sigmas=sigmas).join(core, lattice.CELL))
+    answer = exact_quantiles(seen, ["case_id"], "response", {"response": 0.5}).select("case_id", "response")
+    scale = exact_quantiles(seen, ["case_id"], "sigma", {"sigma": 0.5}).select("case_id", "sigma")
+    both = answer.join(scale, "case_id").withColumnRenamed("case_id", "label")
+    return parts.select("case_id", "label").distinct().join(both, "label", "left").selectExpr(
+        "case_id", "label", "coalesce(response, 0D) AS median_response", f"coalesce(sigma, 0D) * {RADIUS_PER_SIGMA}D AS median_radius")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("statistics", "ordered", "volumes", "points", "detection", "cohorts", "splitting", "measures", "grids")
+FAMILIES = ("statistics", "ordered", "volumes", "points", "detection", "cohorts", "splitting", "measures", "grids", "tubes")
 
 
 def load():

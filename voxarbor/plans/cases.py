@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from voxarbor import schema
 from voxarbor.functions.rules import Limits, explain, rejection_reason
-from voxarbor.operators import centerline, dedupe, descent, graph, grids, lattice, nearest, planes, quantiles, sequence, split, studies, trace
+from voxarbor.operators import centerline, dedupe, descent, graph, grids, lattice, nearest, planes, quantiles, sequence, split, studies, trace, vesselness
 from voxarbor.session import Rounds, Stages
 from voxarbor.sources import volumes
 
@@ -214,8 +214,10 @@ def _analysed(vox: DataFrame, s: Settings, run: Stages) -> DataFrame:
 
     # reject whole parts, then split the rest
     size = members.groupBy("case_id", "label").agg(F.expr("max(dist) AS max_distance_mm"), F.expr("count(1) AS n"))
-    facing = centerline.cap_overlap(patch.selectExpr("case_id", "label AS instance_id", "z", "y", "x"), grown, caps).selectExpr(
-        "case_id", "instance_id AS label", "share AS cap_face_fraction", "ratio AS radius_ratio")
+    first = trace.first_radius(members, s.neck, s.limits.min_length, s.volume)
+    facing = centerline.cap_contact(patch.selectExpr("case_id", "label AS id", "z", "y", "x"), grown, caps).selectExpr(
+        "case_id", "id AS label", "face AS cap_face_fraction", "local_radius", "touched").join(first, "label", "left").selectExpr(
+        "case_id", "label", "cap_face_fraction", "local_radius", "touched", "CASE WHEN local_radius > 0 THEN radius / local_radius END AS radius_ratio")
     n_patch = patch.groupBy("case_id", "label").agg(F.expr("count(1) AS n_patch_voxels"))
     lead = members.selectExpr("case_id", "label", "dist", *s.mm()).selectExpr("case_id", "label", "dist", "px AS x", "py AS y", "pz AS z")
     tips = lead.groupBy("case_id", "label").agg(*[F.expr(f"max_by({c}, dist) - min_by({c}, dist) AS o{c}") for c in "xyz"],
@@ -225,7 +227,7 @@ def _analysed(vox: DataFrame, s: Settings, run: Stages) -> DataFrame:
     tilt = axis.join(beside.withColumnRenamed("id", "label"), ["case_id", "label"]).selectExpr(
         "case_id", "label", "degrees(acos(least(1D, abs(ax * tx + ay * ty + az * tz)))) AS angle_to_centerline_deg")
     judging = (size.join(n_patch, ["case_id", "label"], "left").join(facing, ["case_id", "label"], "left").join(tilt, ["case_id", "label"], "left")
-              .selectExpr("*", "coalesce(cap_face_fraction, 0D) > 0 AS touches_cap").fillna({"n_patch_voxels": 0, "cap_face_fraction": 0.0})
+              .selectExpr("*", "touched IS NOT NULL AS touches_cap").fillna({"n_patch_voxels": 0, "cap_face_fraction": 0.0})
               .withColumn("reason", rejection_reason(s.limits)))
     judged = run.one("judged", lambda: judging)
     fit = judged.where("reason IS NULL").select("label")
@@ -245,10 +247,12 @@ def _analysed(vox: DataFrame, s: Settings, run: Stages) -> DataFrame:
     table, all_cells = run.save(["instances", "instance_cells"], parted)
     cells = run.one("traced_cells", lambda: all_cells.join(table.select("instance_id"), "instance_id", "left_semi").selectExpr(
         "*", *s.mm()).join(vox.select("gid", "hu"), "gid").join(members.select("gid", "label"), "gid"))
-    return measure(vox, s, Rounds(vox.sparkSession, "measure"), stats, fl, chosen, opened, trunk, line, wall, caps, grown, table, cells)
+    tubes = run.one("tubularity", lambda: vesselness.tubularity(
+        kept.select("case_id", "label", "z", "y", "x", "dist"), vox.select(*CELL, "hu").join(chosen.select("case_id", "ref"), "case_id"), s.spacing, s.neck))
+    return measure(vox, s, Rounds(vox.sparkSession, "measure"), stats, fl, chosen, opened, trunk, line, wall, judged, tubes, grown, table, cells)
 
 
-def measure(vox, s, rounds, stats, fl, chosen, opened, trunk, line, wall, caps, grown, table, cells) -> DataFrame:
+def measure(vox, s, rounds, stats, fl, chosen, opened, trunk, line, wall, judged, tubes, grown, table, cells) -> DataFrame:
     """Trace the instances and put their features side by side."""
     inst = cells.select("instance_id", "case_id", "label").distinct()
     forks = trace.bifurcations(cells.select(*CELL, "gid", "instance_id", "dist"), s.neck, s.edge)
@@ -321,8 +325,9 @@ def measure(vox, s, rounds, stats, fl, chosen, opened, trunk, line, wall, caps,
     glow = cells.groupBy("instance_id").agg(F.expr("avg(hu) AS hu_mean"), F.expr("max(hu) AS hu_max"))
     near = centerline.on_centreline(ost.join(inst.selectExpr("instance_id AS trace_id", "case_id"), "trace_id").selectExpr(
         "case_id", "trace_id AS id", "x", "y", "z"), line, 8.0)
-    slices = trunk.groupBy("case_id", "z").agg(F.expr(f"sqrt(count(1) * {s.spacing[0] * s.spacing[1]}D / pi()) AS nearby"))
-    capped = centerline.cap_overlap(spots.select("case_id", "instance_id", "z", "y", "x"), grown, caps)
+    whole = stats.selectExpr("case_id", f"sqrt(section * power({s.volume}D, 2D / 3) / pi()) AS case_radius")
+    part = judged.select("label", "touches_cap", "cap_face_fraction", "radius_ratio", "local_radius").join(
+        tubes.select("label", "median_response", "median_radius"), "label")
     ends_mm = grown.selectExpr("case_id", "xxhash64(z, y, x) AS id", *[f"{c} * {step}D AS {c}" for c, step in zip("xyz", s.spacing)])
     to_cap = nearest.nearest(ost.join(inst.selectExpr("instance_id AS trace_id", "case_id"), "trace_id").selectExpr(
         "case_id", "trace_id AS id", "x", "y", "z"), ends_mm, ["case_id"], 8.0, default=999.0)
@@ -341,25 +346,25 @@ def measure(vox, s, rounds, stats, fl, chosen, opened, trunk, line, wall, caps,
             .join(front, "instance_id").join(core.select("instance_id", "hu_median"), "instance_id", "left").join(glow, "instance_id")
             .join(near.selectExpr("id AS instance_id", "tx", "ty", "tz", "position"), "instance_id", "left")
             .join(to_cap.selectExpr("id AS instance_id", "dist AS distance_to_cap_mm"), "instance_id", "left")
-            .join(capped.selectExpr("instance_id", "share AS cap_face_fraction", "ratio AS cap_radius_ratio"), "instance_id", "left")
-            .join(touching, "instance_id", "left").join(chosen, "case_id").withColumn("z_slice", F.expr(f"cast(round(z / {s.spacing[2]}D) AS int)"))
-            .join(slices.withColumnRenamed("z", "z_slice"), ["case_id", "z_slice"], "left"))
+            .join(part, "label").join(touching, "instance_id", "left").join(chosen, "case_id").join(whole, "case_id"))
     radius = "CASE WHEN area > 0 THEN sqrt(area / pi()) ELSE front_radius END"
-    return wide.selectExpr(
+    off, flag = trace.radius_check(F.expr(radius), F.col("front_radius"))
+    return wide.withColumns({"off": off, "flag": flag}).selectExpr(
         "case_id", "instance_id AS id", "label AS component_label", "x", "y", "z", "sx", "sy", "sz", "ax", "ay", "az", "vessel_join_mm", "truncated_by",
         "coalesce(partners, cast(array() AS array<bigint>)) AS partners",
         "CASE WHEN truncated_by = 'bifurcation' THEN least(fine_length, trace_length) ELSE fine_length END AS traced_length_mm",
         "cast(truncated_by = 'bifurcation' AS double) AS truncated_by_bifurcation", "cast(truncated_by = 'vessel_end' AS double) AS truncated_by_vessel_end",
         "cast(reached AS double) AS reached_seed_distance", "hu_mean - ref AS mean_hu_relative_to_lumen", "hu_max - ref AS peak_hu_relative_to_lumen",
         f"{radius} AS radius_at_seed_mm", "origin_radius_mm", "0.3D AS origin_radius_uncertainty_mm", "radius_consistency_cv",
-        f"abs({radius} - front_radius) / greatest({radius}, front_radius, 1e-9D) AS radius_disagreement",
-        "coalesce(nearby, 0D) AS nearby_aortic_radius_mm", "patch_area AS patch_area_mm2",
+        "off AS radius_disagreement", "cast(flag AS double) AS radius_disagreement_flag",
+        "CASE WHEN local_radius > 0 THEN local_radius ELSE case_radius END AS nearby_aortic_radius_mm",
+        "cast(coalesce(local_radius > 0, false) AS double) AS nearby_aortic_radius_is_local", "patch_area AS patch_area_mm2",
         "CASE WHEN flare_radius > 0 THEN patch_area / (pi() * flare_radius * flare_radius) ELSE 0D END AS ostium_flare_ratio",
         "coalesce(flatness, 1D) AS cross_section_flatness",
         "coalesce(degrees(acos(least(1D, abs(ax * tx + ay * ty + az * tz)))), 90D) AS angle_to_centerline_deg",
         "coalesce(position, 0.5D) AS normalized_position_along_aorta", "distance_to_cap_mm",
-        "cast(coalesce(cap_face_fraction, 0D) > 0 AS double) AS touches_cap", "coalesce(cap_face_fraction, 0D) AS cap_face_fraction",
-        "coalesce(cap_radius_ratio, 0D) AS cap_radius_ratio", "max_disagreement AS ostium_max_disagreement_mm",
+        "cast(touches_cap AS double) AS touches_cap", "cap_face_fraction", "coalesce(radius_ratio, 0D) AS cap_radius_ratio",
+        "median_response AS vesselness_median_response", "median_radius AS vesselness_median_radius_mm", "max_disagreement AS ostium_max_disagreement_mm",
         "mean_disagreement AS ostium_mean_disagreement_mm", "greatest(0D, least(2D, (coalesce(hu_median, f * ref) - f * ref) / greatest(ref - f * ref, 1e-6D))) AS leak_margin",
         "cast(leak AS double) AS case_flood_leaking", "cast(size(vessel_join_mm) AS double) AS shares_vessel_with_count",
         "cast(n_absorbed AS double) AS n_absorbed_narrow_pieces")
