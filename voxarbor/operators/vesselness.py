@@ -1,4 +1,4 @@
-"""Multi-scale tubular response: smoothing and second differences line by line, eigenvalues cell by cell.
+"""Multi-scale tubular response: smoothing and second differences line by line, eigenvalues with the last axis.
 
 One shuffle per axis serves all scales and all derivatives, and a task holds single grid lines, so no volume is ever
 held by one task.
@@ -47,7 +47,10 @@ def _operators(places: bytes, sigma: float, step: float) -> tuple[np.ndarray, ..
 
 
 def _along(line: DataFrame, axis: str, fields: int, sigmas: Sequence[float], step: float) -> DataFrame:
-    """Fields of every cell after one axis: per line ``places`` and ``out``, one array of all scales' fields per cell."""
+    """Fields of every cell after one axis: per line ``places`` and ``out``, one array per cell.
+
+    It holds all scales' fields, after the last axis the answer.
+    """
     before = [()] if axis == "x" else AFTER[chr(ord(axis) - 1)]
     plan = [(before.index(o[:-1]), o[-1]) for o in AFTER[axis]]
 
@@ -66,6 +69,8 @@ def _along(line: DataFrame, axis: str, fields: int, sigmas: Sequence[float], ste
                     base = 0 if axis == "x" else k * fields
                     for m, (i, d) in enumerate(plan):
                         made[:, :, k * len(plan) + m] = ops[d] @ held[:, :, base + i]
+                if axis == "z":
+                    made = _answer(made, sigmas)
                 for n, (row, order, _) in enumerate(lines):
                     back = np.empty(made[:, n].shape)
                     back[order] = made[:, n]
@@ -78,13 +83,35 @@ def _along(line: DataFrame, axis: str, fields: int, sigmas: Sequence[float], ste
     return line.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in others) + ", places array<int>, out array<array<double>>")
 
 
-def second_differences(vox: DataFrame, spacing: Sequence[float], value: str = "v", sigmas: Sequence[float] = SIGMAS) -> DataFrame:
-    """Second differences of the smoothed values at every scale: ``case_id, z, y, x, scale, zz, zy, yy, zx, yx, xx``.
+def _answer(fields: np.ndarray, sigmas: Sequence[float], alpha: float = 0.5, beta: float = 0.5, gamma: float = 5.0) -> np.ndarray:
+    """Best response over the scales and its scale, from the second differences zz, zy, yy, zx, yx, xx of every scale.
+
+    With eigenvalues by size |a| <= |b| <= |c| a bright tube has b and c below 0; the answer grows with |c| and the
+    squared scale. The smallest scale wins a tie; the scale is 0 where nothing answers.
+    """
+    d = fields.reshape(*fields.shape[:-1], len(sigmas), 6)
+    value = np.linalg.eigvalsh(np.stack([d[..., [0, 1, 3]], d[..., [1, 2, 4]], d[..., [3, 4, 5]]], axis=-1))
+    value = np.take_along_axis(value, np.argsort(np.abs(value), axis=-1), axis=-1)
+    a, b, c = np.moveaxis(np.abs(value), -1, 0)
+    bright = (value[..., 1] < 0) & (value[..., 2] < 0)
+    b, c = np.where(bright, b, 1.0), np.where(bright, c, 1.0)
+    scale = np.asarray(sigmas, float)
+    response = np.where(bright, (1 - np.exp(-0.5 * (b / c / alpha) ** 2)) * np.exp(-0.5 * (a / np.sqrt(b * c) / beta) ** 2)
+                        * (1 - np.exp(-0.5 * (value ** 2).sum(axis=-1) / gamma ** 2)) * c * scale ** 2, 0.0)
+    best = response.argmax(axis=-1)
+    top = np.take_along_axis(response, best[..., None], axis=-1)[..., 0]
+    return np.stack([top, np.where(top > 0, scale[best], 0.0)], axis=-1)
+
+
+def vesselness(vox: DataFrame, spacing: Sequence[float], reference: str, value: str = "hu",
+               sigmas: Sequence[float] = SIGMAS) -> DataFrame:
+    """Best response over the scales and its scale: ``case_id, z, y, x, response, sigma``.
 
-    ``vox``: ``case_id, z, y, x`` and the value; spacing is (x, y, z). Axes are taken in the order x, y, z; on a full
-    box the order doesn't matter. ``scale`` counts the sigmas from 0.
+    ``vox``: ``case_id, z, y, x``, the value and its reference; spacing is (x, y, z). Values are taken relative to the
+    reference and clipped. Axes are taken in the order x, y, z; on a full box the order doesn't matter.
     """
-    now = vox.selectExpr(*lattice.CELL, f"array(cast({value} AS double)) AS v")
+    sigmas = sorted(map(float, sigmas))
+    now = vox.selectExpr(*lattice.CELL, f"array(greatest(-0.2D, least(1D, {value} / greatest(cast({reference} AS double), 1D)))) AS v")
     fields = 1
     for axis, step in zip("xyz", spacing):
         others = [c for c in lattice.CELL if c != axis]
@@ -93,44 +120,7 @@ def second_differences(vox: DataFrame, spacing: Sequence[float], value: str = "v
         now = _along(line, axis, fields, sigmas, float(step)).select(
             *others, F.expr("inline(arrays_zip(places, out))")).withColumnsRenamed({"places": axis, "out": "v"})
         fields = len(AFTER[axis])
-    part = lambda i: f"get(v, k * {fields} + {i})"
-    return now.selectExpr(*lattice.CELL, "v", f"explode(sequence(0, {len(sigmas) - 1})) AS k").selectExpr(
-        *lattice.CELL, "k AS scale", *[f"{part(i)} AS {c}" for i, c in enumerate(("zz", "zy", "yy", "zx", "yx", "xx"))])
-
-
-def eigenvalues(h: DataFrame) -> DataFrame:
-    """Input with the eigenvalues of its symmetric matrix, ``e1 >= e2 >= e3`` (trigonometric form)."""
-    keep = [c for c in h.columns if c not in ("zz", "zy", "yy", "zx", "yx", "xx")]
-    one = h.selectExpr("*", "(xx + yy + zz) / 3 AS q", "zy*zy + zx*zx + yx*yx AS off")
-    two = one.selectExpr("*", "sqrt(greatest(0D, ((xx-q)*(xx-q) + (yy-q)*(yy-q) + (zz-q)*(zz-q) + 2*off) / 6)) AS p")
-    det = "((xx-q)*((yy-q)*(zz-q) - zy*zy) - yx*(yx*(zz-q) - zy*zx) + zx*(yx*zy - (yy-q)*zx))"
-    three = two.selectExpr("*", f"CASE WHEN p > 0 THEN acos(greatest(-1D, least(1D, {det} / (2*p*p*p)))) / 3 ELSE 0D END AS phi")
-    return three.selectExpr(*keep, "q + 2*p*cos(phi) AS e1", "3*q - (q + 2*p*cos(phi)) - (q + 2*p*cos(phi + 2*pi()/3)) AS e2",
-                            "q + 2*p*cos(phi + 2*pi()/3) AS e3")
-
-
-def tube_response(alpha: float = 0.5, beta: float = 0.5, gamma: float = 5.0) -> str:
-    """Bright-tube measure of the eigenvalues by size |a| <= |b| <= |c|, times |c| and the squared scale ``sigma``."""
-    s = "array_sort(array(struct(abs(e1) AS m, e1 AS e), struct(abs(e2) AS m, e2 AS e), struct(abs(e3) AS m, e3 AS e)))"
-    a, b, c = (f"get({s}, {i})" for i in range(3))
-    return (f"CASE WHEN {b}.e < 0 AND {c}.e < 0 THEN (1 - exp(-0.5D * power({b}.m / {c}.m / {alpha}D, 2))) "
-            f"* exp(-0.5D * power({a}.m / sqrt({b}.m * {c}.m) / {beta}D, 2)) "
-            f"* (1 - exp(-0.5D * (e1*e1 + e2*e2 + e3*e3) / {gamma * gamma}D)) * {c}.m * sigma * sigma ELSE 0D END")
-
-
-def vesselness(vox: DataFrame, spacing: Sequence[float], reference: str, value: str = "hu",
-               sigmas: Sequence[float] = SIGMAS) -> DataFrame:
-    """Best response over the scales and its scale: ``case_id, z, y, x, response, sigma``.
-
-    Intensities are taken relative to the reference and clipped; the smallest scale wins a tie and ``sigma`` is 0
-    where nothing answers.
-    """
-    base = vox.selectExpr(*lattice.CELL, f"greatest(-0.2D, least(1D, {value} / greatest(cast({reference} AS double), 1D))) AS v")
-    at = f"get(array({', '.join(f'{float(s)!r}D' for s in sigmas)}), scale)"
-    every = eigenvalues(second_differences(base, spacing, "v", sigmas)).withColumn("sigma", F.expr(at)).selectExpr(
-        *lattice.CELL, f"{tube_response()} AS response", "sigma")
-    best = every.groupBy(*lattice.CELL).agg(F.expr("max(struct(response, -sigma AS s)) AS m"))
-    return best.selectExpr(*lattice.CELL, "m.response AS response", "CASE WHEN m.response > 0 THEN -m.s ELSE 0D END AS sigma")
+    return now.selectExpr(*lattice.CELL, "v[0] AS response", "v[1] AS sigma")
 
 
 def crops(parts: DataFrame, image: DataFrame, spacing: Sequence[float], sigmas: Sequence[float] = SIGMAS, tile: int = 32) -> DataFrame:
