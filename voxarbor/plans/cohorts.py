@@ -276,7 +276,7 @@ def ray_depth_pick(spark, sf):
     A ray has at most NZ cells, so it is folded as one short array.
     """
     vox = voxels(spark, sf)
-    ref = vox.where("in_mask").groupBy("case_id").agg(F.expr("cast(percentile(hu, 0.5) AS bigint) AS ref"))
+    ref = vox.where("in_mask").groupBy("case_id").agg(F.expr("cast(rint(percentile(hu, 0.5)) AS bigint) AS ref"))
     v = vox.join(ref, "case_id").selectExpr("case_id", "y", "x", "z", "hu > ref + 1500000 AS bone", "abs(hu - ref) AS off")
     ray = v.groupBy("case_id", "y", "x").agg(F.expr("collect_list(struct(z, bone, off)) AS r"))
     ray = ray.selectExpr("*", "filter(r, c -> NOT exists(r, o -> o.bone AND abs(o.z - c.z) <= 2)) AS free")
