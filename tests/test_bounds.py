@@ -2,6 +2,7 @@
 
 import pytest
 
+from voxarbor.plans import load
 from voxarbor.session import Rounds, size_setting
 from voxarbor.sources.tables import table
 from tests.conftest import SF
@@ -33,3 +34,10 @@ def test_smaller_settings_and_a_switched_off_broadcast_stay(spark, settings):
         settings.set(key, before)
         table(spark, SF, "nation")
         assert size_setting(settings.get(key)) == after
+
+
+@pytest.mark.parametrize("name", ["cap_contacts", "trunk_end_caps", "patch_origins"])
+def test_plans_do_not_multiply(spark, name):
+    """What several parts of a query name is written, so its last plan reads a few tables and never the input again."""
+    plan = load().QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan and plan.count("Relation [") <= 12

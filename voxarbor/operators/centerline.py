@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxarbor.operators import graph, lattice, nearest, trace
+from voxarbor.session import Rounds
 
 # Fixed values of the end caps.
 CAP_RATIO, CAP_ANGLE, CAP_INWARD = 0.4, 25.0, 8.0
@@ -102,8 +103,12 @@ def end_caps(cells: DataFrame, surface: DataFrame, line: DataFrame, area: float,
     ``cells``: ``case_id, label, z, gid`` and millimetres ``px, py, pz``; ``surface``: ``case_id, id, x, y, z`` with unit
     normals ``nx, ny, nz``; ``line``: the centreline. The end radius is the mean over the outermost slices, the
     local radius the mean over ``inward`` mm next to them. A cap at nearly full caliber that is cut squarely
-    across is flagged: the trunk probably goes on behind it.
+    across is flagged: the trunk probably goes on behind it. Caps and what they are made of are written: each of them
+    is named several times, and plans would multiply.
     """
+    rounds = Rounds(cells.sparkSession, "end-caps")
+    cells, _ = rounds.save(cells)
+    surface, _ = rounds.save(surface)
     per = cells.groupBy("case_id", "label", "z").agg(F.expr(f"sqrt(count(1) * {area}D / pi()) AS r"))
     span = per.groupBy("case_id", "label").agg(F.expr("min(z) AS z0"), F.expr("max(z) AS z1"))
     n = max(1, round(inward / thickness))
@@ -113,11 +118,11 @@ def end_caps(cells: DataFrame, surface: DataFrame, line: DataFrame, area: float,
         "case_id", "label", "side", "a", "b", f"CASE WHEN side = 'low' THEN c ELSE greatest(c - {n}, z0) END AS i0",
         f"CASE WHEN side = 'low' THEN greatest(least(c + {n}, z1 + 1), c + 1) ELSE greatest(c, greatest(c - {n}, z0) + 1) END AS i1")
     keys = ["case_id", "label", "side"]
-    radii = ends.join(per, ["case_id", "label"]).groupBy(*keys, "a", "b").agg(
+    radii, _ = rounds.save(ends.join(per, ["case_id", "label"]).groupBy(*keys, "a", "b").agg(
         F.expr("avg(CASE WHEN z >= a AND z < b THEN r END) AS end_radius"),
-        F.expr("avg(CASE WHEN z >= i0 AND z < i1 THEN r END) AS local_radius"))
-    faces = cells.join(radii.select(*keys, "a", "b"), ["case_id", "label"]).where("z >= a AND z < b").selectExpr(
-        *keys, "gid AS id", "px AS x", "py AS y", "pz AS z")
+        F.expr("avg(CASE WHEN z >= i0 AND z < i1 THEN r END) AS local_radius")))
+    faces, _ = rounds.save(cells.join(radii.select(*keys, "a", "b"), ["case_id", "label"]).where("z >= a AND z < b").selectExpr(
+        *keys, "gid AS id", "px AS x", "py AS y", "pz AS z"))
     hit = nearest.nearest(faces, surface.select("case_id", "id", "x", "y", "z"), ["case_id"], size)
     mean = hit.join(surface.selectExpr("case_id", "id AS nn", "nx", "ny", "nz"), ["case_id", "nn"]).groupBy(*keys).agg(
         *[F.expr(f"avg(n{c}) AS n{c}") for c in "xyz"])
@@ -127,9 +132,12 @@ def end_caps(cells: DataFrame, surface: DataFrame, line: DataFrame, area: float,
     tilt = mean.join(tips, keys).selectExpr(*keys, f"CASE WHEN {norm} > 0 THEN degrees(acos(least(1D, abs("
                                             f"nx * t.tx + ny * t.ty + nz * t.tz) / ({norm})))) END AS angle")
     ratio = "CASE WHEN local_radius > 0 THEN end_radius / local_radius ELSE 0D END"
-    return radii.join(tilt, keys, "left").selectExpr(
+    caps, _ = rounds.save(radii.join(tilt, keys, "left").selectExpr(
         *keys, "a AS z_from", "b - 1 AS z_to", "end_radius", "local_radius", f"{ratio} AS ratio", "angle",
-        f"{ratio} > {CAP_RATIO}D AND coalesce(angle <= {CAP_ANGLE}D, false) AS flagged")
+        f"{ratio} > {CAP_RATIO}D AND coalesce(angle <= {CAP_ANGLE}D, false) AS flagged"))
+    for table in (cells, surface, radii, faces):
+        rounds.retire(table)
+    return caps
 
 
 def cap_cells(cells: DataFrame, caps: DataFrame, reach: float, spacing: tuple[float, float, float]) -> DataFrame:

@@ -43,10 +43,17 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def label_cells(vox: DataFrame, offsets=lattice.FORWARD, ident: str = "gid") -> DataFrame:
-    """Connected components of member cells: the input with ``label`` (smallest id of the part)."""
+    """Connected components of member cells: the input with ``label`` (smallest id of the part).
+
+    Input and result are written, so neither is computed again for every place of a plan that names it.
+    """
+    rounds = Rounds(vox.sparkSession, "label-cells")
+    vox, _ = rounds.save(vox)
     pairs = lattice.edges(vox, ident, offsets).selectExpr("src AS a", "dst AS b")
     found = components(vox.selectExpr(f"{ident} AS id"), pairs)
-    return vox.join(found.withColumnRenamed("id", ident), ident)
+    out, _ = rounds.save(vox.join(found.withColumnRenamed("id", ident), ident))
+    rounds.retire(vox)
+    return out
 
 
 FACE_FORWARD = [o for o in lattice.FACE if o > (0, 0, 0)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxarbor.operators import centerline, graph, lattice, trace, vesselness
 from voxarbor.plans.registry import query
 from voxarbor.plans.volumes import SHAPE, bright, bright_sql, components_sql, flood_sql, near_sql, trunk_flood, with_reference
+from voxarbor.session import Rounds
 from voxarbor.sources.tables import voxels
 
 SCALES = (0.8, 1.2)
@@ -110,7 +111,8 @@ FROM radii LEFT JOIN ang USING (case_id, label, side)""")
 def trunk_end_caps(spark, sf):
     """Both end faces of every kept part of the bright cells: radii, tilt against the line, and whether the part goes on there."""
     lit = bright(spark, sf, 1.0).select(*lattice.CELL, "gid")
-    out = _caps(centerline.trunk_parts(lit, 1.0).where("kept").select(*lattice.CELL, "gid", "label"), 3.0)
+    trunk, _ = Rounds(spark, "trunk").save(centerline.trunk_parts(lit, 1.0).where("kept").select(*lattice.CELL, "gid", "label"))
+    out = _caps(trunk, 3.0)
     return out.selectExpr("case_id", "label", "side", "z_from", "z_to", *[f"round({c}, 6) AS {c}" for c in ("end_radius", "local_radius", "ratio")],
                           "round(angle, 3) AS angle", "ratio > 0.4D AND coalesce(round(angle, 3) <= 25, false) AS flagged")
 
@@ -150,11 +152,13 @@ SELECT case_id, con.label, trunk, side, round(touched, 6) AS touched, round(face
        round(radius / local_radius, 6) AS ratio FROM con LEFT JOIN rad ON rad.label = con.label""")
 def cap_contacts(spark, sf):
     """Which end of the trunk the patch of every reached part touches, how much of it lies beyond, and how wide the part is beside the trunk."""
-    trunk = centerline.trunk_parts(voxels(spark, sf).where("in_mask").select(*lattice.CELL, "gid"), 1.0).where("kept").select(*lattice.CELL, "gid", "label")
+    rounds = Rounds(spark, "cap-contacts")  # what several parts of the plan name is written
+    mask, _ = rounds.save(voxels(spark, sf).where("in_mask").select(*lattice.CELL, "gid"))
+    trunk, _ = rounds.save(centerline.trunk_parts(mask, 1.0).where("kept").select(*lattice.CELL, "gid", "label"))
     caps = _caps(trunk, 2.0)
     parts = graph.label_cells(trunk_flood(spark, sf, 1.1, 60).where("dist > 0").select(*lattice.CELL, "gid", "dist"))
-    shell = lattice.rim(voxels(spark, sf).where("in_mask").select(*lattice.CELL), lattice.FULL, SHAPE)
-    patch = parts.join(shell, lattice.CELL).selectExpr("case_id", "label AS id", "z", "y", "x")
+    shell = lattice.rim(mask.select(*lattice.CELL), lattice.FULL, SHAPE)
+    patch, _ = rounds.save(parts.join(shell, lattice.CELL).selectExpr("case_id", "label AS id", "z", "y", "x"))
     wide = trace.first_radius(parts, NECK, LENGTH, 1.0, WINDOW, STEP)
     hit = centerline.cap_contact(patch, centerline.cap_cells(trunk, caps, 2.0, UNIT), caps)
     return hit.withColumnRenamed("label", "trunk").join(wide.withColumnRenamed("label", "id"), "id", "left").selectExpr(
