@@ -79,7 +79,7 @@ def patch_field(patch: DataFrame, shell: DataFrame, shape: tuple[int, int, int],
     crop, _ = rounds.save(crop.repartitionByRange(*order).sortWithinPartitions(*order).selectExpr(
         "case_id AS volume", "label AS case_id", "z", "y", "x", "monotonically_increasing_id() AS gid", "edge",
         "coalesce(own, false) AS own"))
-    beside, _ = rounds.save(graph.label_cells(crop.where("NOT own")))
+    beside = graph.label_cells(crop.where("NOT own"))
     open_, _ = rounds.save(beside.where("edge").select("label").distinct())
     rim = beside.join(open_, "label", "left_semi")
     holes = beside.join(open_, "label", "left_anti")
@@ -103,7 +103,7 @@ def patch_origins(field: DataFrame, min_peak: float = MIN_PEAK, min_depth: float
     rounds = Rounds(field.sparkSession, "patch-origins")
     rows, _ = rounds.save(field)
     solo = rows.where("height IS NOT NULL").selectExpr("label AS case_id", "z", "y", "x", "gid", "cast(height AS double) AS height")
-    pieces, _ = rounds.save(graph.label_cells(solo).selectExpr(*lattice.CELL, "gid", "height", "label AS piece"))
+    pieces = graph.label_cells(solo).selectExpr(*lattice.CELL, "gid", "height", "label AS piece")
     basins, _ = rounds.save(watershed(pieces, "height", min_peak, min_depth, depth_share))
     peaks = basins.groupBy(F.expr("case_id AS label"), F.expr("basin AS origin")).agg(
         F.expr("min(piece) AS piece"), F.expr("max(height) AS peak"))
@@ -113,11 +113,11 @@ def patch_origins(field: DataFrame, min_peak: float = MIN_PEAK, min_depth: float
     whole = rows.where("height IS NULL").groupBy("label").agg(F.expr("min(gid) AS origin"))
     origins = peaks.join(low, "origin", "left").select("label", "origin", "piece", "peak", "saddle").unionByName(
         whole.selectExpr("label", "origin", "origin AS piece", "cast(NULL AS double) AS peak", "cast(NULL AS double) AS saddle"))
-    cells = rows.join(basins.selectExpr("gid", "basin").unionByName(
-        rows.where("height IS NULL").join(whole, "label").selectExpr("gid", "origin AS basin")), "gid")
+    cells, _ = rounds.save(rows.join(basins.selectExpr("gid", "basin").unionByName(
+        rows.where("height IS NULL").join(whole, "label").selectExpr("gid", "origin AS basin")), "gid").withColumnRenamed("basin", "origin"))
     owner = rows.select("case_id", "label").distinct()
-    return cells.withColumnRenamed("basin", "origin"), origins.join(owner, "label").select(
-        "case_id", "label", "origin", "piece", "peak", "saddle")
+    origins, _ = rounds.save(origins.join(owner, "label").select("case_id", "label", "origin", "piece", "peak", "saddle"))
+    return cells, origins
 
 
 def absorb(origins: DataFrame, joins: DataFrame, min_peak: float = MIN_PEAK) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxarbor.operators import descent, graph, lattice, split
 from voxarbor.plans.registry import query
 from voxarbor.plans.volumes import SHAPE, bright, bright_sql, flood_sql, near_sql, step_weight, trunk_flood, with_reference
+from voxarbor.session import Rounds
 from voxarbor.sources.tables import CELLS, NX, NY, NZ, voxels
 
 
@@ -211,8 +212,9 @@ def patch_origins(spark, sf):
     """Origins of every reached part on its contact patch, with holes filled and heights along the trunk's shell."""
     fl = trunk_flood(spark, sf, 1.1, 60).where("dist > 0").select(*lattice.CELL, "gid")
     parts = graph.label_cells(fl)
-    shell = lattice.rim(voxels(spark, sf).where("in_mask").select(*lattice.CELL), lattice.FULL, SHAPE)
-    patch = parts.join(shell, lattice.CELL).select("case_id", "label", "z", "y", "x")
+    rounds = Rounds(spark, "contact-patches")  # what several parts of the plan name is written
+    shell, _ = rounds.save(lattice.rim(voxels(spark, sf).where("in_mask").select(*lattice.CELL), lattice.FULL, SHAPE))
+    patch, _ = rounds.save(parts.join(shell, lattice.CELL).select("case_id", "label", "z", "y", "x"))
     cells, origins = split.patch_origins(split.patch_field(patch, shell, SHAPE, step_weight, 500, distance="int"), PEAK, DEPTH)
     place = cells.selectExpr("gid", f"cast(case_id * {CELLS} + (z * {NY} + y) * {NX} + x AS bigint) AS at")
     size = cells.groupBy("origin").agg(F.expr("count(1) AS cells"), F.expr("count_if(filled) AS filled"))
