@@ -356,3 +356,19 @@ def test_signed_distance_and_half_steps(spark):
     assert len(fine) == 29 ** 3 and fine[14, 14, 23] and not fine[14, 14, 24]
     shut = {(r.z, r.y, r.x): r.inside for r in distance.half_steps(ball, "hu", "0", "trunk").collect()}
     assert shut[18, 14, 14] and not shut[19, 14, 14] and not shut[20, 14, 14]
+
+
+def test_far_points_do_not_meet_all_positions(spark, monkeypatch):
+    """A crowd and as many points far from it: the work of the descent is that of the few cells facing them, and ties are kept."""
+    rnd = random.Random(5)
+    right = [(1, i, rnd.random(), rnd.random(), rnd.random()) for i in range(3000)] + [(1, 9000, 40.0, 1.0, 0.0), (1, 9001, 40.0, -1.0, 0.0)]
+    left = [(1, i, 100 + 30 * rnd.random(), 30 * rnd.random(), 30 * rnd.random()) for i in range(300)]
+    left += [(1, 500 + i, -30 - rnd.random(), 20 * rnd.random(), 0.3) for i in range(300)] + [(1, 900, 39.0, 0.0, 0.0)]
+    meets, meet = [], nearest._meet
+    monkeypatch.setattr(nearest, "_meet", lambda asked, n, *rest: meets.append(n) or meet(asked, n, *rest))
+    got = {r.id: (r.nn, r.dist) for r in nearest.nearest(points(spark, left), points(spark, right), ["case_id"]).collect()}
+    assert meets and max(meets) <= 20 * len(left)
+    for _, i, *p in left:
+        best = min((math.dist(p, r[2:]), r[1]) for r in right)
+        assert abs(got[i][1] - best[0]) < 1e-9 and (got[i][0] == best[1] or i != 900)
+    assert got[900][0] == 9000 and len(got) == len(left)

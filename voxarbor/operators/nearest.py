@@ -1,9 +1,10 @@
 """Exact nearest-neighbour joins in three dimensions without cross joins.
 
 Points are bucketed into cubic cells; a point looks into the 27 cells around it. A hit no farther than
-the cell size is final, the rest go on with larger cells. Copies of one position are collapsed first,
-and the first cell size is chosen so that no cell holds many positions, so a crowded place costs
-what a sparse one does.
+the cell size is final, the rest descend through cells that halve from level to level and keep those that may
+still hold something as near as the nearest position they have met. Copies of one position are collapsed first,
+and the cell size is chosen so that no cell holds many positions, so a crowded place costs what a sparse one does
+and a point far from all others does not meet them all.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from voxarbor.session import Rounds
 
 XYZ = ["x", "y", "z"]
 CROWD = 64  # positions per cell accepted at the first cell size
-GROWTH = 4.0
+MEETING = 256  # points that meet one copy of a cell's row on average, so a popular cell is met in many tasks
+MOST_COPIES = 1024
 _CUBE = "array(-1, 0, 1)"
 
 
@@ -50,6 +52,62 @@ def first_size(points: DataFrame, keys: Sequence[str]) -> float:
     return max(fit) if fit else min(trials)
 
 
+def _levels(spots: DataFrame, keys: list[str], size: float, rounds: Rounds) -> list[tuple[DataFrame, int]]:
+    """Cells of the positions from ``size`` on, each level twice as wide, up to about eight cells per key: tables and their rows.
+
+    A cell has its place ``c``, its parent's ``p``, the box of its positions, one of them and how many there are.
+    """
+    place, up = [f"c{c}" for c in XYZ], [f"floor(c{c} / 2) AS p{c}" for c in XYZ]
+    some = [F.expr("min(one) AS one"), F.expr("sum(n) AS n"), *[F.expr(f"{f}({f}{c}) AS {f}{c}") for c in XYZ for f in ("min", "max")]]
+    cells = _cells(spots, size).selectExpr(
+        *keys, *place, f"struct(nn, {', '.join(XYZ)}) AS one", "1L AS n", *[f"{c} AS {f}{c}" for c in XYZ for f in ("min", "max")])
+    groups = spots.select(*keys).distinct().count() if keys else 1
+    found = []
+    while True:
+        cells, now = rounds.save(cells.groupBy(*keys, *place).agg(*some).selectExpr("*", *up), n=F.expr("count(1)"))
+        found.append((cells, now["n"]))
+        if now["n"] <= 8 * groups:
+            return found
+        cells = cells.drop(*place).selectExpr("*", *[f"p{c} AS c{c}" for c in XYZ]).drop(*[f"p{c}" for c in XYZ])
+
+
+def _meet(asked: DataFrame, n: int, cells: DataFrame, m: int, on: list[str]) -> DataFrame:
+    """Join of points with cells; few cells are copied, so the points of one cell are spread over tasks."""
+    copies = min(MOST_COPIES, n // (MEETING * max(m, 1)) + 1)
+    return asked.withColumn("copy", F.expr(f"pmod(xxhash64({', '.join(XYZ)}), {copies}L)")).join(
+        cells.withColumn("copy", F.expr(f"explode(sequence(0L, {copies - 1}L))")), [*on, "copy"]).drop("copy")
+
+
+def _descend(todo: DataFrame, n: int, spots: DataFrame, keys: list[str], size: float, rounds: Rounds) -> DataFrame:
+    """Nearest position of every point from the widest cells down: ``keys, x, y, z, d2, nn``.
+
+    ``todo``: ``keys, x, y, z, m``, the nearest position met so far as ``struct(d2, nn)`` or NULL. Every cell met offers one
+    of its positions; a cell whose box is farther than the nearest offer is left, and so is a cell of one position.
+    The box of a position is as far as itself in rounded arithmetic too, so ties are kept.
+    """
+    levels = _levels(spots, keys, size, rounds)
+    own, up = [*keys, *XYZ], [f"p{c}" for c in XYZ]
+    offer = " + ".join(f"({c} - one.{c}) * ({c} - one.{c})" for c in XYZ)
+    least = " + ".join(f"{g} * {g}" for g in (f"greatest(min{c} - {c}, {c} - max{c}, 0D)" for c in XYZ))
+    kept = "struct(" + ", ".join(["low", *[f"c{c} AS p{c}" for c in XYZ]]) + ")"
+    asked, on, offers = todo, keys, todo
+    for cells, m in reversed(levels):
+        met = _meet(asked, n, cells if on != keys else cells.drop(*up), m, on).selectExpr(
+            *own, "m", f"{least} AS low", f"struct({offer} AS d2, one.nn AS nn) AS here", *[f"c{c}" for c in XYZ], "n").where("m IS NULL OR low <= m.d2")
+        best = met.groupBy(*own).agg(F.expr("least(min(m), min(here)) AS m"), F.expr(f"collect_list(CASE WHEN n > 1 THEN {kept} END) AS cells"))
+        rows, now = rounds.save(best.selectExpr(*own, "m", "filter(cells, c -> c.low <= m.d2) AS cells"), n=F.expr("sum(size(cells))"))
+        offers = offers.unionByName(rows.select(*own, "m"))
+        asked, on, n = rows.selectExpr(*own, "m", "inline(cells)").drop("low"), [*keys, *up], now["n"]
+        if not n:
+            break
+    else:
+        there = _cells(spots, size).selectExpr(*keys, "nn", *[f"{c} AS r{c}" for c in XYZ], *[f"c{c} AS p{c}" for c in XYZ])
+        square = " + ".join(f"({c} - r{c}) * ({c} - r{c})" for c in XYZ)
+        last = _meet(asked, n, there, m, on).groupBy(*own).agg(F.expr(f"min(struct({square} AS d2, nn)) AS m"))
+        offers = offers.unionByName(last)
+    return offers.groupBy(*own).agg(F.expr("min(m) AS m")).selectExpr(*own, "m.d2 AS d2", "m.nn AS nn")
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str] = (), size: float | None = None,
             default: float | None = None) -> DataFrame:
     """Nearest ``right`` point of every ``left`` point with the same keys: left columns, ``nn``, ``dist``.
@@ -59,8 +117,9 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str] = (), size: f
     """
     keys = list(keys)
     rounds = Rounds(left.sparkSession, "nearest")
-    spots, _ = rounds.save(right.groupBy(*keys, *XYZ).agg(F.expr("min(id) AS nn")))
-    asked = left.select(*keys, *XYZ).distinct()
+    placed = " AND ".join(f"{c} IS NOT NULL" for c in XYZ)
+    spots, _ = rounds.save(right.where(placed).groupBy(*keys, *XYZ).agg(F.expr("min(id) AS nn")))
+    asked = left.where(placed).select(*keys, *XYZ).distinct()
     if keys:
         asked = asked.join(spots.select(*keys).distinct(), keys, "left_semi")
     todo, state = rounds.save(asked, n=F.expr("count(1)"))
@@ -68,19 +127,16 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str] = (), size: f
     square = " + ".join(f"({c} - r{c}) * ({c} - r{c})" for c in XYZ)
     target = spots.selectExpr(*keys, "nn", *[f"{c} AS r{c}" for c in XYZ], *XYZ)
     found = None
-    if state["n"] and not spots.head(1):
-        state = {"n": 0}
-    while state["n"]:
+    if state["n"] and spots.head(1):
         there = _cells(target, size).drop(*XYZ)
         best = (_around(_cells(todo, size)).join(there, [*keys, "cx", "cy", "cz"])
                 .groupBy(*keys, *XYZ).agg(F.expr(f"min(struct({square} AS d2, nn)) AS m")))
-        tried = todo.join(best, [*keys, *XYZ], "left").selectExpr(
-            *keys, *XYZ, "m.d2 AS d2", "m.nn AS nn", f"coalesce(m.d2 <= {size * size!r}D, false) AS final")
-        tried, state = rounds.save(tried, n=F.expr("count_if(NOT final)"))
-        hit = tried.where("final").drop("final")
-        found = hit if found is None else found.unionByName(hit)
-        todo = tried.where("NOT final").select(*keys, *XYZ)
-        size *= GROWTH
+        tried, state = rounds.save(todo.join(best, [*keys, *XYZ], "left").selectExpr(
+            *keys, *XYZ, "m", f"coalesce(m.d2 <= {size * size!r}D, false) AS final"), n=F.expr("count_if(NOT final)"))
+        found = tried.where("final").selectExpr(*keys, *XYZ, "m.d2 AS d2", "m.nn AS nn")
+        if state["n"]:
+            far = _descend(tried.where("NOT final").drop("final"), state["n"], spots, keys, size, rounds)
+            found = found.unionByName(rounds.save(far)[0])
     if found is None:
         return left.selectExpr("*", "cast(NULL AS bigint) AS nn", f"cast({'NULL' if default is None else default} AS double) AS dist")
     dist = "sqrt(d2)" if default is None else f"coalesce(sqrt(d2), {default}D)"
