@@ -372,3 +372,16 @@ def test_far_points_do_not_meet_all_positions(spark, monkeypatch):
         best = min((math.dist(p, r[2:]), r[1]) for r in right)
         assert abs(got[i][1] - best[0]) < 1e-9 and (got[i][0] == best[1] or i != 900)
     assert got[900][0] == 9000 and len(got) == len(left)
+
+
+def test_runs_meet_once_and_fold_as_on_their_own(spark, monkeypatch):
+    rnd = random.Random(3)
+    spots = [(c, i, *(6 * rnd.random() for _ in range(3))) for c in (1, 2) for i in range(30)]
+    df = spark.createDataFrame([(c * 4 + run, i, run, rnd.random(), *p) for c, i, *p in spots for run in range(4)],
+                               "case_id long, id long, run int, c double, x double, y double, z double")
+    rule = ("struct(-c AS c, id AS i)", f"{dedupe.distance()} <= 2", 2.0, "c >= run / 10D")
+    want = {(r.case_id, r.id): r.folded_into for r in dedupe.fold(df, *rule).collect()}
+    met, meet = [], dedupe.conflicts
+    monkeypatch.setattr(dedupe, "conflicts", lambda rows, *rest: met.append(rows.count()) or meet(rows, *rest))
+    got = {(r.case_id, r.id): r.folded_into for r in dedupe.fold_runs(df, *rule, "case_id div 4").collect()}
+    assert got == want and any(got.values()) and met[0] <= len(spots)

@@ -49,10 +49,34 @@ def fold(df: DataFrame, rank: str, conflict: str, reach: float, accept: str = "t
     """
     rounds = Rounds(df.sparkSession, "fold")
     rows, _ = rounds.save(df.where(accept).withColumn("_rank", F.expr(rank)))
+    return _walk(rows, conflicts(rows, conflict, reach), rounds)
+
+
+def fold_runs(df: DataFrame, rank: str, conflict: str, reach: float, accept: str, case: str) -> DataFrame:
+    """``fold`` of rows that several runs rank anew at the same places: ``case`` is SQL for the case of a row's ``case_id``.
+
+    The conflict is symmetric; places and what it reads are the same in every run of a case, so rows meet once, and a pair
+    counts in every run that accepts both.
+    """
+    rounds = Rounds(df.sparkSession, "fold-runs")
+    rows, _ = rounds.save(df.where(accept).withColumn("_rank", F.expr(rank)).withColumn("_case", F.expr(case)))
+    read = [c for c in dict.fromkeys(["x", "y", "z", *re.findall(r"\b[kx]\.(\w+)", conflict)]) if c != "id"]
+    places = rows.groupBy("_case", "id").agg(*[F.expr(f"min({c}) AS {c}") for c in read]).withColumnRenamed("_case", "case_id")
+    near = conflicts(places.withColumn("_rank", F.col("id")), conflict, reach).selectExpr("case_id AS _case", "id", "k_id")
+    own = rows.selectExpr("_case", "case_id", "id", "_rank")
+    met = near.join(own, ["_case", "id"]).join(own.selectExpr("case_id", "id AS k_id", "_rank AS k_rank"), ["case_id", "k_id"])
+    low = "k_rank < _rank"
+    pairs = met.selectExpr("case_id", f"CASE WHEN {low} THEN id ELSE k_id END AS id", f"CASE WHEN {low} THEN k_id ELSE id END AS k_id",
+                           "least(k_rank, _rank) AS k_rank")
+    return _walk(rows.drop("_case"), pairs, rounds)
+
+
+def _walk(rows: DataFrame, pairs: DataFrame, rounds: Rounds) -> DataFrame:
+    """Decides the rows of all cases by their conflicts, as ``fold`` says."""
     # decisions read the pairs alone; the other columns come back at the end
-    pairs, state = rounds.save(conflicts(rows, conflict, reach), n=F.expr("count(1)"))
+    pairs, state = rounds.save(pairs, n=F.expr("count(1)"))
     if not state["n"]:
-        return rows.drop("_rank").withColumn("folded_into", F.lit(None).cast(dict(df.dtypes)["id"]))
+        return rows.drop("_rank").withColumn("folded_into", F.lit(None).cast(dict(rows.dtypes)["id"]))
     below = pairs.select(*KEY).distinct().withColumn("kept", F.lit(None).cast("boolean"))
     top = pairs.selectExpr("case_id", "k_id AS id").distinct().join(below, KEY, "left_anti").selectExpr(*KEY, "true AS kept")
     now, state = rounds.save(below.unionByName(top), left=F.expr("count_if(kept IS NULL)"))
@@ -70,7 +94,7 @@ def fold(df: DataFrame, rank: str, conflict: str, reach: float, accept: str = "t
     kept = now.where("kept").selectExpr("case_id", "id AS k_id")
     into = (pairs.join(now.where("NOT kept").select(*KEY), KEY, "left_semi").join(kept, ["case_id", "k_id"], "left_semi")
             .groupBy(*KEY).agg(F.expr("min_by(k_id, k_rank) AS folded_into")))
-    return rows.drop("_rank").join(into, KEY, "left").select(*df.columns, "folded_into")
+    return rows.drop("_rank").join(into, KEY, "left").select(*[c for c in rows.columns if c != "_rank"], "folded_into")
 
 
 def distance(a: str = "k", b: str = "x") -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxarbor.functions.rules import Limits, explain
 from voxarbor.functions.scalar import case_id_from_path
-from voxarbor.operators import nearest, studies
+from voxarbor.operators import dedupe, nearest, studies
 from voxarbor.plans import detection as det
 from voxarbor.plans.points import SIDES, best_sql, order_sides
 from voxarbor.plans.registry import query
@@ -87,7 +87,8 @@ def stability_share(spark, sf):
     lim = Limits(min_length=F.col("ml"), min_radius=F.col("mr"))
     # every column is written thirteen times over: only those that folding reads
     rated = explain(many, lim, with_terms=False).select("case_id", "id", "run", "th", "x", "y", "z", "component_label", "confidence")
-    found = det.merged(rated, "th").where("folded_into IS NULL").selectExpr(
+    kept = dedupe.fold_runs(rated, det.RANK, det.NEAR, det.MERGE_MM, "round(confidence, 9) >= th", f"case_id div {n}")
+    found = kept.where("folded_into IS NULL").selectExpr(
         f"case_id div {n} AS case_id", "id", "run")
     per = found.groupBy("case_id", "id").agg(F.expr("count_if(run > 0) AS n"), F.expr("bool_or(run = 0) AS base"))
     return per.where("base").selectExpr("case_id", "id", f"round(n / {float(len(RUNS))}D, 6) AS stability")
