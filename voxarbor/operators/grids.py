@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from voxarbor.functions.scalar import index_to_physical
 
 MARGIN, TARGET = 15.0, 0.8  # fixed values, millimetres
+TASK_CELLS = 250_000  # target cells that one task lays out
 AXES = tuple(enumerate("xyz"))
 
 
@@ -58,7 +59,11 @@ def resample_cases(vox: DataFrame, grids: DataFrame, target: float = TARGET, val
         *[f"{target}D / spacing[{i}] AS step_{a}" for i, a in AXES],
         *[f"greatest(1, cast(bround(size[{i}] * spacing[{i}] / {target}D) AS int)) AS m_{a}" for i, a in AXES])
     inside = " AND ".join(f"t_{a} * step_{a} <= n_{a} - 0.5D" for a in "xyz")
-    ground = plan.selectExpr("*", "explode(sequence(0, m_z - 1)) AS t_z").repartition("case_id", "t_z")
+    # slices are small rows that become many cells, so their number, not their size, says how many tasks share them
+    shape = " * ".join(f"greatest(1, bround(size[{i}] * spacing[{i}] / {target}D))" for i, _ in AXES)
+    cells = grids.agg(F.expr(f"cast(sum({shape}) AS bigint) AS n")).first()["n"] or 0
+    parts = max(int(vox.sparkSession.conf.get("spark.sql.shuffle.partitions")), cells // TASK_CELLS + 1)
+    ground = plan.selectExpr("*", "explode(sequence(0, m_z - 1)) AS t_z").repartition(parts, "case_id", "t_z")
     for a in "yx":
         ground = ground.selectExpr("*", f"explode(sequence(0, m_{a} - 1)) AS t_{a}")
     ground = ground.selectExpr("case_id", "t_z", "t_y", "t_x", f"{inside} AS inside", "0D AS w", *[f"low_{v}" for v in values],
