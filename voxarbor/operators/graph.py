@@ -1,15 +1,16 @@
 """Iterative graph operators. Every round is one job whose result is written as a table.
 
-Rounds are few: components contract to stars, pointers double, and a budgeted flood settles in
-budget / shortest edge bands, two per job.
+Rounds are few: components contract to stars, pointers double, and a flood settles whole tiles at once, so it takes
+as many jobs as its ways cross tiles.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from voxarbor.operators import lattice
+from voxarbor.operators import lattice, tiles
 from voxarbor.session import Rounds
 
 STALLED = 70  # pointers double, so a chain of 2^64 settles within fewer rounds
@@ -45,15 +46,30 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def label_cells(vox: DataFrame, offsets=lattice.FORWARD, ident: str = "gid") -> DataFrame:
     """Connected components of member cells: the input with ``label`` (smallest id of the part).
 
-    Input and result are written, so neither is computed again for every place of a plan that names it.
+    Parts are found inside tiles first; only tiles that touch link their parts, so the rounds of ``components`` take
+    parts at a tile's faces instead of cells. Input and result are written, so neither is computed again for every
+    place of a plan that names it.
     """
     rounds = Rounds(vox.sparkSession, "label-cells")
-    vox, _ = rounds.save(vox)
-    pairs = lattice.edges(vox, ident, offsets).selectExpr("src AS a", "dst AS b")
-    found = components(vox.selectExpr(f"{ident} AS id"), pairs)
-    out, _ = rounds.save(vox.join(found.withColumnRenamed("id", ident), ident))
+    names = [ident, *[c for c in vox.columns if c != ident]]
+    vox, extent = rounds.save(vox.where(f"{ident} IS NOT NULL").select(*names), **tiles.box())
+    tiling = tiles.Tiling(extent, offsets)
+    schema = T.StructType([*vox.schema.fields, T.StructField("label", T.LongType())])
+    found = tiling.sorted(vox.where(tiles.PLACED)).mapInArrow(tiles.labelled(tiling, ident, names), schema)
+    alone = vox.where(f"NOT ({tiles.PLACED})").selectExpr("*", f"cast({ident} AS bigint) AS label")
+    out, _ = rounds.save(found.unionByName(alone))
     rounds.retire(vox)
-    return out
+    if tiling.single:
+        return out
+    faces = out.where(tiling.rim()).selectExpr(*lattice.CELL, "label", *tiling.columns())
+    told = lattice.announce(faces, offsets, ["label AS a", *[f"{t} AS from_{t}" for t in tiles.TILE]])
+    links = told.join(faces.withColumnRenamed("label", "b"), lattice.CELL).where(
+        " OR ".join(f"{t} <> from_{t}" for t in tiles.TILE)).select("a", "b").distinct()
+    links, _ = rounds.save(links)
+    joined = components(links.selectExpr("explode(array(a, b)) AS id").distinct(), links).selectExpr("id AS label", "label AS part")
+    whole, _ = rounds.save(out.join(joined, "label", "left").select(*names, F.expr("coalesce(part, label) AS label")))
+    rounds.retire(out)
+    return whole
 
 
 FACE_FORWARD = [o for o in lattice.FACE if o > (0, 0, 0)]
@@ -88,40 +104,40 @@ def flood(cells: DataFrame, sources: DataFrame, budget: float, weight, offsets=l
     entered again, so links between sources drop out. Returns ``case_id, z, y, x, gid, dist, parent,
     source``; unreached cells are absent. Of equally near sources the smallest id counts.
 
-    Distances settle in bands one shortest step wide: whatever lies in the lowest open band can no longer
-    improve. Only that band announces itself, and only the open cells and the settled ones within one longest step
-    of it are carried on, to recognise cells that were reached before; what is settled further back stays where it
-    was written. A job takes ``hops`` bands.
+    Tiles settle by themselves and offer what reaches their faces to the tiles beside them; a job settles all tiles that
+    have offers, and the flood ends when none is left. A small lattice is one tile and takes one job, a large one
+    as many as its ways cross tiles. ``hops`` is kept for callers and has no effect.
     """
     cell = lattice.CELL
-    steps = [float(str(weight(*o)).rstrip("D")) for o in offsets]
-    near, far = min(steps) * (1 - 1e-9), max(steps) * (1 + 1e-9)
+    kind = "double" if distance == "double" else "bigint"
     rounds = Rounds(cells.sparkSession, "flood")
-    ground, _ = rounds.save(cells.select(*cell, "gid").join(sources.select(*cell), cell, "left_anti"))
-    state = sources.selectExpr(
-        *cell, "gid", f"struct(cast(0 AS {distance}) AS dist, gid AS source, 0 AS hop, "
-        "cast(NULL AS bigint) AS parent) AS s", "cast(NULL AS int) AS done")
-    settled, low, band, job = None, 0.0, 0, 0
-    while True:
-        for k in range(hops):
-            bound = low + (k + 1) * near
-            state = state.withColumn("done", F.expr(f"coalesce(done, CASE WHEN s.dist < {bound!r}D THEN {band} END)"))
-            moved = (lattice.announce(state.where(f"done = {band}"), offsets, [
-                f"struct(cast(s.dist + o.w AS {distance}) AS dist, s.source AS source, s.hop + 1 AS hop, "
-                "gid AS parent) AS s"], weight).where(f"s.dist <= {budget}"))
-            moved = moved.groupBy(*cell).agg(F.expr("min(s) AS s")).join(ground, cell).selectExpr(
-                *cell, "gid", "s", "cast(NULL AS int) AS done")
-            state = state.unionByName(moved).groupBy(*cell).agg(
-                F.expr("min(gid) AS gid"), F.expr("min(s) AS s"), F.expr("min(done) AS done"))
-            band += 1
-        state, now = rounds.save(state, left=F.expr("count_if(done IS NULL)"),
-                                 low=F.expr("cast(min(CASE WHEN done IS NULL THEN s.dist END) AS double)"))
-        fresh = state.where(f"done >= {job}")
-        settled = fresh if settled is None else settled.unionByName(fresh)
-        if not now["left"]:
-            return settled.selectExpr(*cell, "gid", "s.dist AS dist", "s.parent AS parent", "s.source AS source")
-        low, job = now["low"], band
-        state = state.where(f"done IS NULL OR s.dist >= {low - far!r}D")
+    place = ["case_id", *[f"cast({c} AS int) AS {c}" for c in tiles.AXES], "cast(gid AS bigint) AS gid"]
+    unset = [f"cast(NULL AS {kind}) AS dist", *[f"cast(NULL AS bigint) AS {c}" for c in tiles.STATE[1:]]]
+    begun = [f"cast(0 AS {kind}) AS dist", "cast(gid AS bigint) AS source", "0L AS hop", "cast(NULL AS bigint) AS parent"]
+    field, extent = rounds.save(cells.where(f"{tiles.PLACED} AND gid IS NOT NULL").selectExpr(*place, "false AS start", *unset).unionByName(
+        sources.selectExpr(*place, "true AS start", *begun)), **tiles.box())
+    tiling = tiles.Tiling(extent, offsets)
+    weights = [float(str(weight(*o)).rstrip("D")) for o in offsets]
+    step = lambda rows, first: tiling.sorted(rows).mapInArrow(
+        tiles.relaxed(tiling, weights, budget, distance, first), rows.schema)
+    placed = f"{tiles.PLACED} AND gid IS NOT NULL"
+    state, now = rounds.save(step(field.where(placed), True), offers=F.expr("count_if(gid IS NULL)"))
+    while now["offers"]:
+        offers = state.where("gid IS NULL").groupBy(*cell).agg(
+            F.expr(f"min(struct({', '.join(tiles.STATE)})) AS s")).selectExpr(*cell, "cast(NULL AS bigint) AS gid", "false AS start", "s.*")
+        offers, _ = rounds.save(offers)
+        at = offers.selectExpr("case_id", *tiling.columns()).distinct()
+        members = state.where("gid IS NOT NULL").selectExpr("*", *tiling.columns())
+        on = ["case_id", *tiles.TILE]
+        touched = members.join(at, on, "left_semi").select(*state.columns).unionByName(offers)
+        rest = members.join(at, on, "left_anti").select(*state.columns)
+        old = state
+        state, now = rounds.save(step(touched, False).unionByName(rest), offers=F.expr("count_if(gid IS NULL)"))
+        rounds.retire(old)
+        rounds.retire(offers)
+    apart = field.where(f"start AND NOT ({placed})").groupBy(*cell).agg(F.expr("min(gid) AS gid"))  # sources without a place
+    return state.where("dist IS NOT NULL").selectExpr(*cell, "gid", f"cast(dist AS {distance}) AS dist", "parent", "source").unionByName(
+        apart.selectExpr(*cell, "gid", f"cast(0 AS {distance}) AS dist", "cast(NULL AS bigint) AS parent", "gid AS source"))
 
 
 def tube_stems(neck: DataFrame, core: DataFrame, dist: DataFrame, weight, slack: float, budget: float,

@@ -8,6 +8,7 @@ from voxarbor.operators import graph, lattice
 from voxarbor.operators.quantiles import small_quantile
 from voxarbor.operators.sequence import dense_counts
 from voxarbor.plans.registry import query
+from voxarbor.session import Rounds
 from voxarbor.sources.tables import NX, NY, NZ, VOXELS_SQL, voxels
 
 SHAPE = (NZ, NY, NX)
@@ -20,6 +21,11 @@ def with_reference(vox):
     return vox.join(ref, "case_id")
 
 
+def written_cells(spark, sf):
+    """Cells with the reference of their case, written once for a plan that names them several times."""
+    return Rounds(spark, "cells").save(with_reference(voxels(spark, sf)).select(*lattice.CELL, "gid", "hu", "ref", "in_mask"))[0]
+
+
 def bright(spark, sf, fraction: float):
     return with_reference(voxels(spark, sf)).where(f"hu >= {fraction}D * ref")
 
@@ -231,10 +237,12 @@ def step_weight(dz, dy, dx):
     return STEP[abs(dz) + abs(dy) + abs(dx)]
 
 
+def flood_from_trunk(vox, fraction: float, budget: int):
+    return graph.flood(vox.where(f"hu >= {fraction}D * ref"), vox.where("in_mask"), budget, step_weight, distance="int")
+
+
 def trunk_flood(spark, sf, fraction: float, budget: int):
-    vox = with_reference(voxels(spark, sf))
-    return graph.flood(vox.where(f"hu >= {fraction}D * ref"), vox.where("in_mask"), budget, step_weight,
-                       distance="int")
+    return flood_from_trunk(written_cells(spark, sf), fraction, budget)
 
 
 def flood_sql(fraction: float, budget: int) -> str:
@@ -296,11 +304,10 @@ SELECT fl.gid, CAST(coalesce(face.gid % 7, 0) AS INT) AS origin
 FROM fl LEFT JOIN face USING (gid)""")
 def exit_origin_lookup(spark, sf):
     """Look up each reached cell in the table of cells that touch the trunk, 0 when absent."""
-    br = bright(spark, sf, 1.2)
-    mask = voxels(spark, sf).where("in_mask")
-    face = (lattice.announce(mask, lattice.FULL).distinct()
-            .join(br.where("NOT in_mask"), lattice.CELL).selectExpr("gid", "cast(gid % 7 AS int) AS origin"))
-    return (trunk_flood(spark, sf, 1.2, 60).select("gid").join(face, "gid", "left")
+    vox = written_cells(spark, sf)
+    face = (lattice.announce(vox.where("in_mask"), lattice.FULL).distinct()
+            .join(vox.where("hu >= 1.2D * ref AND NOT in_mask"), lattice.CELL).selectExpr("gid", "cast(gid % 7 AS int) AS origin"))
+    return (flood_from_trunk(vox, 1.2, 60).select("gid").join(face, "gid", "left")
             .selectExpr("gid", "coalesce(origin, 0) AS origin"))
 
 
@@ -326,7 +333,7 @@ SELECT case_id, CAST(min(k) FILTER (WHERE NOT leak) AS INT) AS chosen,
 FROM l GROUP BY 1""")
 def leak_search(spark, sf):
     """Flood every case at a grid of thresholds at once and keep the lowest that does not leak."""
-    vox = with_reference(voxels(spark, sf))
+    vox = written_cells(spark, sf)
     levels = "inline(array(" + ", ".join(f"struct({k} AS k, {f}D AS f)" for k, f in enumerate(LEVELS)) + "))"
     many = vox.selectExpr("*", levels).selectExpr(
         f"case_id * {len(LEVELS)} + k AS case_id", "z", "y", "x", f"gid * {len(LEVELS)} + k AS gid",
