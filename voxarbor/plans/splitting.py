@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxarbor.operators import descent, graph, lattice, split
 from voxarbor.plans.registry import query
-from voxarbor.plans.volumes import SHAPE, bright, bright_sql, flood_sql, near_sql, step_weight, trunk_flood, with_reference
+from voxarbor.plans.volumes import SHAPE, bright, bright_sql, flood_sql, near_sql, step_weight, trunk_flood, written_cells
 from voxarbor.session import Rounds
 from voxarbor.sources.tables import CELLS, NX, NY, NZ, voxels
 
@@ -125,7 +125,7 @@ FROM s{k} s"""
 @query("bone_descent", _descent_sql())
 def bone_descent(spark, sf):
     """Lowest share that each case's flood reaches without a leak once bone-like parts are cut out, and what that took."""
-    vox = with_reference(voxels(spark, sf))
+    vox = written_cells(spark, sf)
 
     def attempt(wanted, cut):
         here = vox.join(wanted.select("case_id", "f"), "case_id")
