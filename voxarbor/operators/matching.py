@@ -79,11 +79,20 @@ def _cheapest(rows: pd.Series, cols: pd.Series, dist: pd.Series) -> pd.Series:
 def _solved(pairs: DataFrame, part: list[str]) -> DataFrame:
     """Cheapest pairs of every part: its columns and ``row, col, dist, u`` and whatever else ``pairs`` holds."""
     rest = [c for c in pairs.columns if c not in part]
-    case = pairs.groupBy(*part).agg(F.expr(f"collect_list(struct({', '.join(rest)})) AS c"))
+    return _picked(pairs.groupBy(*part).agg(F.expr(f"collect_list(struct({', '.join(rest)})) AS c")), part)
+
+
+def _picked(case: DataFrame, part: list[str]) -> DataFrame:
+    """As ``_solved``, from parts whose pairs are one array ``c``."""
     pick = case.select(*part, "c", _cheapest("c.row", "c.col", "c.dist").alias("best"))
     return pick.selectExpr(*part, "c", "inline(best)").selectExpr(*part, "c[at] AS k", "u").select(*part, "k.*", "u")
 
 
+# A lone row takes the nearest column. Where every row lies on one column and no two on the same, no other choice costs nothing.
+_SURE = """CASE WHEN n = 1 THEN array(array_min(c)) WHEN size(zero) = n AND size(array_distinct(transform(zero, k -> k.row))) = n
+           AND size(array_distinct(transform(zero, k -> k.col))) = n THEN zero END AS sure"""
+
+
 def _by_place(rows: DataFrame, cols: DataFrame, reach: float) -> DataFrame:
     """Cheapest assignment of large cases: ``case_id, row, col, dist``. Each case has at most as many rows as columns.
 
@@ -140,13 +149,17 @@ def match(preds: DataFrame, refs: DataFrame, threshold: float, one_part: int = O
     count = lambda df, name: df.groupBy("case_id").agg(F.expr(f"count(1) AS {name}"))
     rounds = Rounds(preds.sparkSession, "match")
     sizes, state = rounds.save(count(preds, "np").join(count(refs, "nr"), "case_id"), large=F.expr(f"count_if(np * nr > {one_part})"))
-    turned = sizes.selectExpr("case_id", "np > nr AS turned", f"np * nr > {one_part} AS large")
+    turned = sizes.selectExpr("case_id", "np > nr AS turned", f"np * nr > {one_part} AS large", "least(np, nr) AS n")
     point = lambda df, name: df.selectExpr("case_id", f"id AS {name}", f"x AS {name}_x", f"y AS {name}_y", f"z AS {name}_z")
     square = " + ".join(f"(p_{c} - r_{c}) * (p_{c} - r_{c})" for c in "xyz")
     few = point(preds, "p").join(turned.where("NOT large"), "case_id").join(point(refs, "r"), "case_id").selectExpr(
-        "case_id", "turned", "CASE WHEN turned THEN r ELSE p END AS row", "CASE WHEN turned THEN p ELSE r END AS col",
+        "case_id", "turned", "n", "CASE WHEN turned THEN r ELSE p END AS row", "CASE WHEN turned THEN p ELSE r END AS col",
         f"sqrt({square}) AS dist")
-    out = _solved(few, ["case_id", "turned"]).select("case_id", "turned", "row", "col", "dist")
+    parts = few.groupBy("case_id", "turned", "n").agg(F.expr("collect_list(struct(dist, row, col)) AS c")).selectExpr(
+        "case_id", "turned", "n", "c", "filter(c, k -> k.dist = 0) AS zero")
+    parts, _ = rounds.save(parts.selectExpr("case_id", "turned", "c", _SURE))
+    out = parts.where("sure IS NOT NULL").selectExpr("case_id", "turned", "inline(sure)").select("case_id", "turned", "row", "col", "dist").unionByName(
+        _picked(parts.where("sure IS NULL"), ["case_id", "turned"]).select("case_id", "turned", "row", "col", "dist"))
     if state["large"]:
         big = turned.where("large").select("case_id", "turned")
         pick = lambda a, b: a.join(big.where("NOT turned"), "case_id").unionByName(b.join(big.where("turned"), "case_id")).select(
