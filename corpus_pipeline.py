@@ -65,7 +65,8 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     ranks = bpe.ranks(vocabulary("byte_bpe_50k.tiktoken"))
-    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, chars=2_000_000)
+    # written in between: a task that encodes and decodes at once holds two Python processes until both are done
+    coded = settled(spark, bpe.encode(docs, ranks, public_tokenizers.PATTERN, chars=2_000_000), "token-ids")
     return bpe.decode(coded, ranks).select(
         "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
